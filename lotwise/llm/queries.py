@@ -1,9 +1,13 @@
 """The queries of the corpus operators, and SQL with the same rows where SQL can express them."""
 
+from .decontaminate import op3_benchmark_overlap
+from .langid import op10_language_id
 from .sharding import op9_jump_sharding
 
 QUERIES = {
+    "op3_benchmark_overlap": op3_benchmark_overlap,
     "op9_jump_sharding": op9_jump_sharding,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
