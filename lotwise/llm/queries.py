@@ -1,5 +1,6 @@
 """The queries of the corpus operators, and SQL with the same rows where SQL can express them."""
 
+from .bpe import op7_bpe_transducer
 from .decontaminate import op3_benchmark_overlap
 from .langid import op10_language_id
 from .sharding import op9_jump_sharding
@@ -7,6 +8,7 @@ from .sharding import op9_jump_sharding
 QUERIES = {
     "op3_benchmark_overlap": op3_benchmark_overlap,
     "op9_jump_sharding": op9_jump_sharding,
+    "op7_bpe_transducer": op7_bpe_transducer,
     "op10_language_id": op10_language_id,
 }
 
