@@ -47,3 +47,24 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 def fold_of(column: str, modulus: int):
     """crc32 of the key as text, modulo: a split that depends on the key alone. Null keys count as ''."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
+
+
+#: Rows of one key that a task of a salted join may get.
+ROWS_PER_SALT = 5_000
+
+
+def salted_lookup(left: DataFrame, right: DataFrame, key: str, count: str, spread: list[str], per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """left ⋈ right on `key`, where `right` has one row per key and in `count` the number of left rows with it.
+
+    Keys with more than `per_salt` rows are dealt over several tasks. They are at most
+    rows / per_salt many; the bar is raised with the number of rows so that their list stays
+    below 20,000 keys, which is what is broadcast. Null keys find nothing.
+    """
+    total = right.agg(F.sum(count)).first()[0] or 0
+    bar = max(per_salt, total // 20_000)
+    salts = F.ceil(F.col(count) / F.lit(bar)).cast("int")
+    heavy = right.where(F.col(count) > bar).select(F.col(key).alias("_key"), salts.alias("_salts"))
+    dealt = left.join(F.broadcast(heavy), left[key] == heavy["_key"], "left")
+    dealt = dealt.withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), F.col("_salts")).cast("int"))).drop("_key", "_salts")
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return dealt.join(copies, [key, "_salt"]).drop("_salt")
