@@ -4,11 +4,13 @@ from .bpe import op7_bpe_transducer
 from .decontaminate import op3_benchmark_overlap
 from .langid import op10_language_id
 from .sharding import op9_jump_sharding
+from .toxicity import op6_toxicity
 from .warc import op8_arc_to_warc
 
 QUERIES = {
     "op3_benchmark_overlap": op3_benchmark_overlap,
     "op9_jump_sharding": op9_jump_sharding,
+    "op6_toxicity": op6_toxicity,
     "op7_bpe_transducer": op7_bpe_transducer,
     "op8_arc_to_warc": op8_arc_to_warc,
     "op10_language_id": op10_language_id,
