@@ -1,5 +1,6 @@
 """The queries of the corpus operators, and SQL with the same rows where SQL can express them."""
 
+from .ann import op4_permutation_index
 from .bpe import op7_bpe_transducer
 from .decontaminate import op3_benchmark_overlap
 from .langid import op10_language_id
@@ -10,6 +11,7 @@ from .warc import op8_arc_to_warc
 QUERIES = {
     "op3_benchmark_overlap": op3_benchmark_overlap,
     "op9_jump_sharding": op9_jump_sharding,
+    "op4_permutation_index": op4_permutation_index,
     "op6_toxicity": op6_toxicity,
     "op7_bpe_transducer": op7_bpe_transducer,
     "op8_arc_to_warc": op8_arc_to_warc,
