@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import shutil
 import tempfile
 import unicodedata
 import uuid
@@ -305,7 +306,7 @@ def send(spark: SparkSession, path: str) -> str:
     """Has Spark carry a driver's file to every executor, under a name of its own."""
     folder = tempfile.mkdtemp(prefix="lotwise-")
     name = f"{uuid.uuid4().hex}-{os.path.basename(path)}"
-    os.symlink(os.path.abspath(path), f"{folder}/{name}")
+    shutil.copyfile(path, f"{folder}/{name}")
     spark.sparkContext.addFile(f"{folder}/{name}")
     return name
 
