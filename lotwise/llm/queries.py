@@ -3,12 +3,14 @@
 from .ann import op4_permutation_index
 from .bpe import op7_bpe_transducer
 from .decontaminate import op3_benchmark_overlap
+from .hmm import op1_hmm_score
 from .langid import op10_language_id
 from .sharding import op9_jump_sharding
 from .toxicity import op6_toxicity
 from .warc import op8_arc_to_warc
 
 QUERIES = {
+    "op1_hmm_score": op1_hmm_score,
     "op3_benchmark_overlap": op3_benchmark_overlap,
     "op9_jump_sharding": op9_jump_sharding,
     "op4_permutation_index": op4_permutation_index,
