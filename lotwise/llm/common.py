@@ -68,3 +68,26 @@ def salted_lookup(left: DataFrame, right: DataFrame, key: str, count: str, sprea
     dealt = dealt.withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), F.col("_salts")).cast("int"))).drop("_key", "_salts")
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     return dealt.join(copies, [key, "_salt"]).drop("_salt")
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+    """Connected components of links between long ids: (node, component), component the least id.
+
+    Every node takes the least label among itself and its neighbours, then the label of its
+    label; few rounds suffice, since labels travel twice as far each time. Each round's
+    labels are written out. A node with very many links is no problem: links are joined to
+    the labels, which are unique, and minima are taken map-side first.
+    """
+    there = edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).where(F.col("src") != F.col("dst"))
+    both = materialise(there.union(there.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "links")
+    labels = materialise(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("label")), "labels")
+    for _ in range(rounds):
+        near = both.join(labels, both["dst"] == labels["node"]).groupBy("src").agg(F.min("label").alias("near"))
+        least = labels.join(near, labels["node"] == near["src"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        jump = labels.select(F.col("node").alias("to"), F.col("label").alias("further"))
+        nearer = least.join(jump, least["label"] == jump["to"]).select("node", "old", F.least("label", "further").alias("label"))
+        nearer = materialise(nearer, "labels")
+        labels = nearer.select("node", "label")
+        if nearer.where(F.col("label") != F.col("old")).isEmpty():
+            return labels.select("node", F.col("label").alias("component"))
+    raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -5,6 +5,7 @@ from .bpe import op7_bpe_transducer
 from .decontaminate import op3_benchmark_overlap
 from .hmm import op1_hmm_score
 from .langid import op10_language_id
+from .linededup import op5_line_dedup
 from .sharding import op9_jump_sharding
 from .toxicity import op6_toxicity
 from .warc import op8_arc_to_warc
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_benchmark_overlap": op3_benchmark_overlap,
     "op9_jump_sharding": op9_jump_sharding,
     "op4_permutation_index": op4_permutation_index,
+    "op5_line_dedup": op5_line_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_bpe_transducer": op7_bpe_transducer,
     "op8_arc_to_warc": op8_arc_to_warc,
