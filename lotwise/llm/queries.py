@@ -4,6 +4,7 @@ from .ann import op4_permutation_index
 from .bpe import op7_bpe_transducer
 from .decontaminate import op3_benchmark_overlap
 from .hmm import op1_hmm_score
+from .jaccard import op2_jaccard_join
 from .langid import op10_language_id
 from .linededup import op5_line_dedup
 from .sharding import op9_jump_sharding
@@ -12,6 +13,7 @@ from .warc import op8_arc_to_warc
 
 QUERIES = {
     "op1_hmm_score": op1_hmm_score,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_benchmark_overlap": op3_benchmark_overlap,
     "op9_jump_sharding": op9_jump_sharding,
     "op4_permutation_index": op4_permutation_index,
