@@ -321,6 +321,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return full.union(alone)
 
 
+def keep_one_of_group(docs: DataFrame) -> DataFrame:
+    """One document of each group of near ones, with all its columns: the one with the least id, and of
+    rows with that id the first. Documents without shingles stay. `docs` must be a stored table."""
+    found = materialise(jaccard_components(docs), "components")
+    grouped = found.where(F.col("label").isNotNull())
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+    first = grouped.groupBy("label").agg(F.min(order).alias("kept")).select(F.col("kept.rid").alias("_rid"))
+    kept = first.union(found.where(F.col("label").isNull()).select("rid"))
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    return rows.join(kept, rows["_row"] == kept["_rid"], "left_semi").select(*docs.columns)
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The groups of near documents among all whole documents."""
     return jaccard_components(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
