@@ -1,5 +1,7 @@
 """Collects the queries and their SQL counterparts from the plan modules."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import market, texts
+
+QUERIES = {**market.QUERIES, **texts.QUERIES}
+ORACLE_SQL = {**market.ORACLE_SQL, **texts.ORACLE_SQL}
 FLAGSHIP = "market_rollup"
