@@ -111,6 +111,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id
     spark = vectors.sparkSession
     rows = materialise(usable(vectors, vec_id, embedding), "vectors")
     total = rows.count()
+    if not total:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     chosen = choose_pivots(rows, pivots)
     many, kept = len(chosen), min(places, len(chosen))
     held = spark.sparkContext.broadcast(chosen)

@@ -32,6 +32,8 @@ SYMBOL_WORDS = 20_000
 KNOWN_WORDS = 200_000
 ITERATIONS = 6
 BLOCK = 128
+#: Tokens per symbol that a state's emissions are drawn towards the words' frequencies with.
+PRIOR = 0.5
 #: Blocks that an E-step handles side by side, texts that a scoring step does.
 BLOCKS_AT_ONCE = 8192
 TEXTS_AT_ONCE = 4000
@@ -196,9 +198,8 @@ def expect(blocks: list[np.ndarray], first: list[bool], model: Model) -> tuple[n
 def train(coded: DataFrame, vocabulary: Vocabulary, states: int = STATES, iterations: int = ITERATIONS) -> Model:
     """Baum-Welch over all training texts. Without any, the initial model over uniform words."""
     context = coded.sparkSession.sparkContext
-    own = vocabulary.counts[: vocabulary.symbols]
-    rest = max(vocabulary.tokens - vocabulary.texts - int(own.sum()), 0)
-    unigram = np.concatenate([[vocabulary.texts, rest], own]) + 0.1
+    # every count and one more, as in the base score: states are drawn towards these shares
+    unigram = np.concatenate([[vocabulary.texts + 1.0, vocabulary.rest_mass], vocabulary.counts[: vocabulary.symbols] + 1.0])
     unigram = unigram / unigram.sum()
     model = initial(unigram, states)
     names = [f"e{k}" for k in range(states)]
@@ -240,7 +241,7 @@ def train(coded: DataFrame, vocabulary: Vocabulary, states: int = STATES, iterat
         counts[at[at >= 0]] = sums[names].to_numpy()[at >= 0]
         moves = sums.loc[[-1 - k for k in range(states)], names].to_numpy() + 1.0
         starts = sums.loc[-1 - states, names].to_numpy() + 1.0
-        emit = counts + 2.0 * len(unigram) ** 0.5 * unigram[:, None]
+        emit = counts + PRIOR * len(unigram) * unigram[:, None]
         model = Model(starts / starts.sum(), moves / moves.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
         held.unpersist()
     return model
