@@ -93,3 +93,40 @@ def appraise(ranked: DataFrame, now: str, as_of_year: int, margin_pct: float = 8
     windows = rows.groupBy("subject").agg(F.max("window").alias("year_window"))
     advice = m.dealer_advice(F.col("fair_value"), F.lit(margin_pct))
     return fair_values(rows, now, as_of_year).join(windows, "subject").select("*", *(c.alias(n) for n, c in advice.items()))
+
+
+def firm_estimate(comps: DataFrame, as_of_year: int) -> DataFrame:
+    """A firm ask per subject: comparables brought to the subject's year and mileage at the market's
+    median, the zone between their 35th and 50th percentiles, a pull towards dealers where five or
+    more are known, and a corridor around the market's quartiles."""
+    km = m.effective_km(F.col("s_mileage_km"), F.col("s_year"), as_of_year)
+    rows = comps.select("subject", "year", "mileage_km", "price_czk", "seller_type", "s_year", km.alias("km"))
+    price = F.col("price_czk")
+    market = inside_fences(rows, ["subject"], "price_czk").groupBy("subject").agg(percentile(price, 0.25).alias("p25"), percentile(price, 0.5).alias("market"), percentile(price, 0.75).alias("p75"))
+    typical_km = rows.groupBy("subject").agg(percentile(F.when(F.col("mileage_km") > 0, F.col("mileage_km")), 0.5).alias("median_km"), F.first("km").alias("km"))
+    adjusted = price + m.age_adjustment(F.col("s_year"), F.col("km"), F.col("year"), F.col("mileage_km"), F.col("market"))
+    normal = rows.join(market.select("subject", "market"), "subject").withColumn("normal", adjusted)
+    core = inside_fences(normal.where("normal > 0"), ["subject"], "normal").groupBy("subject").agg(percentile(F.col("normal"), 0.35).alias("p35"), percentile(F.col("normal"), 0.5).alias("p50"))
+    dealers = inside_fences(normal.where("seller_type = 'dealer'"), ["subject"], "normal").groupBy("subject").agg(F.count(F.lit(1)).alias("dealers"), percentile(F.col("normal"), 0.5).alias("dealer_median"))
+    out = market.join(typical_km, "subject").join(core, "subject", "left").join(dealers, "subject", "left")
+    liquid = m.half_up(F.col("p35") * 0.45 + F.col("p50") * 0.55)
+    pulled = F.when(F.col("dealers") >= 5, m.half_up(liquid * 0.65 + F.col("dealer_median") * 0.35)).otherwise(liquid)
+    low = F.when(F.coalesce(F.col("km") > F.col("median_km") * 1.35, F.lit(False)), F.col("p25") * 0.55).otherwise(F.col("p25") * 0.97)
+    held = F.when(pulled.isNotNull(), F.greatest(low, F.least(F.col("p75") * 1.03, pulled.cast("double"))))
+    return out.select("subject", m.to_thousand(held).alias("suggested"), m.to_thousand(F.col("p50")).alias("normalised"), m.to_thousand(F.col("p25")).alias("market_p25"), m.to_thousand(F.col("p75")).alias("market_p75"))
+
+
+def confidence(sample: Column, window: Column, low: Column, high: Column, typical: Column, features: Column, weak_features: Column, km_weak: Column, sold: Column) -> Column:
+    """high, medium or low, from the sample's size, the year window, the band's width, the features and the sales.
+
+    `km_weak` counts the ways in which the mileage is weak: assumed, extreme.
+    """
+    width = (high - low) / typical
+    share = weak_features / features
+    points = F.when(sample >= 25, 3).when(sample >= 15, 2).when(sample >= 8, 1).when(sample >= 5, 0).otherwise(-2)
+    points = points + F.when(window <= 2, 1).when(window >= 6, -1).otherwise(0)
+    known = F.coalesce(typical > 0, F.lit(False)) & low.isNotNull() & high.isNotNull()
+    points = points + F.when(~known, 0).when(width < 0.18, 1).when(width > 0.55, -2).when(width > 0.4, -1).otherwise(0)
+    points = points + F.when(features <= 0, 0).when(share > 0.6, -1).when((share < 0.25) & (features >= 2), 1).otherwise(0) - km_weak
+    strong = (km_weak == 0) & ~F.coalesce(sold < 3, F.lit(False))
+    return F.when((points >= 3) & strong, "high").when((points >= 1) | ((km_weak > 0) & (points >= 0)), "medium").otherwise("low")

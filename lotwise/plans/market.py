@@ -327,3 +327,21 @@ def closed_sales_blend(spark, sf_dir):
 def vocabulary_keys(spark, sf_dir):
     rows = views.listings(spark, sf_dir)
     return rows.select("id", fold(F.col("title")).alias("fold"), v.fuel_key(F.col("fuel")).alias("fk"), v.transmission_key(F.col("transmission")).alias("tk"), v.body_key(F.col("body")).alias("bk"))
+
+
+FIRM = RANKED + f""", r AS (SELECT *, CASE WHEN s_km > 0 THEN s_km ELSE greatest(1, 2002 - s_year + 1) * 15000 END AS km FROM ranked WHERE rank <= 200),
+ market AS (SELECT subject, {sql_pct('price_czk', .25)} AS p25, {sql_pct('price_czk', .5)} AS market, {sql_pct('price_czk', .75)} AS p75 FROM {sql_fence('r', 'price_czk')} GROUP BY subject),
+ mk AS (SELECT subject, CAST(floor(quantile_cont(mileage_km, .5) FILTER (WHERE mileage_km > 0) + .5) AS BIGINT) AS median_km, max(km) AS km FROM r GROUP BY subject),
+ nm AS (SELECT r.*, price_czk + {sql_adjust('market')} AS normal FROM r JOIN market USING (subject)), pos AS (SELECT * FROM nm WHERE normal > 0), dl AS (SELECT * FROM nm WHERE seller_type = 'dealer'),
+ core AS (SELECT subject, {sql_pct('normal', .35)} AS p35, {sql_pct('normal', .5)} AS p50 FROM {sql_fence('pos', 'normal')} GROUP BY subject),
+ dealers AS (SELECT subject, count(*) AS dealers, {sql_pct('normal', .5)} AS dealer_median FROM {sql_fence('dl', 'normal')} GROUP BY subject),
+ j AS (SELECT *, floor(p35 * 0.45::DOUBLE + p50 * 0.55::DOUBLE + .5) AS liquid FROM market JOIN mk USING (subject) LEFT JOIN core USING (subject) LEFT JOIN dealers USING (subject)),
+ p AS (SELECT *, CASE WHEN dealers >= 5 THEN floor(liquid * 0.65::DOUBLE + dealer_median * 0.35::DOUBLE + .5) ELSE liquid END AS pulled, CASE WHEN coalesce(km > median_km * 1.35::DOUBLE, false) THEN p25 * 0.55::DOUBLE ELSE p25 * 0.97::DOUBLE END AS low FROM j)
+SELECT subject, CAST(floor(CASE WHEN pulled IS NOT NULL THEN greatest(low, least(p75 * 1.03::DOUBLE, pulled)) END / 1000 + .5) * 1000 AS BIGINT) AS suggested, CAST(floor(p50 / 1000 + .5) * 1000 AS BIGINT) AS normalised,
+  CAST(floor(p25 / 1000 + .5) * 1000 AS BIGINT) AS market_p25, CAST(floor(p75 / 1000 + .5) * 1000 AS BIGINT) AS market_p75 FROM p"""
+
+
+@query(FIRM)
+def firm_estimate(spark, sf_dir):
+    ranked = matching.ranked(views.subjects(spark, sf_dir), views.listings(spark, sf_dir)).where("rank <= 200")
+    return pricing.firm_estimate(ranked, views.AS_OF_YEAR)

@@ -198,3 +198,39 @@ def equipment_all(spark, sf_dir):
     p = views.table(spark, sf_dir, "part")
     have, want = F.split("p_name", " "), F.slice(F.split("p_type", " "), 1, 1)
     return p.select("p_partkey", (F.size(F.array_except(want, have)) == 0).cast("int").alias("has_first"), F.size(F.array_distinct(F.split(F.concat_ws(" ", "p_name", "p_type"), " "))).cast("long").alias("distinct_words"))
+
+
+CONF_IN = "(1,30,2,290000,310000,300000,0,0,0,8),(2,3,6,200000,400000,300000,0,0,0,0),(3,30,2,290000,310000,300000,0,0,1,8),(4,30,2,290000,310000,300000,0,0,0,2),(5,6,4,NULL,NULL,NULL,0,0,0,0),(6,10,2,100000,300000,200000,4,3,0,8)"
+
+
+@query(same("(1,'high'),(2,'low'),(3,'medium'),(4,'medium'),(5,'low'),(6,'low')", "i, level"))
+def confidence(spark, sf_dir):
+    from ..operators.pricing import confidence as level
+
+    names = "sample, win, low, high, typical, features, weak, km, sold"
+    rows = literals(spark, CONF_IN, f"i, {names}")
+    return rows.select("i", level(*(F.col(c) for c in names.split(", "))).alias("level"))
+
+
+@query(same("(1,'heated_seats'),(2,'cruise_control'),(3,'massage_seats'),(4,NULL),(5,'tow_hitch'),(6,NULL)", "i, key"))
+def equipment_keys(spark, sf_dir):
+    from ..functions.equipment import canonical
+
+    rows = literals(spark, "(1,'vyhrivana_sedadla'),(2,'Adaptivní tempomat'),(3,'Masážní sedadla'),(4,'okna'),(5,'Tažné zařízení'),(6,NULL)", "i, name")
+    return rows.select("i", canonical(F.col("name")).alias("key"))
+
+
+@query(same("(1,1),(2,0),(3,1)", "i, ok"))
+def equipment_wanted(spark, sf_dir):
+    from ..functions.equipment import has_all
+
+    rows = spark.createDataFrame([(1, ["tempomat", "abs"], ["cruise_control"]), (2, ["tempomat"], ["cruise_control", "keyless"]), (3, None, [])], "i int, have array<string>, want array<string>")
+    return rows.select("i", has_all(F.col("have"), F.col("want")).cast("int").alias("ok"))
+
+
+@query()
+def placeholder_hash(spark, sf_dir):
+    """A stable picture number per part; tests hold it against a plain loop."""
+    from ..functions.equipment import stable_index
+
+    return views.table(spark, sf_dir, "part").select("p_partkey", stable_index(F.col("p_name"), 9).alias("icon"))
