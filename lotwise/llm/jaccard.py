@@ -44,31 +44,73 @@ VERIFY_COST = 32
 BUCKET_BITS = (16, 26)
 PER_BUCKET = 128
 CHUNK = 8192
-#: Texts that a worker keeps word hashes of.
-HASHED_WORDS = 400_000
-
-_WORD_HASHES: dict[bytes, int] = {}
+#: Bytes of a text hashed at once.
+PIECE = 1 << 22
+#: Elements of sets that a worker keeps while it verifies pairs, 64 MB.
+HELD_ELEMENTS = 8_000_000
+
+BASE = 0x9E3779B97F4A7C15
+#: Whether a byte belongs to a word, and a random value for each byte.
+WORD_BYTE = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
+BYTE_VALUE = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
+_POWERS: list[np.ndarray] = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Spreads 64 bits, in place."""
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of an odd base and of its inverse modulo 2^64."""
+    if len(_POWERS[0]) < size:
+        size = max(size, 1 << 16)
+        for i, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            steps = np.full(size, base, dtype=np.uint64)
+            steps[0] = 1
+            _POWERS[i] = np.cumprod(steps, dtype=np.uint64)
+    return _POWERS[0], _POWERS[1]
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A hash of every word of lower-cased bytes, from the difference of two running sums."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    inside = np.zeros(len(raw) + 2, dtype=np.int8)
+    inside[1:-1] = WORD_BYTE[raw]
+    edges = np.diff(inside)
+    start, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    up, down = powers(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum(BYTE_VALUE[raw] * up[: len(raw)], out=total[1:])
+    return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(BASE))
 
 
 def shingles(text: bytes | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a whole text's word 5-grams; of its one sequence if it has fewer words."""
-    words = text.lower().split() if text else []
-    if not words:
+    if not text:
+        return np.empty(0, np.uint64)
+    data, parts = text.lower(), []
+    while len(data) > PIECE:  # very long texts go piece by piece, cut before white space
+        cut = max(data.rfind(c, 0, PIECE) for c in (b" ", b"\n", b"\t"))
+        if cut <= 0:
+            break
+        parts.append(word_hashes(data[:cut]))
+        data = data[cut:]
+    codes = np.concatenate([*parts, word_hashes(data)])
+    if not len(codes):
         return np.empty(0, np.uint64)
-    if len(_WORD_HASHES) > HASHED_WORDS:
-        _WORD_HASHES.clear()
-    known = _WORD_HASHES
-    for w in set(words).difference(known):
-        known[w] = xxhash.xxh3_64_intdigest(w)
-    codes = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-    size = min(WORDS, len(words))
-    total = np.zeros(len(words) - size + 1, dtype=np.uint64)
+    size = min(WORDS, len(codes))
+    total = np.zeros(len(codes) - size + 1, dtype=np.uint64)
     for i in range(size):
-        total = (total ^ codes[i : len(codes) - size + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        total ^= codes[i : len(codes) - size + 1 + i]
+        total *= np.uint64(0x9E3779B97F4A7C15)
         total ^= total >> np.uint64(29)
-    total = (total + np.uint64(size)) * np.uint64(0xBF58476D1CE4E5B9)
-    total ^= total >> np.uint64(32)
-    return np.unique(total)
+    total += np.uint64(size)
+    mixed(total).sort()
+    return total[np.concatenate([[True], total[1:] != total[:-1]])]
 
 
 def signature(elements: np.ndarray) -> int:
@@ -249,15 +291,42 @@ def verify(pairs: DataFrame, docs: DataFrame, wanted_of: DataFrame) -> DataFrame
     both = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("cid").alias("b"), F.col("text").alias("y")), "b")
 
     @F.pandas_udf("boolean")
-    def linked(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for s, t in zip(x, y, strict=True):
-            s, t = shingles(s), shingles(t)
-            common = len(np.intersect1d(s, t, assume_unique=True))
-            out.append(100 * common >= 75 * (len(s) + len(t) - common))
-        return pd.Series(out, dtype=bool)
+    def linked(a: pd.Series, b: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([similar(known_set(*s), known_set(*t)) for s, t in zip(zip(a, x), zip(b, y), strict=True)], dtype=bool)
+
+    return both.where(linked("a", "b", "x", "y")).select("a", "b")
+
+
+_SETS: dict[int, np.ndarray] = {}
+_HELD = [0]
+
+
+def known_set(cid: int, text: bytes) -> np.ndarray:
+    """A class's set; a worker keeps some, since a class often stands in many pairs."""
+    found = _SETS.get(cid)
+    if found is None:
+        found = shingles(text)
+        if _HELD[0] + len(found) > HELD_ELEMENTS:
+            _SETS.clear()
+            _HELD[0] = 0
+        _SETS[cid] = found
+        _HELD[0] += len(found)
+    return found
+
 
-    return both.where(linked("x", "y")).select("a", "b")
+def similar(s: np.ndarray, t: np.ndarray) -> bool:
+    """Whether two sorted sets link; given up as soon as too few elements are left to look up."""
+    if len(s) > len(t):
+        s, t = t, s
+    least, common = needed(len(s), len(t)), 0
+    step = max(64, len(s) // 8)
+    for at in range(0, len(s), step):
+        part = s[at : at + step]
+        place = np.minimum(np.searchsorted(t, part), len(t) - 1)
+        common += int(np.count_nonzero(t[place] == part))
+        if common + len(s) - at - len(part) < least:
+            return False
+    return 100 * common >= 75 * (len(s) + len(t) - common)
 
 
 def link_classes(docs: DataFrame, table: DataFrame) -> DataFrame:
@@ -270,13 +339,14 @@ def link_classes(docs: DataFrame, table: DataFrame) -> DataFrame:
     frequent = frequent_buckets(docs, bits)
     posted = post(docs, frequent, bits, limit)
     # small classes: everything under a subset links with its least class of the smaller size
-    small = materialise(posted.where("kind = 0").select("key", "cid", "size", "n").distinct(), "subsets")
+    few = materialise(posted.where("kind <> 1").distinct(), "few")
+    small = few.where("kind = 0").select("key", "cid", "size", "n")
     least = small.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min(F.when(F.col("size") == F.col("n"), F.col("cid"))).alias("root")).where((F.col("rows") > 1) & F.col("root").isNotNull())
     links = salted_lookup(small.select("key", "cid"), least, "key", "rows", ["cid"]).where(F.col("cid") != F.col("root")).select(F.col("root").alias("a"), F.col("cid").alias("b"))
     links = materialise(links.distinct(), "small")
     # large classes, rare elements: lists are short or fairly so
     scanned = materialise(scan_lists(posted.where("kind = 1").select("key", "n", "cid", "size").repartition("key")), "scanned")
-    heavy = posted.where("kind = 2").select("key", "n", "cid", "size").distinct().union(scanned.where("long").select(F.col("b").alias("key"), "n", F.col("a").alias("cid"), "size"))
+    heavy = few.where("kind = 2").select("key", "n", "cid", "size").union(scanned.where("long").select(F.col("b").alias("key"), "n", F.col("a").alias("cid"), "size"))
     heavy = materialise(heavy, "heavy")
     first = F.min(F.struct((F.col("n") / F.col("size")).alias("share"), "cid", "size", "n"))
     pivots = heavy.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), first.alias("p")).where(F.col("rows") > 1)
