@@ -145,17 +145,37 @@ def boundary(sizes: dict[int, int]) -> int:
     return best
 
 
-def classify(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, size, cid) of all documents."""
+def bucket_bits(docs: DataFrame) -> int:
+    """So many bits that a bucket gets PER_BUCKET elements or so, going by the texts' bytes."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return int(min(BUCKET_BITS[1], max(BUCKET_BITS[0], math.log2(max(size / 6, 1) / PER_BUCKET))))
+
+
+def classify(docs: DataFrame, bits: int) -> DataFrame:
+    """(rid, doc_id, size, cid) of all documents and, in rows with a chunk, each partition's counts
+    of the elements of its classes by bucket."""
+    shift = np.uint64(64 - bits)
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         row = TaskContext.get().partitionId() << 33
+        table = np.zeros(1 << bits, dtype=np.int64)
+        seen: set[int] = set()
         for batch in batches:
             sets = [shingles(t) for t in batch["text"]]
-            yield pd.DataFrame({"rid": np.arange(row, row + len(sets)), "doc_id": batch["doc_id"].astype("Int64"), "size": [len(s) for s in sets], "cid": [signature(s) for s in sets]})
+            cids = [signature(s) for s in sets]
+            new = [s for c, s in zip(cids, sets, strict=True) if not (c in seen or seen.add(c))]
+            if new:
+                table += np.bincount((np.concatenate(new) >> shift).astype(np.int64), minlength=len(table))
+            ids = {"rid": np.arange(row, row + len(sets)), "doc_id": batch["doc_id"].astype("Int64"), "size": [len(s) for s in sets], "cid": cids}
+            yield pd.DataFrame(ids).assign(chunk=None, part=None, counts=None)
             row += len(sets)
+        part = TaskContext.get().partitionId() % 64
+        for at in range(0, len(table), CHUNK):
+            piece = table[at : at + CHUNK]
+            if piece.any():
+                yield pd.DataFrame({"rid": [None], "doc_id": [None], "size": [None], "cid": [None], "chunk": [at // CHUNK], "part": [part], "counts": [piece.astype("<i8").tobytes()]})
 
-    return docs.select("doc_id", "text").mapInPandas(one, "rid long, doc_id long, size long, cid long")
+    return docs.select("doc_id", "text").mapInPandas(one, "rid long, doc_id long, size long, cid long, chunk int, part int, counts binary")
 
 
 def new_sets(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple[int, np.ndarray]]]:
@@ -172,27 +192,15 @@ def new_sets(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple[int, np.nda
         yield found
 
 
-def frequent_buckets(docs: DataFrame, bits: int) -> np.ndarray:
+def frequent_buckets(counts: DataFrame, bits: int) -> np.ndarray:
     """For each bucket of elements, whether far more than the average of them fall into it."""
-    shift = np.uint64(64 - bits)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = np.zeros(1 << bits, dtype=np.int64)
-        for found in new_sets(batches):
-            if found:
-                table += np.bincount((np.concatenate([e for _, e in found]) >> shift).astype(np.int64), minlength=len(table))
-        part = TaskContext.get().partitionId() % 64
-        for at in range(0, len(table), CHUNK):
-            piece = table[at : at + CHUNK]
-            if piece.any():
-                yield pd.DataFrame({"chunk": [at // CHUNK], "part": [part], "counts": [piece.astype("<i8").tobytes()]})
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(c, dtype="<i8") for c in rows["counts"])
         return pd.DataFrame({"chunk": rows["chunk"].iloc[:1], "part": rows["part"].iloc[:1], "counts": [total.astype("<i8").tobytes()]})
 
     schema = "chunk int, part int, counts binary"
-    sums = docs.select("text").mapInPandas(count, schema).groupBy("chunk", "part").applyInPandas(add, schema).withColumn("part", F.lit(0)).groupBy("chunk").applyInPandas(add, schema)
+    sums = counts.groupBy("chunk", "part").applyInPandas(add, schema).withColumn("part", F.lit(0)).groupBy("chunk").applyInPandas(add, schema)
     table = np.zeros(1 << bits)
     for row in sums.toLocalIterator():
         table[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["counts"], dtype="<i8")
@@ -329,14 +337,11 @@ def similar(s: np.ndarray, t: np.ndarray) -> bool:
     return 100 * common >= 75 * (len(s) + len(t) - common)
 
 
-def link_classes(docs: DataFrame, table: DataFrame) -> DataFrame:
+def link_classes(docs: DataFrame, table: DataFrame, frequent: np.ndarray, bits: int) -> DataFrame:
     """(node, component) of classes that link with others; `table` is what classify() gives for `docs`."""
     classes = materialise(table.where(F.col("size") > 0).groupBy("cid").agg(F.min("size").alias("size"), F.min("rid").alias("rid")), "classes")
     histogram = {r["size"]: r["count"] for r in classes.groupBy(F.least("size", F.lit(1000)).alias("size")).count().collect()}
     limit = boundary(histogram)
-    total = classes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    bits = int(min(BUCKET_BITS[1], max(BUCKET_BITS[0], math.log2(max(total, 1) / PER_BUCKET))))
-    frequent = frequent_buckets(docs, bits)
     posted = post(docs, frequent, bits, limit)
     # small classes: everything under a subset links with its least class of the smaller size
     few = materialise(posted.where("kind <> 1").distinct(), "few")
@@ -378,8 +383,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    table = materialise(classify(docs), "classified")
-    labels = link_classes(docs, table)
+    bits = bucket_bits(docs)
+    both = materialise(classify(docs, bits), "classified")
+    table = both.where("chunk IS NULL").select("rid", "doc_id", "size", "cid")
+    frequent = frequent_buckets(both.where("chunk IS NOT NULL").select("chunk", "part", "counts"), bits)
+    labels = link_classes(docs, table, frequent, bits)
     ids = table.where(F.col("size") > 0).groupBy("cid").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
     grouped = materialise(ids.join(labels, ids["cid"] == labels["node"], "left").select("cid", "least", "rows", F.coalesce("component", "cid").alias("label")), "classes")
     least = grouped.groupBy("label").agg(F.min("least").alias("component_id"), F.sum("rows").alias("group_rows"))
