@@ -40,8 +40,8 @@ WORDS = 5
 SHORT = 8
 #: Subset keys that verifying a small class's candidates is worth.
 VERIFY_COST = 32
-#: Bits of a bucket's number, by elements per bucket aimed at.
-BUCKET_BITS = (16, 26)
+#: Bits of a bucket's number, by elements per bucket aimed at; a task counts in a table of 64 MB at most.
+BUCKET_BITS = (16, 23)
 PER_BUCKET = 128
 CHUNK = 8192
 #: Bytes of a text hashed at once.
