@@ -423,6 +423,16 @@ def test_simhash_is_a_majority(spark):
     assert row["sim"] == want
 
 
+@pytest.mark.parametrize("n", [400, 511, 800, 1022, 2000])
+def test_simhash_has_one_rule_for_long_lines(spark, n):
+    words = [f"w{i % (n - 7)}" for i in range(n)]
+    lines = spark.createDataFrame([(0, words), (1, [*words, "onemore"])], "i int, words array<string>")
+    rows = linededup.with_simhash(lines).withColumn("h", F.transform("words", lambda w: F.xxhash64(w))).orderBy("i").collect()
+    for row in rows:
+        assert row["sim"] == sum((sum((h >> b) & 1 for h in row["h"]) * 2 > len(row["h"])) << b for b in range(63))
+    assert (rows[0]["sim"] ^ rows[1]["sim"]).bit_count() <= 6
+
+
 def test_block_keys_meet_within_the_distance(spark):
     rnd = random.Random(2)
     for _ in range(20):
