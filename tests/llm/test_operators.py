@@ -446,6 +446,31 @@ def test_block_keys_meet_within_the_distance(spark):
             break
 
 
+def spelled(rnd, length):
+    return "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(length))
+
+
+def kept_ids(spark, tmp_path, rows):
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(path)
+    return {r["doc_id"] for r in linededup.dedup_lines(spark.read.parquet(path)).collect()}
+
+
+def test_lines_with_words_replaced_are_found_at_any_length(spark, tmp_path):
+    rnd = random.Random(8)
+    rows = []
+    for n, changed in ((6, 1), (10, 1), (10, 2), (20, 2), (50, 2), (50, 5), (100, 8)):
+        for _ in range(20):
+            words = [spelled(rnd, rnd.randint(4, 9)) for _ in range(n)]
+            near = list(words)
+            for i in sorted(range(n), key=lambda i: (len(words[i]) > 5, rnd.random()))[:changed]:
+                near[i] = spelled(rnd, min(len(words[i]), 5))
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(near))]
+    kept = kept_ids(spark, tmp_path, rows)
+    assert {i for i in range(0, len(rows), 2)} <= kept
+    assert sum(i % 2 for i in kept) <= len(rows) // 2 * 0.03
+
+
 # --- near documents
 
 
