@@ -471,6 +471,29 @@ def test_lines_with_words_replaced_are_found_at_any_length(spark, tmp_path):
     assert sum(i % 2 for i in kept) <= len(rows) // 2 * 0.03
 
 
+def test_heavy_keys_lose_no_near_lines(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(linededup, "HEAVY", 2)
+    monkeypatch.setattr(linededup, "PER_SALT", 3)
+    rnd = random.Random(9)
+    common = [spelled(rnd, 14) for _ in range(5)]
+    rows = []
+    for _ in range(12):
+        words = common + [spelled(rnd, 8) for _ in range(20)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join([*words[:12], "other", *words[13:]]))]
+    assert kept_ids(spark, tmp_path, rows) == set(range(0, len(rows), 2))
+
+
+def test_lines_of_one_hash_all_meet(spark, tmp_path):
+    rnd = random.Random(10)
+    rows = []
+    for _ in range(6):
+        words = ["often"] * 11 + [spelled(rnd, 16) for _ in range(10)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join([*words[:15], spelled(rnd, 16), *words[16:]]))]
+    sims = linededup.with_simhash(spark.createDataFrame([(t.split(),) for _, t in rows], "words array<string>")).select("sim").distinct()
+    assert sims.count() == 1
+    assert kept_ids(spark, tmp_path, rows) == set(range(0, len(rows), 2))
+
+
 # --- near documents
 
 
