@@ -472,7 +472,6 @@ def test_lines_with_words_replaced_are_found_at_any_length(spark, tmp_path):
 
 
 def test_heavy_keys_lose_no_near_lines(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(linededup, "HEAVY", 2)
     monkeypatch.setattr(linededup, "PER_SALT", 3)
     rnd = random.Random(9)
     common = [spelled(rnd, 14) for _ in range(5)]
