@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,37 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from the columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
+def is_stored(docs: DataFrame) -> bool:
+    """Whether rows of `docs` carry the place they were read from. Only for a table as read, with columns or rows left out at most:
+    a join or generator makes several rows of one place."""
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return False
+    return True
+
+
+def placed(docs: DataFrame, file: str = "file", at: str = "at", stored: bool = False) -> DataFrame:
+    """Adds two numbers that identify a row in every scan, however files are split: its file's hash and its place in the file.
+
+    Where `docs` isn't a stored table as read, its rows are written out first.
+    """
+    docs = docs if stored else materialise(docs, "rows")
+    return docs.select("*", F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at))
+
+
 def fold_of(column: str, modulus: int):
     """crc32 of the key as text, modulo: a split that depends on the key alone. Null keys count as ''."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
