@@ -25,7 +25,7 @@ def duck(sf):
 
 
 def plain(value):
-    if value is None or value is pd.NaT or value != value:
+    if not isinstance(value, (list, dict)) and pd.isna(value):
         return None
     try:
         return f"{float(value):.6g}"
