@@ -28,12 +28,12 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, small_batches
+from .common import count_class, least_class, materialise, read_table, small_batches
 
 #: Words that the lexicon may hold; the count a word needs is chosen so that no more have it.
 LEXICON_WORDS = 150_000
 #: Entries of a worker's table of chunks already encoded; it starts anew when full.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 200_000
 #: Distinct words that the counting of one partition holds before it passes them on.
 COUNT_ENTRIES = 500_000
 
@@ -290,16 +290,20 @@ class Encoder:
             self.chunks[chunk] = b"".join(ids[w] if isinstance(w, str) else w.to_bytes(4, "little") for w in found)
 
 
-_ENCODERS: dict[tuple[str, str | None], Encoder] = {}
+_MERGES: dict[str, Merges] = {}
+
+
+def merges_of(vocabulary: str) -> Merges:
+    """The merges of the file of this name, which Spark has sent to the worker; a worker keeps those of one vocabulary."""
+    if vocabulary not in _MERGES:
+        _MERGES.clear()
+        _MERGES[vocabulary] = Merges(SparkFiles.get(vocabulary))
+    return _MERGES[vocabulary]
 
 
 def encoder(vocabulary: str, lexicon: str | None) -> Encoder:
-    """A worker's encoder for the files of these names, which Spark has sent to it; made once."""
-    key = (vocabulary, lexicon)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(Merges(SparkFiles.get(vocabulary)), Lexicon(SparkFiles.get(lexicon)) if lexicon else None)
-    return _ENCODERS[key]
+    """A task's encoder; its table of chunks goes when the task ends."""
+    return Encoder(merges_of(vocabulary), Lexicon(SparkFiles.get(lexicon)) if lexicon else None)
 
 
 def send(spark: SparkSession, path: str) -> str:
@@ -315,7 +319,7 @@ def count_words(docs: DataFrame, text: str, vocabulary: str) -> DataFrame:
     """Every word of all texts with its count: (word binary, n)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        merges = encoder(vocabulary, None).merges
+        merges = merges_of(vocabulary)
         seen: Counter[str] = Counter()
 
         def flush() -> pd.DataFrame:
@@ -340,17 +344,14 @@ def count_words(docs: DataFrame, text: str, vocabulary: str) -> DataFrame:
 def build_lexicon(docs: DataFrame, text: str, vocabulary: str, most: int = LEXICON_WORDS) -> str:
     """Compiles the frequent words of all texts and sends the automaton out; the name of its file."""
     counts = materialise(count_words(docs, text, vocabulary), "words")
-    # how many words have each count up to a large one: as many rows as there are such counts
-    capped = counts.groupBy(F.least("n", F.lit(1_000_000)).alias("n")).agg(F.count(F.lit(1)).alias("words")).toPandas().sort_values("n", ascending=False)
-    fits = capped["words"].cumsum() <= most
-    least = int(capped["n"][fits].min()) if fits.any() else int(capped["n"].max() if len(capped) else 0) + 1
+    least = least_class(counts, "n", most)
 
     def ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        merge = encoder(vocabulary, None).merges.merge
+        merge = merges_of(vocabulary).merge
         for batch in batches:
             yield pd.DataFrame({"word": batch["word"], "ids": merge([bytes(w) for w in batch["word"]])})
 
-    frequent = counts.where(F.col("n") >= least).select("word").mapInPandas(ids, "word binary, ids binary").toPandas()
+    frequent = counts.where(count_class(F.col("n")) >= least).select("word").mapInPandas(ids, "word binary, ids binary").toPandas()
     entries = sorted((bytes(w), bytes(x)) for w, x in zip(frequent["word"], frequent["ids"], strict=True))
     path = f"{tempfile.mkdtemp(prefix='lotwise-')}/lexicon.bin"
     compile_lexicon(entries, path)
@@ -364,8 +365,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
     lexicon = build_lexicon(docs, text, vocabulary)
 
     @F.pandas_udf("array<int>")
-    def ids(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(encoder(vocabulary, lexicon).encode(texts)), dtype=object).map(lambda x: x.astype(np.int32))
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        worker = encoder(vocabulary, lexicon)
+        for texts in batches:
+            yield pd.Series(list(worker.encode(texts)), dtype=object).map(lambda x: x.astype(np.int32))
 
     return docs.withColumn(out, ids(F.col(text).cast("string")))
 
@@ -376,29 +379,30 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
 
     @F.pandas_udf("string")
     def text(sequences: pd.Series) -> pd.Series:
-        merges = encoder(vocabulary, None).merges
+        merges = merges_of(vocabulary)
         return pd.Series(["" if x is None else merges.decode(np.asarray(x, dtype=np.int64)) for x in sequences], dtype=object)
 
     return docs.withColumn(out, text(F.col(ids)))
 
 
-def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Adds `bpe`: the number of tokens, and checksums of the ids and of the text decoded from them,
+def digests(docs: DataFrame, path: str, text: str = "text", out: str = "bpe") -> DataFrame:
+    """Adds a struct `out`: the number of tokens, and checksums of the ids and of the text decoded from them,
     without the ids leaving the worker."""
     small_batches(docs.sparkSession)
     vocabulary = send(docs.sparkSession, path)
     lexicon = build_lexicon(docs, text, vocabulary)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def both(texts: pd.Series) -> pd.DataFrame:
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         worker = encoder(vocabulary, lexicon)
-        rows = []
-        for ids in worker.encode(texts):
-            back = worker.merges.decode(ids)
-            rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.withColumn("bpe", both(F.col(text).cast("string")))
+        for texts in batches:
+            rows = []
+            for ids in worker.encode(texts):
+                back = worker.merges.decode(ids)
+                rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.withColumn(out, both(F.col(text).cast("string")))
 
 
 def default_vocabulary() -> str:

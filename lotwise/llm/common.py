@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of text that one Arrow batch may hold: bounds a Python worker's memory for long texts.
@@ -27,10 +27,12 @@ def small_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (tests) is a local folder chosen, once per session.
+    Only where that setting is absent and the driver is all there is (tests, benchmarks) is a local folder chosen, once per session.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lotwise.shared.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir isn't set: it names the folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="lotwise-")
         spark.conf.set("lotwise.shared.dir", root)
     return f"{root.rstrip('/')}/lotwise-{uuid.uuid4().hex}"
@@ -76,6 +78,18 @@ def placed(docs: DataFrame, file: str = "file", at: str = "at", stored: bool = F
     return docs.select("*", F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at))
 
 
+def count_class(n: Column) -> Column:
+    """A count as a class: itself up to 2^16, steps of a thousandth beyond, so that few classes hold any counts."""
+    return F.when(n <= 1 << 16, n).otherwise((1 << 16) + F.floor(F.log(n / F.lit(float(1 << 16))) * 1000)).cast("long")
+
+
+def least_class(counts: DataFrame, n: str, most: int) -> int:
+    """The least class such that it and those above have `most` rows at most; classes stay whole."""
+    classes = counts.groupBy(count_class(F.col(n)).alias("class")).count().toPandas().sort_values("class", ascending=False)
+    fits = classes["count"].cumsum() <= most
+    return int(classes["class"][fits].min()) if fits.any() else int(classes["class"].max() if len(classes) else 0) + 1
+
+
 def fold_of(column: str, modulus: int):
     """crc32 of the key as text, modulo: a split that depends on the key alone. Null keys count as ''."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
