@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialise, read_table, salted_lookup, small_batches
+from .common import components, is_stored, materialise, placed, read_table, salted_lookup, small_batches, unused
 
 WORDS = 5
 #: Classes in a list up to which all its pairs are taken.
@@ -45,9 +45,11 @@ BUCKET_BITS = (16, 23)
 PER_BUCKET = 128
 CHUNK = 8192
 #: Bytes of a text hashed at once.
-PIECE = 1 << 22
-#: Elements of sets that a worker keeps while it verifies pairs, 64 MB.
-HELD_ELEMENTS = 8_000_000
+PIECE = 1 << 19
+#: Elements of sets that a worker keeps while it verifies pairs, 32 MB.
+HELD_ELEMENTS = 4_000_000
+#: Rows of lists that a worker scans at once, and members of a heavy list that meet the rest of it in one task.
+LIST_ROWS, PER_SALT = 200_000, 512
 
 BASE = 0x9E3779B97F4A7C15
 #: Whether a byte belongs to a word, and a random value for each byte.
@@ -152,12 +154,11 @@ def bucket_bits(docs: DataFrame) -> int:
 
 
 def classify(docs: DataFrame, bits: int) -> DataFrame:
-    """(rid, doc_id, size, cid) of all documents and, in rows with a chunk, each partition's counts
+    """(file, at, doc_id, size, cid) of all documents and, in rows with a chunk, each partition's counts
     of the elements of its classes by bucket."""
     shift = np.uint64(64 - bits)
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        row = TaskContext.get().partitionId() << 33
         table = np.zeros(1 << bits, dtype=np.int64)
         seen: set[int] = set()
         for batch in batches:
@@ -166,16 +167,15 @@ def classify(docs: DataFrame, bits: int) -> DataFrame:
             new = [s for c, s in zip(cids, sets, strict=True) if not (c in seen or seen.add(c))]
             if new:
                 table += np.bincount((np.concatenate(new) >> shift).astype(np.int64), minlength=len(table))
-            ids = {"rid": np.arange(row, row + len(sets)), "doc_id": batch["doc_id"].astype("Int64"), "size": [len(s) for s in sets], "cid": cids}
+            ids = {"file": batch["file"], "at": batch["at"], "doc_id": batch["doc_id"].astype("Int64"), "size": [len(s) for s in sets], "cid": cids}
             yield pd.DataFrame(ids).assign(chunk=None, part=None, counts=None)
-            row += len(sets)
         part = TaskContext.get().partitionId() % 64
         for at in range(0, len(table), CHUNK):
             piece = table[at : at + CHUNK]
             if piece.any():
-                yield pd.DataFrame({"rid": [None], "doc_id": [None], "size": [None], "cid": [None], "chunk": [at // CHUNK], "part": [part], "counts": [piece.astype("<i8").tobytes()]})
+                yield pd.DataFrame({"file": [None], "at": [None], "doc_id": [None], "size": [None], "cid": [None], "chunk": [at // CHUNK], "part": [part], "counts": [piece.astype("<i8").tobytes()]})
 
-    return docs.select("doc_id", "text").mapInPandas(one, "rid long, doc_id long, size long, cid long, chunk int, part int, counts binary")
+    return docs.select("file", "at", "doc_id", "text").mapInPandas(one, "file long, at long, doc_id long, size long, cid long, chunk int, part int, counts binary")
 
 
 def new_sets(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple[int, np.ndarray]]]:
@@ -264,10 +264,9 @@ def fits_sql(s: str, i: str, t: str, j: str):
 
 
 def scan_lists(posted: DataFrame) -> DataFrame:
-    """From lists dealt out by key: pairs (a, b) of short lists with long null, and the rows of long lists."""
+    """From lists that come one after the other: pairs (a, b) of short lists with long null, and the rows of long lists."""
 
-    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([b for b in batches if len(b)] or [pd.DataFrame({"key": [], "n": [], "cid": [], "size": []}, dtype=np.int64)], ignore_index=True)
+    def pairs_of(rows: pd.DataFrame, long_key: int | None) -> Iterator[pd.DataFrame]:
         key, n, cid, size = (rows[c].to_numpy(dtype=np.int64) for c in ("key", "n", "cid", "size"))
         order = np.lexsort((cid, key))
         key, n, cid, size = key[order], n[order], cid[order], size[order]
@@ -277,6 +276,8 @@ def scan_lists(posted: DataFrame) -> DataFrame:
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
         length = np.repeat(np.diff(np.append(starts, len(key))), np.diff(np.append(starts, len(key))))
         long = length > SHORT
+        if long_key is not None:
+            long |= key == long_key
         yield pd.DataFrame({"a": cid[long], "b": key[long], "size": size[long].astype(np.int32), "n": n[long].astype(np.int32), "long": True})
         for gap in range(1, SHORT):
             i = np.flatnonzero((key[gap:] == key[:-gap]) & ~long[gap:]) if len(key) > gap else np.empty(0, np.int64)
@@ -285,6 +286,28 @@ def scan_lists(posted: DataFrame) -> DataFrame:
             pairs = pd.DataFrame({"a": cid[i[fine]], "b": cid[j[fine]]}).drop_duplicates()
             yield pairs.assign(size=0, n=0, long=False).astype({"size": np.int32, "n": np.int32})
 
+    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list[pd.DataFrame] = []
+        held, long_key = 0, None
+        for batch in batches:
+            waiting.append(batch)
+            held += len(batch)
+            if held >= LIST_ROWS:
+                rows = pd.concat(waiting, ignore_index=True)
+                # the last list may go on; it waits, unless it is long already
+                last = rows["key"] == rows["key"].iloc[-1]
+                rest = rows[last]
+                if int(last.sum()) > LIST_ROWS // 2:
+                    yield from pairs_of(rows[~last], long_key)
+                    long_key = int(rest["key"].iloc[0])
+                    yield from pairs_of(rest, long_key)
+                    waiting, held = [], 0
+                else:
+                    yield from pairs_of(rows[~last], long_key)
+                    waiting, held = [rest], len(rest)
+        if waiting:
+            yield from pairs_of(pd.concat(waiting, ignore_index=True), long_key)
+
     return posted.mapInPandas(one, "a long, b long, size int, n int, long boolean")
 
 
@@ -292,34 +315,37 @@ def verify(pairs: DataFrame, docs: DataFrame, wanted_of: DataFrame) -> DataFrame
     """The pairs (a, b) of classes whose sets link, by their whole texts."""
     wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
     # one row for each class; its text is fetched by the row's number
-    rows = wanted_of.join(wanted, "cid").select("cid", "rid")
+    rows = wanted_of.join(wanted, "cid").select("cid", "file", "at")
     rows = F.broadcast(rows) if rows.count() <= 500_000 else rows
-    numbered = docs.select("text", F.monotonically_increasing_id().alias("rid"))
-    texts = materialise(numbered.join(rows, "rid").select("cid", F.col("text").cast("binary").alias("text")), "texts")
+    texts = materialise(docs.select("text", "file", "at").join(rows, ["file", "at"]).select("cid", F.col("text").cast("binary").alias("text")), "texts")
     both = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("cid").alias("b"), F.col("text").alias("y")), "b")
 
     @F.pandas_udf("boolean")
-    def linked(a: pd.Series, b: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([similar(known_set(*s), known_set(*t)) for s, t in zip(zip(a, x), zip(b, y), strict=True)], dtype=bool)
+    def linked(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        held = HeldSets()
+        for a, b, x, y in batches:
+            yield pd.Series([similar(held.get(*s), held.get(*t)) for s, t in zip(zip(a, x), zip(b, y), strict=True)], dtype=bool)
 
     return both.where(linked("a", "b", "x", "y")).select("a", "b")
 
 
-_SETS: dict[int, np.ndarray] = {}
-_HELD = [0]
+class HeldSets:
+    """The sets of some classes; a task keeps them, since a class often stands in many pairs."""
 
+    def __init__(self) -> None:
+        self.sets: dict[int, np.ndarray] = {}
+        self.elements = 0
 
-def known_set(cid: int, text: bytes) -> np.ndarray:
-    """A class's set; a worker keeps some, since a class often stands in many pairs."""
-    found = _SETS.get(cid)
-    if found is None:
-        found = shingles(text)
-        if _HELD[0] + len(found) > HELD_ELEMENTS:
-            _SETS.clear()
-            _HELD[0] = 0
-        _SETS[cid] = found
-        _HELD[0] += len(found)
-    return found
+    def get(self, cid: int, text: bytes) -> np.ndarray:
+        found = self.sets.get(cid)
+        if found is None:
+            found = shingles(text)
+            if self.elements + len(found) > HELD_ELEMENTS:
+                self.sets.clear()
+                self.elements = 0
+            self.sets[cid] = found
+            self.elements += len(found)
+        return found
 
 
 def similar(s: np.ndarray, t: np.ndarray) -> bool:
@@ -339,7 +365,7 @@ def similar(s: np.ndarray, t: np.ndarray) -> bool:
 
 def link_classes(docs: DataFrame, table: DataFrame, frequent: np.ndarray, bits: int) -> DataFrame:
     """(node, component) of classes that link with others; `table` is what classify() gives for `docs`."""
-    classes = materialise(table.where(F.col("size") > 0).groupBy("cid").agg(F.min("size").alias("size"), F.min("rid").alias("rid")), "classes")
+    classes = materialise(table.where(F.col("size") > 0).groupBy("cid").agg(F.min("size").alias("size"), F.min(F.struct("file", "at")).alias("place")).select("cid", "size", "place.*"), "classes")
     histogram = {r["size"]: r["count"] for r in classes.groupBy(F.least("size", F.lit(1000)).alias("size")).count().collect()}
     limit = boundary(histogram)
     posted = post(docs, frequent, bits, limit)
@@ -350,7 +376,7 @@ def link_classes(docs: DataFrame, table: DataFrame, frequent: np.ndarray, bits:
     links = salted_lookup(small.select("key", "cid"), least, "key", "rows", ["cid"]).where(F.col("cid") != F.col("root")).select(F.col("root").alias("a"), F.col("cid").alias("b"))
     links = materialise(links.distinct(), "small")
     # large classes, rare elements: lists are short or fairly so
-    scanned = materialise(scan_lists(posted.where("kind = 1").select("key", "n", "cid", "size").repartition("key")), "scanned")
+    scanned = materialise(scan_lists(posted.where("kind = 1").select("key", "n", "cid", "size").repartition("key").sortWithinPartitions("key")), "scanned")
     heavy = few.where("kind = 2").select("key", "n", "cid", "size").union(scanned.where("long").select(F.col("b").alias("key"), "n", F.col("a").alias("cid"), "size"))
     heavy = materialise(heavy, "heavy")
     first = F.min(F.struct((F.col("n") / F.col("size")).alias("share"), "cid", "size", "n"))
@@ -364,10 +390,12 @@ def link_classes(docs: DataFrame, table: DataFrame, frequent: np.ndarray, bits:
     # members of heavy lists that the star left outside meet the others, now that few are left
     named = materialise(salted_lookup(heavy, pivots, "key", "rows", ["cid"]).join(labels, F.col("cid") == labels["node"], "left").select("key", "n", "cid", "size", "root", F.coalesce("component", "cid").alias("label")), "named")
     tops = named.where(F.col("cid") == F.col("root")).select("key", F.col("label").alias("top")).distinct()
-    counts = named.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
-    outside = salted_lookup(named, tops.join(counts, "key"), "key", "rows", ["cid"]).where(F.col("label") != F.col("top"))
-    outside = outside.select("key", *(F.col(c).alias(f"o_{c}") for c in ("n", "cid", "size", "label")))
-    met = outside.join(named, "key").where((F.col("o_label") != F.col("label")) & fits_sql("o_size", "o_n", "size", "n"))
+    counts = named.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high"))
+    mixed = materialise(salted_lookup(named, tops.join(counts.select("key", "rows"), "key"), "key", "rows", ["cid"]), "mixed")
+    salts = F.ceil(F.col("rows") / PER_SALT).cast("int")
+    outside = mixed.where(F.col("label") != F.col("top")).select("key", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), *(F.col(c).alias(f"o_{c}") for c in ("n", "cid", "size", "label")))
+    every = mixed.withColumn("salt", F.pmod(F.xxhash64("cid"), salts).cast("int"))
+    met = outside.join(every, ["key", "salt"]).where((F.col("o_label") != F.col("label")) & fits_sql("o_size", "o_n", "size", "n"))
     more = met.select(F.least("cid", "o_cid").alias("a"), F.greatest("cid", "o_cid").alias("b")).distinct()
     more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "more")
     if more.isEmpty():
@@ -376,16 +404,16 @@ def link_classes(docs: DataFrame, table: DataFrame, frequent: np.ndarray, bits:
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, row) for every row of a stored table (doc_id, text).
+    """(file, at, doc_id, n_shingles, component_id, label) for every row of (file, at, doc_id, text), see common.placed().
 
     Null and empty texts have no shingles and link with nothing: their component is their own
     id. Equal texts and repeated rows are linked. Null ids count as larger than all others.
     """
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    docs = docs.select("file", "at", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     bits = bucket_bits(docs)
     both = materialise(classify(docs, bits), "classified")
-    table = both.where("chunk IS NULL").select("rid", "doc_id", "size", "cid")
+    table = both.where("chunk IS NULL").select("file", "at", "doc_id", "size", "cid")
     frequent = frequent_buckets(both.where("chunk IS NOT NULL").select("chunk", "part", "counts"), bits)
     labels = link_classes(docs, table, frequent, bits)
     ids = table.where(F.col("size") > 0).groupBy("cid").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
@@ -393,24 +421,27 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     least = grouped.groupBy("label").agg(F.min("least").alias("component_id"), F.sum("rows").alias("group_rows"))
     # a class's rows are found through its number, a group's through its label: both joins are salted
     per_class = salted_lookup(grouped, grouped.groupBy("label").agg(F.count(F.lit(1)).alias("classes")).join(least, "label"), "label", "classes", ["cid"])
-    full = salted_lookup(table.where(F.col("size") > 0), per_class.select("cid", "rows", "component_id", "label"), "cid", "rows", ["rid"])
-    full = full.select("rid", "doc_id", F.col("size").alias("n_shingles"), "component_id", "label")
-    alone = table.where(F.col("size") == 0).select("rid", "doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("label"))
+    full = salted_lookup(table.where(F.col("size") > 0), per_class.select("cid", "rows", "component_id", "label"), "cid", "rows", ["file", "at"])
+    full = full.select("file", "at", "doc_id", F.col("size").alias("n_shingles"), "component_id", "label")
+    alone = table.where(F.col("size") == 0).select("file", "at", "doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("label"))
     return full.union(alone)
 
 
-def keep_one_of_group(docs: DataFrame) -> DataFrame:
+def keep_one_of_group(docs: DataFrame, stored: bool = False) -> DataFrame:
     """One document of each group of near ones, with all its columns: the one with the least id, and of
-    rows with that id the first. Documents without shingles stay. `docs` must be a stored table."""
-    found = materialise(jaccard_components(docs), "components")
+    rows with that id the first. Documents without shingles stay. Columns of any name may stand beside
+    doc_id and text. Rows are written out first, unless `docs` is `stored`, a table as read."""
+    file, at = unused(docs.columns, "file", "at")
+    rows = placed(docs, file, at, stored)
+    found = materialise(jaccard_components(rows.select(F.col(file).alias("file"), F.col(at).alias("at"), "doc_id", "text")), "components")
     grouped = found.where(F.col("label").isNotNull())
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
-    first = grouped.groupBy("label").agg(F.min(order).alias("kept")).select(F.col("kept.rid").alias("_rid"))
-    kept = first.union(found.where(F.col("label").isNull()).select("rid"))
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    return rows.join(kept, rows["_row"] == kept["_rid"], "left_semi").select(*docs.columns)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "at")
+    first = grouped.groupBy("label").agg(F.min(order).alias("kept")).select("kept.file", "kept.at")
+    kept = first.union(found.where(F.col("label").isNull()).select("file", "at")).toDF(file, at)
+    return rows.join(kept, [file, at], "left_semi").select(*docs.columns)
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The groups of near documents among all whole documents."""
-    return jaccard_components(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_components(placed(docs, stored=is_stored(docs))).select("doc_id", "n_shingles", "component_id")
