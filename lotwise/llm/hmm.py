@@ -4,9 +4,9 @@ Words are counted over the whole corpus. The most frequent ones are symbols of t
 on their own; all others share one symbol and are told apart by their counts; a last symbol
 ends every text. Baum-Welch runs as one Spark job per iteration: tasks sum up expected
 counts over their texts, Spark adds them by symbol, and the driver holds no more than the
-model. The E-step takes texts in blocks of BLOCK tokens, of which the first starts in the
-initial and the others in the stationary distribution; scores come from the scaled forward
-recursion over whole texts, exactly.
+model. Both the E-step and the scores run the scaled recursions over whole texts, exactly;
+of very long ones the forward messages are kept at some places only and computed again
+from there. Training ends when an iteration gains little likelihood.
 
 The counts of words beyond the broadcast table stay a table that is joined, so nothing on
 the driver or in a task grows with the vocabulary.
@@ -24,18 +24,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, materialise, read_table, small_batches
+from .common import count_class, fold_of, least_class, materialise, read_table, small_batches
 
 STATES = 8
 #: Words with a symbol of their own, and words whose counts go to every task; the rest is joined.
 SYMBOL_WORDS = 20_000
 KNOWN_WORDS = 200_000
-ITERATIONS = 6
-BLOCK = 128
+#: Iterations at most, and the gain of log10-likelihood a token that another one is worth.
+ITERATIONS, GAIN = 6, 0.002
 #: Tokens per symbol that a state's emissions are drawn towards the words' frequencies with.
 PRIOR = 0.5
-#: Blocks that an E-step handles side by side, texts that a scoring step does.
-BLOCKS_AT_ONCE = 8192
+#: Tokens that an E-step sorts by the length of their texts, and whose messages it holds at once.
+SORTED_TOKENS, HELD_TOKENS = 2_000_000, 200_000
+#: Texts that a scoring step handles side by side.
 TEXTS_AT_ONCE = 4000
 COUNT_ENTRIES = 500_000
 END, RARE = 0, 1
@@ -81,7 +82,7 @@ class Vocabulary:
     rest_mass: float
     """The sum of count + 1 over training words without a symbol of their own, and 1 for all unseen ones."""
     bar: int
-    """Words with fewer occurrences are in the joined table alone."""
+    """Words of lower classes of counts are in the joined table alone."""
 
     @property
     def size(self) -> int:
@@ -90,11 +91,10 @@ class Vocabulary:
 
 def build_vocabulary(counts: DataFrame, texts: int, symbol_words: int = SYMBOL_WORDS, known_words: int = KNOWN_WORDS) -> Vocabulary:
     sums = counts.agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("n"), F.count(F.when(F.col("n_train") > 0, 1)).alias("v")).first()
-    histogram = counts.groupBy(F.least("n_all", F.lit(1_000_000)).alias("n")).agg(F.count(F.lit(1)).alias("words")).toPandas().sort_values("n", ascending=False)
-    fits = histogram["words"].cumsum() <= known_words
-    bar = int(histogram["n"][fits].min()) if fits.any() else int(histogram["n"].max() if len(histogram) else 0) + 1
-    known = counts.where(F.col("n_all") >= bar).orderBy(F.desc("n_all"), "word").toPandas()
-    own = known.head(symbol_words)
+    bar, own_bar = least_class(counts, "n_all", known_words), least_class(counts, "n_train", symbol_words)
+    is_own = (F.col("n_train") > 0) & (count_class(F.col("n_train")) >= own_bar)
+    known = counts.where((count_class(F.col("n_all")) >= bar) | is_own).withColumn("own", is_own).orderBy(F.desc("own"), F.desc("n_train"), "word").toPandas()
+    own = known[known["own"]]
     outside = int(sums["n"]) + int(sums["v"]) - int(own["n_train"].sum()) - int((own["n_train"] > 0).sum())
     return Vocabulary([bytes(w) for w in known["word"]], known["n_train"].to_numpy(dtype=np.int64), len(own), int(sums["n"]) + texts, int(sums["v"]) + (texts > 0), texts, outside + 1.0, bar)
 
@@ -151,52 +151,72 @@ def initial(unigram: np.ndarray, states: int) -> Model:
     return Model(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
 
 
-def stationary(move: np.ndarray) -> np.ndarray:
-    share = np.full(len(move), 1 / len(move))
-    for _ in range(200):
-        share = share @ move
-    return share / share.sum()
-
-
-def expect(blocks: list[np.ndarray], first: list[bool], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts of emissions, moves and starts over blocks of tokens."""
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    length = np.array([len(blocks[i]) for i in order])
-    steps, many, states = int(length[0]), len(order), len(model.move)
-    seen = np.zeros((steps, many), dtype=np.int64)
-    for j, i in enumerate(order):
-        seen[: length[j], j] = blocks[i]
-    emit, move = model.emit.astype(np.float32), model.move.astype(np.float32)
-    begins = np.array([first[i] for i in order])
-    live = [int((length > t).sum()) for t in range(steps)]
-    alpha = np.zeros((steps, many, states), dtype=np.float32)
-    scale = np.ones((steps, many, 1), dtype=np.float32)
-    for t in range(steps):
-        n = live[t]
-        now = emit[seen[t, :n]]
-        now *= alpha[t - 1, :n] @ move if t else np.where(begins[:, None], model.start, stationary(model.move)).astype(np.float32)
-        scale[t, :n, 0] = now.sum(axis=1)
-        alpha[t, :n] = now / scale[t, :n]
-    moves = np.zeros((states, states))
-    beta = np.ones((many, states), dtype=np.float32)
-    starts = np.zeros(states)
-    for t in range(steps - 1, -1, -1):
-        n = live[t]
-        here = beta[:n].copy()
-        if t:
-            ahead = here * emit[seen[t, :n]] / scale[t, :n]
-            moves += alpha[t - 1, :n].T @ ahead
-            beta[:n] = ahead @ move.T
-        alpha[t, :n] *= here
-    starts += alpha[0][begins].sum(axis=0)
-    flat = seen.ravel()
-    weights = alpha.reshape(-1, states)
-    emissions = np.stack([np.bincount(flat, weights=weights[:, k], minlength=len(model.emit)) for k in range(states)], axis=1)
-    return emissions, moves * model.move, starts
+def segments(live: np.ndarray, held: int) -> list[tuple[int, int]]:
+    """Steps cut so that no segment has over `held` tokens, or one step."""
+    cuts, tokens = [0], 0
+    for t, n in enumerate(live.tolist()):
+        if tokens and tokens + n > held:
+            cuts.append(t)
+            tokens = 0
+        tokens += n
+    return list(zip(cuts, [*cuts[1:], len(live)], strict=True))
+
+
+def expect(texts: list[np.ndarray], model: Model, held: int = HELD_TOKENS) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts of emissions, moves and starts over whole texts, and the log10-likelihood of all."""
+    texts = sorted(texts, key=len, reverse=True)
+    length = np.array([len(t) for t in texts])
+    flat = np.concatenate(texts).astype(np.int64)
+    begin = np.cumsum(length) - length
+    live = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right")
+    states, symbols = len(model.move), len(model.emit)
+
+    def step(t: int, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes, scales and scaled forward messages of the texts that have a token t."""
+        n = int(live[t])
+        codes = flat[begin[:n] + t]
+        now = model.emit[codes]
+        now *= model.start if before is None else before[:n] @ model.move
+        scale = now.sum(axis=1)
+        now /= scale[:, None]
+        return codes, scale, now
+
+    cuts = segments(live, held)
+    marks: list[np.ndarray | None] = [None]
+    for first, after in cuts[:-1]:
+        alpha = marks[-1]
+        for t in range(first, after):
+            alpha = step(t, alpha)[2]
+        marks.append(alpha)
+    emissions, moves, starts, likelihood = np.zeros((symbols, states)), np.zeros((states, states)), np.zeros(states), 0.0
+    beta = np.ones((len(texts), states))
+    for (first, after), mark in zip(reversed(cuts), reversed(marks), strict=True):
+        kept, alpha = [], mark
+        for t in range(first, after):
+            kept.append(step(t, alpha))
+            alpha = kept[-1][2]
+        shares = []
+        for t in range(after - 1, first - 1, -1):
+            codes, scale, alpha = kept[t - first]
+            n = len(codes)
+            shares.append(alpha * beta[:n])
+            if t:
+                ahead = beta[:n] * model.emit[codes]
+                ahead /= scale[:, None]
+                before = kept[t - first - 1][2] if t > first else mark
+                moves += before[:n].T @ ahead
+                beta[:n] = ahead @ model.move.T
+            else:
+                starts += shares[-1].sum(axis=0)
+        codes = np.concatenate([k[0] for k in reversed(kept)])
+        weights = np.concatenate(shares)
+        likelihood += float(np.log10(np.concatenate([k[1] for k in kept])).sum())
+        emissions += np.stack([np.bincount(codes, weights=weights[:, k], minlength=symbols) for k in range(states)], axis=1)
+    return emissions, moves * model.move, starts, likelihood
 
 
 def train(coded: DataFrame, vocabulary: Vocabulary, states: int = STATES, iterations: int = ITERATIONS) -> Model:
-    """Baum-Welch over all training texts. Without any, the initial model over uniform words."""
+    """Baum-Welch over all training texts, until an iteration gains less than GAIN. Without texts, the initial model over uniform words."""
     context = coded.sparkSession.sparkContext
     # every count and one more, as in the base score: states are drawn towards these shares
     unigram = np.concatenate([[vocabulary.texts + 1.0, vocabulary.rest_mass], vocabulary.counts[: vocabulary.symbols] + 1.0])
@@ -204,38 +224,45 @@ def train(coded: DataFrame, vocabulary: Vocabulary, states: int = STATES, iterat
     model = initial(unigram, states)
     names = [f"e{k}" for k in range(states)]
     texts = coded.where(~F.col("held_out")).select("codes")
+    reached = -np.inf
     for _ in range(iterations if vocabulary.texts else 0):
         held = context.broadcast(model)
 
         def estep(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             now = held.value
-            total = [np.zeros_like(now.emit), np.zeros_like(now.move), np.zeros_like(now.start)]
-            blocks: list[np.ndarray] = []
-            first: list[bool] = []
+            total = [np.zeros_like(now.emit), np.zeros_like(now.move), np.zeros_like(now.start), 0.0]
+            waiting: list[np.ndarray] = []
 
             def add() -> None:
-                for sum_, more in zip(total, expect(blocks, first, now), strict=True):
-                    sum_ += more
-                blocks.clear()
-                first.clear()
-
+                waiting.sort(key=len, reverse=True)
+                some, tokens = [], 0
+                for codes in [*waiting, None]:
+                    if some and (codes is None or tokens + len(codes) > HELD_TOKENS):
+                        for i, more in enumerate(expect(some, now)):
+                            total[i] += more
+                        some, tokens = [], 0
+                    if codes is not None:
+                        some.append(codes)
+                        tokens += len(codes)
+                waiting.clear()
+
+            tokens = 0
             for batch in batches:
                 for raw in batch["codes"]:
-                    codes = np.frombuffer(raw, dtype="<u2")
-                    for at in range(0, len(codes), BLOCK):
-                        blocks.append(codes[at : at + BLOCK])
-                        first.append(at == 0)
-                        if len(blocks) == BLOCKS_AT_ONCE:
-                            add()
-            if blocks:
-                add()
+                    waiting.append(np.frombuffer(raw, dtype="<u2"))
+                    tokens += len(waiting[-1])
+                    if tokens > SORTED_TOKENS:
+                        add()
+                        tokens = 0
+            add()
             some = np.flatnonzero(total[0].any(axis=1))
-            keys = np.concatenate([some, -1 - np.arange(states), [-1 - states]])
-            values = np.concatenate([total[0][some], total[1], total[2][None, :]])
+            keys = np.concatenate([some, -1 - np.arange(states), [-1 - states, -2 - states]])
+            values = np.concatenate([total[0][some], total[1], total[2][None, :], np.eye(1, states) * total[3]])
             yield pd.DataFrame(values, columns=names).assign(key=keys.astype(np.int32))
 
         schema = ", ".join([*(f"{n} double" for n in names), "key int"])
         sums = texts.mapInPandas(estep, schema).groupBy("key").agg(*(F.sum(n).alias(n) for n in names)).toPandas().set_index("key")
+        held.destroy()
         counts = np.zeros_like(model.emit)
         at = sums.index.to_numpy()
         counts[at[at >= 0]] = sums[names].to_numpy()[at >= 0]
@@ -243,7 +270,9 @@ def train(coded: DataFrame, vocabulary: Vocabulary, states: int = STATES, iterat
         starts = sums.loc[-1 - states, names].to_numpy() + 1.0
         emit = counts + PRIOR * len(unigram) * unigram[:, None]
         model = Model(starts / starts.sum(), moves / moves.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
-        held.unpersist()
+        before, reached = reached, float(sums.loc[-2 - states, names[0]]) / vocabulary.tokens
+        if reached - before < GAIN:
+            break
     return model
 
 
@@ -314,7 +343,7 @@ def score_corpus(docs: DataFrame, states: int = STATES, iterations: int = ITERAT
     model = train(coded, vocabulary, states, iterations)
     # words beyond the broadcast table occur fewer than `bar` times, so no key of this join is large
     rare = coded.where(F.size("rare") > 0).select("rid", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("rid", F.col("x.rare").alias("word"), F.col("x.rare_n").alias("n"))
-    found = rare.join(counts.where(F.col("n_all") < vocabulary.bar).select("word", "n_train"), "word")
+    found = rare.join(counts.where(count_class(F.col("n_all")) < vocabulary.bar).select("word", "n_train"), "word")
     rest = found.groupBy("rid").agg(F.sum(F.col("n") * F.log10(F.col("n_train") + 1.0)).alias("more"), F.sum(F.when(F.col("n_train") > 0, F.col("n")).otherwise(0)).alias("known"))
     scored = score_texts(coded, model).join(rest, "rid", "left").withColumn("more", F.coalesce("more", F.lit(0.0)))
     below = float(np.log10(vocabulary.tokens + vocabulary.distinct + 1.0))
