@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import fold
+from ..functions.text import fold, fold_spaces
 
 # Patterns over folded text.
 DAMAGED = [
@@ -40,6 +40,42 @@ def damaged_keys(keys: Column) -> Column:
     return F.coalesce(F.exists(keys, lambda k: k.isin(DAMAGE_KEYS)), F.lit(False))
 
 
+# Signs of damage in a folded text, and keys and flags of it.
+ACCIDENT_SIGNS = [
+    r"\bhavarovan", r"\bhavarie\b", r"\bhavarii\b", r"\bpo\s+nehod", r"\bposkozen", r"\bpo\s+totalce\b", r"\bpo\s+totalni", r"\btotalk[ae]\b", r"\bna\s+nahradni\s+dily\b",
+    r"\bdemontovan", r"\bbouran", r"\bvrak\b", r"\bunfallwagen\b", r"\bunfallfahrzeug\b", r"\bunfall\b", r"\bunfallschaden\b", r"\bbeschadig", r"\bbastlerfahrzeug\b",
+    r"\bbastler\b", r"\bfrontschaden\b", r"\bheckschaden\b", r"\bgetriebeschaden\b", r"\bmotorschaden\b", r"\btotalschaden\b", r"\baccident[- ]?damaged\b", r"\bsalvage\b",
+]
+ACCIDENT_KEYS = ["accident_damaged", "accident", "damaged", "unfall", "unfallwagen", "bastlerfahrzeug", "totalschaden", "iscurrentlydamaged", "accidentdamaged"]
+TRUE_WORDS = ["true", "1", "yes", "ano", "ja"]
+
+
+def accident_text(text: Column) -> Column:
+    """Whether a text has a sign of damage. The stems come first: few texts have one, and those alone are matched."""
+    norm = fold_spaces(text)
+    stems = r"havar|nehod|poskoz|total|nahradni|demont|bour|vrak|unfall|beschad|bastl|schaden|accident|salvage"
+    return F.coalesce(norm.rlike(stems) & norm.rlike("|".join(ACCIDENT_SIGNS)), F.lit(False))
+
+
+def accident_keys(keys: Column) -> Column:
+    """Whether any feature is a key of damage or reads like one."""
+    return F.coalesce(F.exists(keys, lambda k: F.replace(fold_spaces(k), F.lit(" "), F.lit("_")).isin(ACCIDENT_KEYS) | accident_text(k)), F.lit(False))
+
+
+def accident_flags(flags: Column, tags: Column) -> Column:
+    """Whether a flag of damage is set (a map of texts), or a tag names damage."""
+    bare = lambda c: F.regexp_replace(fold_spaces(c), "[ _-]", "")
+    is_set = F.map_filter(flags, lambda k, v: bare(v).isin(TRUE_WORDS) & (bare(k).isin([k.replace("_", "") for k in ACCIDENT_KEYS]) | accident_text(k)))
+    return F.coalesce(F.size(is_set) > 0, F.lit(False)) | F.coalesce(F.exists(tags, lambda t: bare(t).isin([k.replace("_", "") for k in ACCIDENT_KEYS]) | accident_text(t)), F.lit(False))
+
+
+def accident(title: Column, texts: list[Column], keys: Column, flags: Column, tags: Column) -> Column:
+    out = accident_keys(keys) | accident_flags(flags, tags) | accident_text(title)
+    for text in texts:
+        out = out | accident_text(text)
+    return out
+
+
 def lease_reason(text: Column) -> Column:
     folded = fold(text, sharp_s=True)
     plain = any_of(folded, LEASE_WORDS) & ~any_of(folded, FINANCE_OPTION)

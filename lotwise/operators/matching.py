@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import equipment
 from ..functions import vocabulary as v
+from ..functions.extract import title_hits
 from ..functions.money import half_up
 from ..functions.text import fold, token_present
 
 # Fixed values of the match.
 CANDIDATES, LEAST_SCORE = 400, 38
 YEAR_ZERO, YEAR_MOST, KM_ZERO, KW_ZERO = 4, 8, 120_000, 35
+CC_ZERO, TITLE_HIT, TITLE_MOST, FEATURE_HIT, FEATURE_MOST = 400, 5, 15, 4, 16
 UNKNOWN_PENALTY = 4
 DOMESTIC = ["sauto", "bazos", "tipcars", "autobazar_eu"]
 
@@ -60,8 +63,8 @@ def retrieve(subjects: DataFrame, listings: DataFrame, most: int = CANDIDATES, y
     return found.withColumn("recency", newest).where(F.col("recency") <= most)
 
 
-def reject_reason() -> Column:
-    """The first hard rule that a candidate breaks, null if it passes; unknown attributes pass."""
+def reject_reason(drive: bool = False) -> Column:
+    """The first hard rule that a candidate breaks, null if it passes; unknown attributes pass. The `drive` is looked at where both sides have one."""
     def differ(kind: str) -> Column:
         return F.col(f"s_{kind}_key").isNotNull() & F.col(f"{kind}_key").isNotNull() & (F.col(f"s_{kind}_key") != F.col(f"{kind}_key"))
 
@@ -74,6 +77,7 @@ def reject_reason() -> Column:
         F.when(~titled & ~token_present(F.col("model_norm"), F.col("s_model_norm")), "model"),
         F.when(differ("fuel"), "fuel"),
         F.when(~v.transmissions_agree(F.col("s_transmission_key"), F.col("transmission_key")), "transmission"),
+        *([F.when(differ("drive"), "drive")] if drive else []),
         F.when(differ("body"), "body"),
         F.when(F.abs(F.col("year") - F.col("s_year")) > YEAR_MOST, "year_hard"),
     )
@@ -83,8 +87,12 @@ def near(delta: Column, zero_at: int, points: int) -> Column:
     return F.lit(float(points)) * (1 - F.least(F.abs(delta), F.lit(zero_at)) / F.lit(float(zero_at)))
 
 
-def score() -> Column:
-    """Similarity from 0 to 100 of a candidate that passed the hard rules."""
+def score(full: bool = False) -> Column:
+    """Similarity from 0 to 100 of a candidate that passed the hard rules.
+
+    The `full` score also weighs displacement, drive, words of the title and equipment, whose columns it needs:
+    displacement_cc, drive_key, feature_keys, and with s_ before them displacement_cc, drive, motorization, generation, trim, feature_keys.
+    """
     def graded(want: str, have: str, zero_at: int, points: int) -> Column:
         asked = F.col(want).isNotNull() & (F.col(want) > 0)
         return F.when(~asked, 0.0).when(F.col(have).isNull(), float(-UNKNOWN_PENALTY)).otherwise(near(F.col(have) - F.col(want), zero_at, points))
@@ -97,6 +105,16 @@ def score() -> Column:
     gearbox = gearbox.when(F.col("s_transmission_key") == F.col("transmission_key"), 4).when(F.col("s_transmission_key").isNotNull(), 2).otherwise(0)
     total = F.lit(42.0) + graded("s_year", "year", YEAR_ZERO, 18) + graded("s_mileage_km", "mileage_km", KM_ZERO, 14) + graded("s_power_kw", "power_kw", KW_ZERO, 8)
     total = total + confirmed("fuel", 3) + gearbox + confirmed("body", 2)
+    if full:
+        cc = F.col("displacement_cc") - F.col("s_displacement_cc")
+        total = total + F.when(~F.coalesce(F.col("s_displacement_cc") > 0, F.lit(False)), 0.0).when(cc.isNull(), -2.0).otherwise(near(cc, CC_ZERO, 6))
+        total = total + F.when(F.coalesce("s_drive", F.lit("")) == "", 0).when(F.col("drive_key").isNull(), -UNKNOWN_PENALTY).otherwise(2)
+        hits = title_hits(F.col("title_norm"), [F.col(f"s_{c}") for c in ("motorization", "generation", "trim")])
+        total = total + F.least(F.lit(TITLE_MOST), hits * TITLE_HIT)
+        wanted = F.coalesce("s_feature_keys", F.array().cast("array<string>"))
+        overlap = F.size(F.filter(wanted, lambda k: equipment.has_all(F.col("feature_keys"), F.array(k))))
+        bare = F.coalesce(F.size("feature_keys"), F.lit(0)) <= 0
+        total = total + F.when(F.size(wanted) == 0, 0).otherwise(F.least(F.lit(FEATURE_MOST), overlap * FEATURE_HIT) - F.when(bare, UNKNOWN_PENALTY).otherwise(0))
     return F.least(F.lit(100), F.greatest(F.lit(0), half_up(total))).cast("int")
 
 

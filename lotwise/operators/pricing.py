@@ -118,6 +118,11 @@ def firm_estimate(comps: DataFrame, as_of_year: int) -> DataFrame:
     return out.select("subject", m.to_thousand(held).alias("suggested"), m.to_thousand(F.col("p50")).alias("normalised"), m.to_thousand(F.col("p25")).alias("market_p25"), m.to_thousand(F.col("p75")).alias("market_p75"))
 
 
+def sample_level(sample: Column, year_window: Column) -> Column:
+    """high, medium or low by the number of comparables and the window of years alone."""
+    return F.when(sample < 5, "low").when((sample < 15) | (year_window >= 4), "medium").otherwise("high")
+
+
 def confidence(sample: Column, window: Column, low: Column, high: Column, typical: Column, features: Column, weak_features: Column, km_weak: Column, sold: Column) -> Column:
     """high, medium or low, from the sample's size, the year window, the band's width, the features and the sales.
 
