@@ -11,12 +11,6 @@ from pyspark.sql import functions as F
 from ..functions.text import fold, fold_spaces
 
 # Patterns over folded text.
-DAMAGED = [
-    "havarovan", "po havarii", "po nehode", "bouran", "nepojizdn", "na nahradni", "unfallwagen", "unfallfahrzeug", "unfallschaden", "bastlerfahrzeug", "totalschaden",
-    "wirtschaftlicher totalschaden", "motorschaden", "getriebeschaden", "accident damaged", "salvage", "repairable write-off", "damaged car",
-]
-UNDAMAGED = ["nehavarovan", "nebouran", "bez nehody", "neposkozen", "unfallfrei"]
-DAMAGE_KEYS = ["accident", "damaged", "havarovane", "po_nehode", "unfall", "salvage"]
 LEASE_PRODUCT = ["operak", "operativni leasing", "predplatne", "subscription", r"kc/mesic", r"/monat", "na mesic"]
 FINANCE_OPTION = ["moznost leasingu", "moznost financovani", "leasing mozny", "na leasing"]
 LEASE_WORDS = ["leasing", "pronajem"]
@@ -30,16 +24,6 @@ def any_of(c: Column, patterns: list[str]) -> Column:
     return F.coalesce(c.rlike("|".join(patterns)), F.lit(False))
 
 
-def damaged(text: Column) -> Column:
-    """Whether a text says that the vehicle is damaged; words that deny it are taken out first."""
-    folded = F.regexp_replace(fold(text, sharp_s=True), "|".join(UNDAMAGED), " ")
-    return any_of(folded, DAMAGED)
-
-
-def damaged_keys(keys: Column) -> Column:
-    return F.coalesce(F.exists(keys, lambda k: k.isin(DAMAGE_KEYS)), F.lit(False))
-
-
 # Signs of damage in a folded text, and keys and flags of it.
 ACCIDENT_SIGNS = [
     r"\bhavarovan", r"\bhavarie\b", r"\bhavarii\b", r"\bpo\s+nehod", r"\bposkozen", r"\bpo\s+totalce\b", r"\bpo\s+totalni", r"\btotalk[ae]\b", r"\bna\s+nahradni\s+dily\b",
@@ -47,7 +31,9 @@ ACCIDENT_SIGNS = [
     r"\bbastler\b", r"\bfrontschaden\b", r"\bheckschaden\b", r"\bgetriebeschaden\b", r"\bmotorschaden\b", r"\btotalschaden\b", r"\baccident[- ]?damaged\b", r"\bsalvage\b",
 ]
 ACCIDENT_KEYS = ["accident_damaged", "accident", "damaged", "unfall", "unfallwagen", "bastlerfahrzeug", "totalschaden", "iscurrentlydamaged", "accidentdamaged"]
-TRUE_WORDS = ["true", "1", "yes", "ano", "ja"]
+ACCIDENT_FLAGS = ["iscurrentlydamaged", "currentlydamaged", "accidentdamaged", "hasaccident", "hasaccidents", "accident", "damaged", "isdamaged", "unfallwagen", "unfall", "bastlerfahrzeug"]
+ACCIDENT_TAGS = ["accidentdamaged", "accident", "damaged", "unfall", "unfallwagen", "bastlerfahrzeug", "totalschaden", "iscurrentlydamaged"]
+TRUE_WORDS = ["1", "true", "yes", "ja", "y", "accident", "damaged", "unfall", "unfallwagen", "accidentdamaged", "bastlerfahrzeug"]
 
 
 def accident_text(text: Column) -> Column:
@@ -65,8 +51,8 @@ def accident_keys(keys: Column) -> Column:
 def accident_flags(flags: Column, tags: Column) -> Column:
     """Whether a flag of damage is set (a map of texts), or a tag names damage."""
     bare = lambda c: F.regexp_replace(fold_spaces(c), "[ _-]", "")
-    is_set = F.map_filter(flags, lambda k, v: bare(v).isin(TRUE_WORDS) & (bare(k).isin([k.replace("_", "") for k in ACCIDENT_KEYS]) | accident_text(k)))
-    return F.coalesce(F.size(is_set) > 0, F.lit(False)) | F.coalesce(F.exists(tags, lambda t: bare(t).isin([k.replace("_", "") for k in ACCIDENT_KEYS]) | accident_text(t)), F.lit(False))
+    is_set = F.map_filter(flags, lambda k, v: bare(v).isin(TRUE_WORDS) & (bare(k).isin(ACCIDENT_FLAGS) | accident_text(k)))
+    return F.coalesce(F.size(is_set) > 0, F.lit(False)) | F.coalesce(F.exists(tags, lambda t: bare(t).isin(ACCIDENT_TAGS) | accident_text(t)), F.lit(False))
 
 
 def accident(title: Column, texts: list[Column], keys: Column, flags: Column, tags: Column) -> Column:
@@ -100,8 +86,8 @@ def field_reason(year: Column, km: Column, price: Column, this_year: int) -> Col
 def reject(title: Column, year: Column, km: Column, price: Column, this_year: int) -> Column:
     """The first gate's reason, prefixed with the gate; null passes."""
     prefixed = lambda gate, reason: F.concat(F.lit(f"{gate}:"), reason)
-    damage = F.when(damaged(title), F.lit("damage:text"))
-    return F.coalesce(damage, prefixed("lease", lease_reason(title)), prefixed("parts", parts_reason(title, price)), prefixed("fields", field_reason(year, km, price, this_year)))
+    damage = F.when(accident_text(title), F.lit("damage:text"))
+    return F.coalesce(prefixed("lease", lease_reason(title)), prefixed("parts", parts_reason(title, price)), prefixed("fields", field_reason(year, km, price, this_year)), damage)
 
 
 def probe_verdict(status: Column, body_status: Column, text: Column) -> Column:

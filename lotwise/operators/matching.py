@@ -47,19 +47,25 @@ def keyed_listings(listings: DataFrame) -> DataFrame:
     )
 
 
-def retrieve(subjects: DataFrame, listings: DataFrame, most: int = CANDIDATES, years: int = 6) -> DataFrame:
+def retrieve(subjects: DataFrame, listings: DataFrame, most: int = CANDIDATES, years: int = 6, windows: tuple[int, ...] = ()) -> DataFrame:
     """The newest listings whose make and model hold the subject's, within `years`; unknown years pass.
 
-    The substring test runs on the distinct (make, model) pairs, of which there are few; what
-    it finds joins the listings by equality. Ties of last_seen go by id.
+    The substring test runs on the distinct names of both sides, of which there are few; what it finds joins
+    subjects and listings by equality. Ties of last_seen go by id. With `windows`, the newest of every status
+    and window of years are taken apart; a listing then stands once for each `window` that it is in.
     """
     pairs = listings.select("make_norm", "model_norm").distinct()
-    names = subjects.select("subject", "s_make_norm", "s_model_norm").alias("s")
+    names = subjects.where((F.col("s_make_norm") != "") & (F.col("s_model_norm") != "")).select("s_make_norm", "s_model_norm").distinct()
     hit = F.contains(F.col("make_norm"), F.col("s_make_norm")) & F.contains(F.col("model_norm"), F.col("s_model_norm"))
-    wanted = names.join(pairs, hit & (F.col("s_make_norm") != "") & (F.col("s_model_norm") != "")).select("subject", "make_norm", "model_norm")
-    found = listings.join(wanted, ["make_norm", "model_norm"]).join(subjects, "subject")
-    found = found.where(F.col("year").isNull() | F.col("s_year").isNull() | F.col("year").between(F.col("s_year") - years, F.col("s_year") + years))
-    newest = F.row_number().over(W.partitionBy("subject").orderBy(F.desc("last_seen"), "id"))
+    wanted = names.join(pairs, hit).select("s_make_norm", "s_model_norm", "make_norm", "model_norm")
+    found = listings.join(wanted, ["make_norm", "model_norm"]).join(subjects, ["s_make_norm", "s_model_norm"])
+    apart = F.coalesce(F.abs(F.col("year") - F.col("s_year")), F.lit(0))
+    found = found.where(apart <= years)
+    group = ["subject"]
+    if windows:
+        within = F.filter(F.array(*(F.lit(w) for w in windows)), lambda w: apart <= w)
+        found, group = found.withColumn("window", F.explode(within)), ["subject", "status", "window"]
+    newest = F.row_number().over(W.partitionBy(*group).orderBy(F.desc("last_seen"), "id"))
     return found.withColumn("recency", newest).where(F.col("recency") <= most)
 
 
@@ -118,9 +124,9 @@ def score(full: bool = False) -> Column:
     return F.least(F.lit(100), F.greatest(F.lit(0), half_up(total))).cast("int")
 
 
-def ranked(subjects: DataFrame, listings: DataFrame, least: int = LEAST_SCORE) -> DataFrame:
-    """Matches of every subject, best score first, then cheaper, then newer."""
-    found = retrieve(keyed_subjects(subjects), keyed_listings(listings))
+def ranked(subjects: DataFrame, listings: DataFrame, least: int = LEAST_SCORE, windows: tuple[int, ...] = ()) -> DataFrame:
+    """Matches of every subject, and `window` if these are asked for, best score first, then cheaper, then newer."""
+    found = retrieve(keyed_subjects(subjects), keyed_listings(listings), windows=windows)
     found = found.where(F.col("source").isin(DOMESTIC)).where(reject_reason().isNull()).withColumn("match_score", score()).where(F.col("match_score") >= least)
-    rank = F.row_number().over(W.partitionBy("subject").orderBy(F.desc("match_score"), "price_czk", "recency"))
+    rank = F.row_number().over(W.partitionBy("subject", *(["window"] if windows else [])).orderBy(F.desc("match_score"), "price_czk", "recency"))
     return found.withColumn("rank", rank)

@@ -12,6 +12,7 @@ from ..functions import money as m
 # Fixed values.
 WITHDRAWN_DAYS, LONG_DAYS, NO_DROP = 3, 14, 0.05
 FEW_COMPS, NARROW, WIDE = 8, 2, 6
+WINDOWS = (NARROW, WIDE)
 SALES_FOR_OVERRIDE = 5
 
 
@@ -29,6 +30,19 @@ def inside_fences(rows: DataFrame, key: list[str], value: str) -> DataFrame:
     return held.where((F.col("_n") < 4) | F.col(value).between(F.col("_q1") - reach, F.col("_q3") + reach)).drop("_n", "_q1", "_q3")
 
 
+def inside_fences_of_groups(rows: DataFrame, key: list[str], value: str) -> DataFrame:
+    """The same for groups of any size: quartiles are aggregated map-side first and joined back, no group is held together.
+
+    Rows of a null key stay.
+    """
+    cuts = rows.groupBy(*key).agg(F.count(value).alias("_n"), F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+    q1, q3 = (m.half_up(F.get("_q", F.lit(i))) for i in (0, 1))
+    held = rows.join(cuts, key, "left").withColumn("_q1", q1).withColumn("_q3", q3)
+    reach = 1.5 * (F.col("_q3") - F.col("_q1"))
+    kept = F.coalesce(F.col("_n") < 4, F.lit(True)) | F.col(value).between(F.col("_q1") - reach, F.col("_q3") + reach)
+    return held.where(kept).drop("_n", "_q", "_q1", "_q3")
+
+
 def days_on_market(now: str) -> Column:
     return m.days_between(F.coalesce("published_at", "first_seen"), F.coalesce("last_seen", F.lit(now).cast("timestamp")))
 
@@ -71,7 +85,9 @@ def fair_values(comps: DataFrame, now: str, as_of_year: int) -> DataFrame:
     live = inside_fences(live, ["subject"], "live").groupBy("subject").agg(percentile(F.col("live"), 0.5).alias("live_median"))
     typical_days = active.groupBy("subject").agg(percentile(F.col("days"), 0.5).alias("median_days"))
     gone = rows.where(F.col("status") == "removed").join(typical_days, "subject", "left")
-    judged = sold_proxy(F.col("days"), F.lit(False), F.col("median_days"), F.col("ask"))
+    # listings may carry whether their price fell, see comparables.dropped()
+    fell = F.coalesce("dropped", F.lit(False)) if "dropped" in comps.columns else F.lit(False)
+    judged = sold_proxy(F.col("days"), fell, F.col("median_days"), F.col("ask"))
     sold = gone.withColumn("proxy", judged["proxy"]).where("proxy IS NOT NULL").withColumn("proxy", F.col("proxy") + adjust(F.col("proxy")))
     sold = sold.groupBy("subject").agg(percentile(F.col("proxy"), 0.5).alias("sold_median"), F.count(F.lit(1)).alias("sold_count"))
     out = band.join(live, "subject", "left").join(sold, "subject", "left").withColumn("sold_count", F.coalesce("sold_count", F.lit(0)))
@@ -85,13 +101,12 @@ def fair_values(comps: DataFrame, now: str, as_of_year: int) -> DataFrame:
 def appraise(ranked: DataFrame, now: str, as_of_year: int, margin_pct: float = 8.0) -> DataFrame:
     """Fair value, band and dealer advice per subject, from comparables two years around, or six where those are few.
 
-    Both windows come from one retrieval: a subject's narrow count decides which rows it uses.
+    `ranked` has the rows of both windows (matching.ranked with WINDOWS): a subject's narrow count decides which it uses.
     """
-    delta = F.abs(F.col("year") - F.col("s_year"))
-    narrow = F.count(F.when((F.col("status") == "active") & (delta <= NARROW), 1)).over(W.partitionBy("subject"))
-    rows = ranked.withColumn("window", F.when(narrow >= FEW_COMPS, NARROW).otherwise(WIDE))
-    # at most 400 rows a subject, read by every statistic below: kept, and laid out by subject once
-    rows = rows.where(F.coalesce(delta, F.lit(0)) <= F.col("window")).persist(StorageLevel.MEMORY_AND_DISK)
+    narrow = F.count(F.when((F.col("status") == "active") & (F.col("window") == NARROW), 1)).over(W.partitionBy("subject"))
+    rows = ranked.withColumn("used", F.when(narrow >= FEW_COMPS, NARROW).otherwise(WIDE))
+    # at most 400 rows a subject and status, read by every statistic below: kept, and laid out by subject once
+    rows = rows.where(F.col("window") == F.col("used")).persist(StorageLevel.MEMORY_AND_DISK)
     windows = rows.groupBy("subject").agg(F.max("window").alias("year_window"))
     advice = m.dealer_advice(F.col("fair_value"), F.lit(margin_pct))
     return fair_values(rows, now, as_of_year).join(windows, "subject").select("*", *(c.alias(n) for n, c in advice.items()))

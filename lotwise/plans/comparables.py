@@ -77,7 +77,7 @@ FULL_SUBJECTS = f"""SELECT DISTINCT p_brand AS make, p_type AS model, 1996 + {N}
 
 def full_pairs(spark, sf_dir):
     """Every listing beside the subject of its make and model."""
-    subjects = spark.sql(FULL_SUBJECTS.replace("FROM part", f"FROM parquet.`{sf_dir}/part.parquet`"))
+    subjects = views.over_tables(spark, sf_dir, FULL_SUBJECTS.replace("FROM part", "FROM {part}"), "part")
     subjects = subjects.withColumn("feature_keys", F.filter(F.split("wanted", " "), lambda x: x != "")).withColumn("subject", F.concat_ws("|", "make", "model"))
     listings = matching.keyed_listings(views.listings(spark, sf_dir).withColumn("displacement_cc", F.expr("CASE WHEN power_kw % 4 <> 0 THEN power_kw * 20 END")))
     listings = listings.withColumn("feature_keys", F.when(F.col("power_kw") % 5 == 0, F.array().cast("array<string>")).otherwise(F.split("features", " "))).withColumn("drive_key", v.drive_key(F.col("drive")))

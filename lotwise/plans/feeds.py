@@ -55,19 +55,13 @@ def accident_text(spark, sf_dir):
     return with_phrases(spark, sf_dir, DAMAGE).select("p_partkey", (gates.accident_text(F.col("phrase")) | gates.accident_text(F.col("p_name"))).cast("int").alias("damaged"))
 
 
-@query("""SELECT doc_id, CAST(coalesce(regexp_matches(regexp_replace(lower(strip_accents(text)), '\\s+', ' ', 'g'), '\\b(havarovan|havarie\\b|havarii\\b|po nehod|poskozen|po totalce\\b|po totalni|totalka\\b|totalke\\b|na nahradni dily\\b|demontovan|bouran|vrak\\b|unfall(wagen|fahrzeug|schaden)?\\b|beschadig|bastler(fahrzeug)?\\b|(front|heck|getriebe|motor|total)schaden\\b|accident[- ]?damaged\\b|salvage\\b)'), false) AS INT) AS damaged FROM documents""")
-def accident_documents(spark, sf_dir):
-    """The same signs over whole documents."""
-    return views.table(spark, sf_dir, "documents").select("doc_id", gates.accident_text(F.col("text")).cast("int").alias("damaged"))
-
-
 @query("""SELECT p_partkey, CAST(p_partkey % 7 = 0 OR p_partkey % 11 = 0 OR p_partkey % 13 = 0 OR p_partkey % 17 = 0 OR p_partkey % 19 = 0 AS INT) AS damaged, CAST(p_partkey % 7 = 0 OR p_partkey % 11 = 0 AS INT) AS by_keys, CAST(p_partkey % 13 = 0 OR p_partkey % 17 = 0 AS INT) AS by_flags FROM part""")
 def accident_listing(spark, sf_dir):
     """The combined gate over features, flags, tags and texts."""
     on = lambda n, yes, no: F.when(F.col("p_partkey") % n == 0, F.lit(yes)).otherwise(F.lit(no))
     rows = views.table(spark, sf_dir, "part").select(
         "p_partkey", "p_name", F.array(F.lit("abs"), on(7, "Accident Damaged", "esp"), on(11, "totalschaden hinten", "bsm")).alias("keys"),
-        F.create_map(F.lit("accident_damaged"), on(13, "Ano", "ne"), F.lit("metallic"), F.lit("true")).alias("flags"), F.array(on(17, "is-currently-damaged", "new")).alias("tags"), on(19, "po nehodě", "po servisu").alias("note"),
+        F.create_map(F.lit("accident_damaged"), on(13, "Ja", "ne"), F.lit("metallic"), F.lit("true")).alias("flags"), F.array(on(17, "is-currently-damaged", "new")).alias("tags"), on(19, "po nehodě", "po servisu").alias("note"),
     )
     keys, flags = gates.accident_keys(F.col("keys")), gates.accident_flags(F.col("flags"), F.col("tags"))
     every = gates.accident(F.col("p_name"), [F.col("note")], F.col("keys"), F.col("flags"), F.col("tags"))

@@ -66,7 +66,7 @@ def market_rollup_fresh(spark, sf_dir):
 SELECT make, count(*) AS kept, {sql_pct('price_czk', .25)} AS p25, {sql_pct('price_czk', .5)} AS median, {sql_pct('price_czk', .75)} AS p75
 FROM q WHERE n < 4 OR price_czk BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY make""")
 def iqr_band(spark, sf_dir):
-    rows = pricing.inside_fences(views.listings(spark, sf_dir).select("make", "price_czk"), ["make"], "price_czk")
+    rows = pricing.inside_fences_of_groups(views.listings(spark, sf_dir).select("make", "price_czk"), ["make"], "price_czk")
     price = F.col("price_czk")
     return rows.groupBy("make").agg(F.count(F.lit(1)).alias("kept"), pricing.percentile(price, 0.25).alias("p25"), pricing.percentile(price, 0.5).alias("median"), pricing.percentile(price, 0.75).alias("p75"))
 
@@ -90,11 +90,9 @@ def seller_split(spark, sf_dir):
 SELECT make, CAST(count(*) AS BIGINT) AS sample, CASE WHEN count(*) >= 3 THEN {sql_pct('days', .5)} END AS median_days, max(CAST(n_known >= 3 AS INT)) AS published_only
 FROM c WHERE known OR n_known < 3 GROUP BY make""")
 def liquidity(spark, sf_dir):
-    from pyspark.sql import Window as W
-
     rows = views.listings(spark, sf_dir).where("status = 'active'").withColumn("days", pricing.days_on_market(NOW)).where("days IS NOT NULL")
     known = F.col("published_at").isNotNull()
-    rows = rows.withColumn("n_known", F.count(F.when(known, 1)).over(W.partitionBy("make"))).where(known | (F.col("n_known") < 3))
+    rows = rows.join(rows.groupBy("make").agg(F.count(F.when(known, 1)).alias("n_known")), "make").where(known | (F.col("n_known") < 3))
     return rows.groupBy("make").agg(F.count(F.lit(1)).alias("sample"), F.when(F.count(F.lit(1)) >= 3, pricing.percentile(F.col("days"), 0.5)).alias("median_days"), F.max((F.col("n_known") >= 3).cast("int")).alias("published_only"))
 
 
@@ -196,7 +194,15 @@ def hard_match_reason(spark, sf_dir):
     return found.groupBy("subject", F.coalesce(matching.reject_reason(), F.lit("pass")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-RANKED = RETRIEVE + f""", sc AS (SELECT *, CAST(least(100, greatest(0, floor(42.0::DOUBLE + 18.0::DOUBLE * (1 - least(abs(year - s_year), 4) / 4.0::DOUBLE)
+#: The newest of every status and window of years apart.
+WINDOWED = (
+    L + SUBJ
+    + """, c AS (SELECT l.*, s.subject, s.year AS s_year, s.mileage_km AS s_km, s.fuel AS s_fuel, s.transmission AS s_tr, s.body AS s_body, s.power_kw AS s_kw, k.win,
+   row_number() OVER (PARTITION BY s.subject, l.status, k.win ORDER BY l.last_seen DESC, l.id) AS recency
+ FROM subjects s JOIN listings l ON contains(lower(l.make), lower(s.make)) AND contains(lower(l.model), lower(s.model)) JOIN (VALUES (2), (6)) k(win) ON abs(l.year - s.year) <= k.win),
+ top AS (SELECT * FROM c WHERE recency <= 400)"""
+)
+SCORED = f""", sc AS (SELECT *, CAST(least(100, greatest(0, floor(42.0::DOUBLE + 18.0::DOUBLE * (1 - least(abs(year - s_year), 4) / 4.0::DOUBLE)
    + CASE WHEN s_km IS NULL THEN 0.0 WHEN mileage_km IS NULL THEN -4.0 ELSE 14.0::DOUBLE * (1 - least(abs(mileage_km - s_km), 120000) / 120000.0::DOUBLE) END
    + 8.0::DOUBLE * (1 - least(abs(power_kw - s_kw), 35) / 35.0::DOUBLE)
    + CASE WHEN s_fuel IS NULL THEN 0 WHEN fuel IS NULL THEN -4 ELSE 3 END
@@ -204,6 +210,7 @@ RANKED = RETRIEVE + f""", sc AS (SELECT *, CAST(least(100, greatest(0, floor(42.
    + CASE WHEN s_body IS NULL THEN 0 WHEN body IS NULL THEN -4 ELSE 2 END + .5))) AS INT) AS match_score
   FROM top WHERE source IN ('sauto', 'bazos', 'tipcars', 'autobazar_eu') AND ({REASON}) IS NULL),
  ranked AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY match_score DESC, price_czk, recency) AS rank FROM sc WHERE match_score >= 38)"""
+RANKED = RETRIEVE + SCORED
 
 
 @query(f"{RANKED} SELECT subject, id, match_score, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 200")
@@ -221,9 +228,9 @@ def sql_fence(table: str, value: str) -> str:
       WHERE n_ < 4 OR {value} BETWEEN q1_ - 1.5 * (q3_ - q1_) AND q3_ + 1.5 * (q3_ - q1_))"""
 
 
-FAIR = RANKED + f""", w AS (SELECT *, CASE WHEN count(*) FILTER (WHERE status = 'active' AND abs(year - s_year) <= 2) OVER (PARTITION BY subject) >= 8 THEN 2 ELSE 6 END AS year_window FROM ranked),
+FAIR = WINDOWED + SCORED + f""", w AS (SELECT *, CASE WHEN count(*) FILTER (WHERE status = 'active' AND win = 2) OVER (PARTITION BY subject) >= 8 THEN 2 ELSE 6 END AS year_window FROM ranked),
  u AS (SELECT *, CASE WHEN s_km > 0 THEN s_km ELSE greatest(1, 2002 - s_year + 1) * 15000 END AS km, CASE WHEN price_includes_vat = false THEN CAST(floor(price_czk * 1.21::DOUBLE + .5) AS BIGINT) ELSE price_czk END AS ask,
-   CASE WHEN last_seen >= coalesce(published_at, first_seen) THEN CAST(floor((epoch(last_seen) - epoch(coalesce(published_at, first_seen))) / 86400) AS BIGINT) END AS days FROM w WHERE abs(year - s_year) <= year_window),
+   CASE WHEN last_seen >= coalesce(published_at, first_seen) THEN CAST(floor((epoch(last_seen) - epoch(coalesce(published_at, first_seen))) / 86400) AS BIGINT) END AS days FROM w WHERE win = year_window),
  act AS (SELECT * FROM u WHERE status = 'active'),
  band AS (SELECT subject, {sql_pct('ask', .25)} AS p25, {sql_pct('ask', .5)} AS typical, {sql_pct('ask', .75)} AS p75, count(*) AS live_asks FROM {sql_fence('act', 'ask')} GROUP BY subject),
  lv AS (SELECT *, CAST(floor((ask + {sql_adjust('ask')}) * (1.0::DOUBLE - CASE WHEN days IS NULL THEN 0.08::DOUBLE WHEN days <= 14 THEN 0.05::DOUBLE WHEN days <= 45 THEN 0.08::DOUBLE ELSE 0.12::DOUBLE END) + .5) AS BIGINT) AS live FROM act),
@@ -243,7 +250,7 @@ FROM fv JOIN (SELECT subject, max(year_window) AS year_window FROM u GROUP BY su
 
 @query(FAIR)
 def appraisal_batch(spark, sf_dir):
-    return pricing.appraise(matching.ranked(views.subjects(spark, sf_dir), views.listings(spark, sf_dir)), NOW, views.AS_OF_YEAR)
+    return pricing.appraise(matching.ranked(views.subjects(spark, sf_dir), views.listings(spark, sf_dir), windows=pricing.WINDOWS), NOW, views.AS_OF_YEAR)
 
 
 @query(f"""{L}, f AS (SELECT make, power_kw, price_czk, string_split(features, ' ') AS keys FROM listings), w AS (SELECT DISTINCT make, unnest(keys) AS feature FROM f),
@@ -302,8 +309,6 @@ def price_history(spark, sf_dir):
 @query(f"""{L} SELECT source, id, last_seen FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY last_seen ASC NULLS FIRST, id) AS n FROM listings WHERE status = 'active') WHERE n <= 25""")
 def probe_oldest(spark, sf_dir):
     """The 25 active listings per source that were not seen for longest."""
-    from pyspark.sql import Window as W
-
     rows = views.listings(spark, sf_dir).where("status = 'active'").withColumn("n", F.row_number().over(W.partitionBy("source").orderBy(F.asc_nulls_first("last_seen"), "id")))
     return rows.where("n <= 25").select("source", "id", "last_seen")
 

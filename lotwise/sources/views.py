@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: The same rows in both engines: only functions that agree in Spark and DuckDB are used.
 LISTINGS_SQL = """
-SELECT DISTINCT
+SELECT
   concat_ws('-', CAST(l_orderkey AS VARCHAR(20)), CAST(l_linenumber AS VARCHAR(20)), CAST(l_partkey AS VARCHAR(20)), CAST(l_suppkey AS VARCHAR(20)),
             CAST(CAST(l_shipdate AS DATE) AS VARCHAR(20)), CAST(CAST(floor(l_extendedprice * 12 + 0.5) AS BIGINT) AS VARCHAR(20))) AS id,
   CASE l_suppkey % 6 WHEN 0 THEN 'sauto' WHEN 1 THEN 'bazos' WHEN 2 THEN 'tipcars' WHEN 3 THEN 'autobazar_eu' WHEN 4 THEN 'autoscout24' ELSE 'mobile_de' END AS source,
@@ -40,14 +40,15 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_
 """
 
 
-def register(spark: SparkSession, sf_dir: str, *names: str) -> None:
-    for name in names:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
+def over_tables(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
+    """The SQL over tables read by their paths, so that no view of the session is replaced."""
+    return spark.sql(sql, **{name: table(spark, sf_dir, name) for name in names})
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register(spark, sf_dir, "lineitem", "orders", "part")
-    return spark.sql(LISTINGS_SQL)
+    """One row per line item: the id holds all that tells two of them apart."""
+    sql = LISTINGS_SQL.replace("FROM lineitem JOIN orders", "FROM {lineitem} JOIN {orders}").replace("JOIN part", "JOIN {part}")
+    return over_tables(spark, sf_dir, sql, "lineitem", "orders", "part")
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,10 +75,9 @@ SELECT CAST(row_number() OVER (ORDER BY p_brand, p_type) AS BIGINT) AS subject,
        CASE WHEN length(p_brand) % 2 = 0 THEN 'Automatická' ELSE NULL END AS transmission,
        CASE WHEN length(p_type) % 5 = 0 THEN 'Kombi' ELSE NULL END AS body,
        CAST(60 + length(p_type) AS INT) AS power_kw
-FROM (SELECT DISTINCT p_brand, p_type FROM part WHERE p_size % 2 = 0) p
+FROM (SELECT DISTINCT p_brand, p_type FROM part) p
 """
 
 
 def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register(spark, sf_dir, "part")
-    return spark.sql(SUBJECTS_SQL)
+    return over_tables(spark, sf_dir, SUBJECTS_SQL.replace("FROM part)", "FROM {part})"), "part")

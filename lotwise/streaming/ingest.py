@@ -7,10 +7,12 @@ the result is the same as if it had run once.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.state import fold_state, merge_state
+from ..operators.state import price_log
 
 SCHEMA = "listing long, observed_at timestamp, seq long, price long, region string, features string"
 
@@ -25,36 +27,60 @@ def versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(p.getName()[1:]) for p in found if p.getName().startswith("v") and files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
 
-def read_state(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+TIMES = ["price_at", "region_at", "features_at"]
+
+
+def stored_state(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
     known = [v for v in versions(spark, f"{path}/state") if before is None or v < before]
     return spark.read.parquet(f"{path}/state/v{known[-1]}") if known else None
 
 
-def apply_batch(batch: DataFrame, number: int, path: str) -> None:
-    spark = batch.sparkSession
-    new = fold_state(batch)
-    old = read_state(spark, path, number)
-    before = None if old is None else old.select("listing", F.col("price").alias("known"))
-    if old is not None:
-        merged = merge_state(old, new, "listing", ["last_seen", "price"], ["region", "features"])
-        seen = old.select("listing", F.col("first_seen").alias("f"), F.col("sightings").alias("n")).join(new.select("listing", "first_seen", "sightings"), "listing", "full_outer")
-        seen = seen.select("listing", F.coalesce("f", "first_seen").alias("first_seen"), (F.coalesce("n", F.lit(0)) + F.coalesce("sightings", F.lit(0))).alias("sightings"))
-        new = merged.join(seen, "listing")
-    new.select("listing", "first_seen", "last_seen", "sightings", "price", "region", "features").write.mode("overwrite").parquet(f"{path}/state/v{number}")
-    from ..operators.state import price_log
+def read_state(spark: SparkSession, path: str) -> DataFrame | None:
+    state = stored_state(spark, path)
+    return None if state is None else state.drop(*TIMES)
+
+
+def folded(batch: DataFrame) -> DataFrame:
+    """A batch's observations as state, with the time that each value is from."""
+    order = F.struct("observed_at", "seq")
+    filled = {"price": order, "region": F.when(F.col("region").isNotNull(), order), "features": F.when(F.coalesce("features", F.lit("")) != "", order)}
+    values = [e for c, when in filled.items() for e in (F.max_by(c, when).alias(c), F.max(when).alias(f"{c}_at"))]
+    return batch.groupBy("listing").agg(F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"), F.count(F.lit(1)).alias("sightings"), *values)
 
+
+def merged(states: DataFrame) -> DataFrame:
+    """States of the same listings in one: the latest value of each column wins, in whatever order batches came."""
+    values = [e for t in TIMES for e in (F.max_by(t.removesuffix("_at"), t).alias(t.removesuffix("_at")), F.max(t).alias(t))]
+    return states.groupBy("listing").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("sightings").alias("sightings"), *values)
+
+
+def apply_batch(batch: DataFrame, number: int, path: str, after: Callable[[DataFrame, int], None] | None = None) -> None:
+    """Merges a batch into the state and appends its price changes; `after` then gets the new state, if the batch had rows.
+
+    Rows without a listing or a time, or with a price below zero, go to quarantine and stop nothing.
+    """
+    spark = batch.sparkSession
+    fine = F.col("listing").isNotNull() & F.col("observed_at").isNotNull() & F.coalesce(F.col("price") >= 0, F.lit(True))
+    batch.where(~fine).write.mode("overwrite").parquet(f"{path}/quarantine/batch={number}")
+    batch = batch.where(fine)
+    old = stored_state(spark, path, number)
+    new = folded(batch)
+    state = new if old is None else merged(old.unionByName(new))
+    state.write.mode("overwrite").parquet(f"{path}/state/v{number}")
     log = price_log(batch)
-    if before is not None:
+    if old is not None:
         first = log.groupBy("listing").agg(F.min(F.struct("observed_at", "seq")).alias("first"))
-        log = log.join(first, "listing").join(before, "listing", "left")
+        log = log.join(first, "listing").join(old.select("listing", F.col("price").alias("known")), "listing", "left")
         log = log.where((F.struct("observed_at", "seq") != F.col("first")) | F.col("known").isNull() | (F.col("known") != F.col("price")))
     log.select("listing", "observed_at", "seq", "price").write.mode("overwrite").parquet(f"{path}/log/batch={number}")
+    if after and not batch.isEmpty():
+        after(spark.read.parquet(f"{path}/state/v{number}").drop(*TIMES), number)
 
 
-def ingest(spark: SparkSession, source: str, path: str) -> None:
-    """Processes whatever has arrived since the last call, then stops."""
+def ingest(spark: SparkSession, source: str, path: str, after: Callable[[DataFrame, int], None] | None = None) -> None:
+    """Processes whatever has arrived since the last call, then stops; `after` aggregates the state of each batch with rows."""
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
-    query = stream.writeStream.foreachBatch(lambda batch, number: apply_batch(batch, number, path)).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(lambda batch, number: apply_batch(batch, number, path, after)).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
 
 

@@ -9,7 +9,8 @@ from lotwise import registry
 from lotwise.functions import money as m
 from lotwise.functions import text as t
 from lotwise.operators import gates, matching, pricing, state
-from lotwise.sources import snapshot
+from lotwise.sources import snapshot, views
+from lotwise.sources.adapter import ListingSource
 from lotwise.streaming import ingest
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -86,7 +87,7 @@ def test_texts(spark):
     assert one(spark, t.fold(lit(" Škoda ")), t.slug(lit("Octavia  Combi!"), "_"), t.fold(lit("Straße"), sharp_s=True)) == ("skoda", "octavia_combi", "strasse")
     assert one(spark, t.token_present(lit("skoda octavia combi"), lit("octavia-combi")), t.token_present(lit("fabia"), lit("octavia"))) == (True, False)
     assert one(spark, t.redact_contacts(lit("+420 603 589 309 a test@example.com"))) == ("[redacted] a [redacted]",)
-    assert one(spark, gates.damaged_keys(F.array(lit("abs"), lit("salvage")))) == (True,)
+    assert one(spark, gates.accident_keys(F.array(lit("abs"), lit("salvage")))) == (True,)
 
 
 def subject(**more):
@@ -123,7 +124,7 @@ def test_hard_rules_name_the_first_that_breaks(spark):
 
 
 def test_appraisal_of_sixteen_asks(spark):
-    ranked = matching.ranked(asked(spark), listed(spark, [listing(i) for i in range(16)]))
+    ranked = matching.ranked(asked(spark), listed(spark, [listing(i) for i in range(16)]), windows=pricing.WINDOWS)
     out = pricing.appraise(ranked, "2026-08-17 00:00:00", 2026).first()
     assert out["live_asks"] >= 8 and out["fair_value"] > 200000 and out["year_window"] == 2
     assert out["price_low"] <= out["price_typical"] <= out["price_high"]
@@ -131,7 +132,7 @@ def test_appraisal_of_sixteen_asks(spark):
 
 def test_sold_listings_lower_the_value(spark):
     rows = [listing(i) for i in range(10)] + [listing(20 + i, status="removed", price_czk=230000) for i in range(8)]
-    out = pricing.appraise(matching.ranked(asked(spark), listed(spark, rows)), "2026-08-17 00:00:00", 2026).first()
+    out = pricing.appraise(matching.ranked(asked(spark), listed(spark, rows), windows=pricing.WINDOWS), "2026-08-17 00:00:00", 2026).first()
     assert out["sold_count"] == 8 and out["fair_value"] < out["price_typical"]
 
 
@@ -159,6 +160,41 @@ def test_stream_ends_in_the_batch_result(spark, sf, tmp_path):
     assert log.count() == state.price_log(observed).count()
 
 
+def test_late_batches_change_nothing_that_is_newer(spark, sf, tmp_path):
+    observed = views.observations(spark, sf).drop("kind").select(*(c.split(" ")[0] for c in ingest.SCHEMA.split(", ")))
+    seen = []
+    for when in ("seq % 3 = 2", "seq % 3 = 0", "seq % 3 = 1"):
+        rows = observed.where(when)
+        if when == "seq % 3 = 0":
+            rows = rows.union(spark.createDataFrame([(None, None, 1, 5, None, None), (1, None, 2, -5, None, None)], ingest.SCHEMA))
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), after=lambda state, number: seen.append((number, state.count())))
+    got = {r["listing"]: r.asDict() for r in ingest.read_state(spark, str(tmp_path / "out")).collect()}
+    assert got == {r["listing"]: r.asDict() for r in state.fold_state(observed).collect()}
+    assert spark.read.parquet(str(tmp_path / "out/quarantine")).count() == 2 and seen[-1][1] == len(got)
+
+
+def test_records_come_through_a_data_source(spark):
+    class Fake(ListingSource):
+        """Two listings on every page."""
+
+        FIELDS = "page int, number int, title string"
+
+        @classmethod
+        def name(cls):
+            return "fake"
+
+        def pages(self):
+            return list(range(int(self.options.get("pages", "1"))))
+
+        def listings(self, page):
+            return [(page, i, f"{page}-{i}") for i in range(2)]
+
+    spark.dataSource.register(Fake)
+    rows = spark.read.format("fake").option("pages", "3").load()
+    assert sorted(map(tuple, rows.collect())) == [(p, i, f"{p}-{i}") for p in range(3) for i in range(2)]
+
+
 def test_placeholder_hash_is_fnv(spark, sf):
     names = {r["p_partkey"]: r["p_name"] for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
     for r in registry.QUERIES["placeholder_hash"](spark, sf).collect():
