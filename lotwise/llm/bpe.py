@@ -28,7 +28,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import count_class, least_class, materialise, read_table, small_batches
+from .common import count_class, kept_aside, least_class, materialise, read_table, small_batches, unused
 
 #: Words that the lexicon may hold; the count a word needs is chosen so that no more have it.
 LEXICON_WORDS = 150_000
@@ -359,7 +359,7 @@ def build_lexicon(docs: DataFrame, text: str, vocabulary: str, most: int = LEXIC
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """Adds the token ids of every whole text, array<int>; empty for null and empty texts. Other columns stay."""
+    """Adds the token ids of every whole text, array<int>; empty for null and empty texts. Other columns stay, one named `out` with an underscore before it."""
     small_batches(docs.sparkSession)
     vocabulary = send(docs.sparkSession, path)
     lexicon = build_lexicon(docs, text, vocabulary)
@@ -370,7 +370,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
         for texts in batches:
             yield pd.Series(list(worker.encode(texts)), dtype=object).map(lambda x: x.astype(np.int32))
 
-    return docs.withColumn(out, ids(F.col(text).cast("string")))
+    (raw,) = unused([*docs.columns, out], "raw")
+    return kept_aside(docs.withColumn(raw, F.col(text).cast("string")), out).withColumn(out, ids(raw)).drop(raw)
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -402,7 +403,8 @@ def digests(docs: DataFrame, path: str, text: str = "text", out: str = "bpe") ->
                 rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.withColumn(out, both(F.col(text).cast("string")))
+    (raw,) = unused([*docs.columns, out], "raw")
+    return kept_aside(docs.withColumn(raw, F.col(text).cast("string")), out).withColumn(out, both(raw)).drop(raw)
 
 
 def default_vocabulary() -> str:

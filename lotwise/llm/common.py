@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of text that one Arrow batch may hold: bounds a Python worker's memory for long texts.
-BATCH_ROWS = 500
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +18,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Whole texts go to Python in batches of at most BATCH_ROWS rows."""
+    """Whole texts go to Python in batches of at most BATCH_ROWS rows and about BATCH_BYTES, from now on in this session."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    # a few very long texts make a batch of their own
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,6 +61,13 @@ def unused(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def kept_aside(df: DataFrame, *names: str) -> DataFrame:
+    """Columns of these names get underscores before them, so that an operator can add its own under the names."""
+    taken = {n.lower() for n in names}
+    old = [c for c in df.columns if c.lower() in taken]
+    return df.withColumnsRenamed(dict(zip(old, unused([*df.columns, *names], *old), strict=True))) if old else df
+
+
 def is_stored(docs: DataFrame) -> bool:
     """Whether rows of `docs` carry the place they were read from. Only for a table as read, with columns or rows left out at most:
     a join or generator makes several rows of one place."""

@@ -15,17 +15,20 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, small_batches
+from .common import kept_aside, materialise, placed, read_table, small_batches, unused
 
 #: Item words that one automaton holds, about 200 MB of Python objects at most.
 BLOCK_WORDS = 400_000
 WINDOW = 10
+OVERLAP = "n_words long, n_hit long, items array<string>, spans array<struct<start:int, end:int>>"
 #: A document of which more than this share of words is hit goes as a whole.
 MAX_COVERAGE = 0.5
 
@@ -154,33 +157,82 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, window: int) -> Iterat
     yield SuffixAutomaton(held, window)
 
 
-def find_overlap(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+def find_overlap(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, stored: bool = False) -> DataFrame:
     """Adds a column `overlap`: n_words, n_hit, items (ids as sorted strings) and spans, the
     character positions [start, end) of maximal runs of hit words.
 
     Null and empty texts have no words; an empty benchmark hits nothing; an item with a null
-    id counts as ''; repeated items are named once.
+    id counts as ''; repeated items are named once. A column `overlap` that was there gets an
+    underscore before its name. A benchmark of several blocks takes a pass over the documents for
+    each, one automaton at a time; their rows are written out first then, unless `docs` is `stored`.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    automata = [spark.sparkContext.broadcast(a) for a in blocks(benchmark, item_id, item_text, window)]
+    small_batches(docs.sparkSession)
+    docs = kept_aside(docs, "overlap")
+    found = blocks(benchmark, item_id, item_text, window)
+    first, second = next(found), next(found, None)
+    if second is None:
+        return in_one_pass(docs, first, text)
+    return in_passes(docs, chain([first, second], found), text, stored)
 
-    @F.pandas_udf("n_words long, n_hit long, items array<string>, spans array<struct<start:int, end:int>>")
+
+def in_one_pass(docs: DataFrame, automaton: SuffixAutomaton, text: str) -> DataFrame:
+    held = docs.sparkSession.sparkContext.broadcast(automaton)
+
+    @F.pandas_udf(OVERLAP)
     def overlap(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for value in texts:
             words = words_of(value)
-            hit, items = np.zeros(len(words), dtype=bool), set()
-            for automaton in automata:
-                here, numbers = automaton.value.matches(words)
-                hit |= here
-                items.update(automaton.value.names[n] for n in numbers)
-            rows.append((len(words), int(hit.sum()), sorted(items), spans_of(value, hit) if hit.any() else []))
+            hit, items = held.value.matches(words)
+            rows.append((len(words), int(hit.sum()), sorted({held.value.names[n] for n in items}), spans_of(value, hit) if hit.any() else []))
         return pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "spans"])
 
     return docs.withColumn("overlap", overlap(F.col(text).cast("binary")))
 
 
+def hits_of(held: Broadcast):
+    """A function that finds the runs of hit words, starts and ends in turn, and the items, by one automaton."""
+
+    @F.pandas_udf("runs array<int>, names array<string>")
+    def hits(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for value in texts:
+            hit, items = held.value.matches(words_of(value))
+            out.append((np.flatnonzero(np.diff(np.concatenate([[0], hit, [0]]))).astype(np.int32), [held.value.names[n] for n in items]))
+        return pd.DataFrame(out, columns=["runs", "names"])
+
+    return hits
+
+
+def in_passes(docs: DataFrame, automata: Iterator[SuffixAutomaton], text: str, stored: bool) -> DataFrame:
+    """A pass for every automaton, which finds runs of hit words; a last one joins a document's runs."""
+    context = docs.sparkSession.sparkContext
+    file, at, runs, names = unused([*docs.columns, "overlap"], "file", "at", "runs", "names")
+    rows = placed(docs, file, at, stored)
+    found = None
+    for automaton in automata:
+        held = context.broadcast(automaton)
+        part = rows.select(F.col(file).alias("file"), F.col(at).alias("at"), hits_of(held)(F.col(text).cast("binary")).alias("h")).where(F.size("h.runs") > 0)
+        part = materialise(part.select("file", "at", "h.*"), "hits")
+        found = part if found is None else found.union(part)
+        held.destroy()
+    joined = found.groupBy("file", "at").agg(F.flatten(F.collect_list("runs")).alias(runs), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias(names))
+    rows = rows.join(joined.withColumnsRenamed({"file": file, "at": at}), [file, at], "left")
+
+    @F.pandas_udf(OVERLAP)
+    def overlap(texts: pd.Series, runs: pd.Series, names: pd.Series) -> pd.DataFrame:
+        out = []
+        for value, ends, items in zip(texts, runs, names, strict=True):
+            words = words_of(value)
+            hit = np.zeros(len(words), dtype=bool)
+            for start, end in np.reshape([] if ends is None else ends, (-1, 2)).astype(np.int64):
+                hit[start:end] = True
+            out.append((len(words), int(hit.sum()), [] if items is None else list(items), spans_of(value, hit) if hit.any() else []))
+        return pd.DataFrame(out, columns=["n_words", "n_hit", "items", "spans"])
+
+    return rows.withColumn("overlap", overlap(F.col(text).cast("binary"), runs, names)).drop(file, at, runs, names)
+
+
 def spans_of(text: bytes, hit: np.ndarray) -> list[dict]:
     """Character positions of the runs of hit words."""
     places = [m.span() for m in WORD.finditer(text.translate(FOLD))]
@@ -196,7 +248,7 @@ def remove_overlap(docs: DataFrame, benchmark: DataFrame, max_coverage: float =
     Documents without a hit, null and empty ones included, stay as they are.
     """
     kept = docs.columns
-    found = find_overlap(docs.withColumnRenamed("overlap", "_overlap") if "overlap" in kept else docs, benchmark)
+    found = find_overlap(docs, benchmark)
     found = found.where((F.col("overlap.n_hit") == 0) | (F.col("overlap.n_hit") <= F.col("overlap.n_words") * max_coverage))
 
     @F.pandas_udf("string")
@@ -213,8 +265,8 @@ def remove_overlap(docs: DataFrame, benchmark: DataFrame, max_coverage: float =
         return pd.Series([one(*x) for x in zip(texts, spans, strict=True)], dtype=object)
 
     clean = found.withColumn("text", F.when(F.col("overlap.n_hit") > 0, cut("text", "overlap.spans")).otherwise(F.col("text"))).drop("overlap")
-    clean = clean.withColumnRenamed("_overlap", "overlap") if "overlap" in kept else clean
-    return clean.select(*kept)
+    # the columns stand in the input's order, under its names
+    return clean.toDF(*kept)
 
 
 def op3_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,8 +18,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import read_table
+from .common import kept_aside, read_table
 
 #: Hash buckets per shard; a bucket's keys are sorted in one task.
 SLOT_BUCKETS = 1024
@@ -56,11 +57,15 @@ def jump_shard(key: Column, shards: int) -> Column:
 
 
 def assign_shards(df: DataFrame, key: Column, shards: int) -> DataFrame:
-    """Every row with `shard` and, for one more shard, `grown_shard`; string keys are hashed first.
+    """Every row with `shard` and, for one more shard, `grown_shard`; keys that aren't whole numbers are hashed first.
 
-    An empty table stays empty; rows with equal keys share a shard; other columns pass through.
+    An empty table stays empty; rows with equal keys share a shard; a null key counts as key 0. Other columns pass
+    through, those of the two names with an underscore before them.
     """
-    return df.withColumn("shard", jump_shard(key, shards)).withColumn("grown_shard", jump_shard(key, shards + 1))
+    kind = df.select(key.alias("k")).schema["k"].dataType
+    df = df.withColumn("_jump_key", key if isinstance(kind, IntegralType) else F.when(key.isNotNull(), F.xxhash64(key)))
+    df, key = kept_aside(df, "shard", "grown_shard"), F.col("_jump_key")
+    return df.withColumn("shard", jump_shard(key, shards)).withColumn("grown_shard", jump_shard(key, shards + 1)).drop("_jump_key")
 
 
 def number_slots(groups: DataFrame, shard: str, order: list[str], copies: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, materialise, read_table, small_batches
+from .common import fold_of, kept_aside, materialise, read_table, small_batches
 
 #: Labelled rows that the classifier is fitted on, at most (chosen by a hash of the key).
 SAMPLE_ROWS = 20_000
@@ -139,22 +139,29 @@ class ToxicityModel:
     constant: float = 0.0
 
     def score(self, rows: DataFrame, text: str = "text") -> DataFrame:
-        """Adds `score`, from 0 to 1. A model that saw one class alone gives its share to every text."""
+        """Adds `score`, from 0 to 1. A model that saw one class alone gives its share to every text.
+
+        Other columns stay, whatever their names, one named `score` with an underscore before it.
+        """
+        rows = kept_aside(rows, "score")
         if self.trees is None:
             return rows.withColumn("score", F.lit(self.constant))
-        dense = with_features(rows, self.lexicon, text).withColumn("features", array_to_vector("dense"))
+        # the trees add columns of their own names: the input's columns stand under numbers meanwhile
+        plain = rows.toDF(*(f"_{i}" for i in range(len(rows.columns))))
+        at = next(i for i, c in enumerate(rows.columns) if c.lower() == text.lower())
+        dense = with_features(plain, self.lexicon, f"_{at}").withColumn("features", array_to_vector("dense"))
         raw = self.trees.transform(dense).withColumn("margin", vector_to_array("probability")[1])
-        # steps of the calibration are flat: a small share of the margin keeps the order within them
-        scored = self.calibration.transform(raw).withColumn("score", F.col("calibrated") * 0.98 + F.col("margin") * 0.02)
-        return scored.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "score")))
+        score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("calibrated")))
+        return self.calibration.transform(raw).select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(rows.columns)), score.alias("score"))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
-    """Fits on labelled rows (doc_id, toxic of 0 or 1) of documents (doc_id, text); other labels are left out."""
-    usable = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    """Fits on labelled rows (doc_id, toxic of 0 or 1) of documents (doc_id, text); other labels, and ids with both, are left out."""
+    usable = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.min(F.col("toxic").cast("int")).alias("toxic"), F.max(F.col("toxic").cast("int")).alias("most"))
+    usable = usable.where(F.col("toxic") == F.col("most")).select("doc_id", "toxic")
     total = usable.count()
     share = min(1.0, 0.97 * sample_rows / max(total, 1))
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).limit(sample_rows)
+    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(10))
     rows = materialise(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("part", part).coalesce(12), "labelled")
     lexicon = learn_lexicon(rows.where(F.col("part") < 4))

@@ -29,6 +29,8 @@ from .common import materialise, read_table, salted_lookup, shared_dir, small_ba
 
 #: Bytes after which the query's ARC writer begins a new archive.
 ARC_BYTES = 1 << 17
+#: Records of a WARC file at most.
+RECORDS_A_FILE = 5_000
 
 #: Fields of a record's header line by ARC version, and the name of the version block.
 ARC_FIELDS = {
@@ -123,16 +125,16 @@ def convert(archives: DataFrame, name: str = "archive", content: str = "content"
 
 def mark_revisits(records: DataFrame, order: Column, min_bytes: int = 0) -> DataFrame:
     """Adds `order`, and for records whose payload of at least `min_bytes` another has too, `original`:
-    the largest order among them, null for that one itself (and its equals) and for unique ones.
+    the id of the record with the largest order among them, null for that one itself (and its equals) and for unique ones.
 
     Null orders come before all others. The most common payload may be any share of the rows:
     digests are counted map-side first and the join with their counts is salted.
     """
     records = records.withColumn("order", order).withColumn("_digest", F.concat_ws(":", "payload_digest", "payload_bytes"))
-    stats = materialise(records.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n"), F.max("order").alias("_last")), "digests")
+    stats = materialise(records.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n"), F.max(F.struct("order", "record_id")).alias("_last")), "digests")
     joined = salted_lookup(records, stats, "_digest", "_n", ["order", "record_id"])
-    repeats = (F.col("_n") > 1) & (F.col("payload_bytes") >= min_bytes) & ~F.col("order").eqNullSafe(F.col("_last"))
-    return joined.withColumn("original", F.when(repeats, F.col("_last"))).withColumn("repeats", repeats).drop("_digest", "_n", "_last")
+    repeats = (F.col("_n") > 1) & (F.col("payload_bytes") >= min_bytes) & ~F.col("order").eqNullSafe(F.col("_last.order"))
+    return joined.withColumn("original", F.when(repeats, F.col("_last.record_id"))).withColumn("repeats", repeats).drop("_digest", "_n", "_last")
 
 
 def warc_text(records: DataFrame) -> DataFrame:
@@ -151,7 +153,7 @@ def warc_text(records: DataFrame) -> DataFrame:
         line("WARC-Target-URI", F.col("url")),
         line("WARC-IP-Address", F.when(F.col("ip") != "0.0.0.0", F.col("ip"))),
         line("WARC-Profile", F.when(revisit, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        line("WARC-Refers-To", F.when(revisit, F.concat(F.lit("<urn:x-order:"), F.col("original").cast("string"), F.lit(">")))),
+        line("WARC-Refers-To", F.when(revisit, F.col("original"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         line("WARC-Block-Digest", F.concat(F.lit("sha1:"), F.when(revisit, F.col("head_digest")).otherwise(F.col("block_digest")))),
         line("Content-Type", F.when(F.octet_length("head") > 0, "application/http; msgtype=response").otherwise(F.col("mime"))),
@@ -163,7 +165,8 @@ def warc_text(records: DataFrame) -> DataFrame:
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    warc_text(records).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    """One record after the other, in files of at most RECORDS_A_FILE, each one gzip member."""
+    warc_text(records).write.option("maxRecordsPerFile", RECORDS_A_FILE).option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def parse_warc(file: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -260,12 +263,20 @@ def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = read_warc(spark, path)
     found = F.regexp_extract("head", r"X-Page-Id: (-?\d+)\r\n", 1)
     length = F.regexp_extract("head", r"Content-Length: (\d+)\r\n", 1)
-    refers = F.regexp_extract(F.col("headers")["warc-refers-to"], r"<urn:x-order:(-?\d+)>", 1)
-    return back.select(
+    rows = back.select(
         F.when(found != "", found.cast("long")).alias("page_id"),
         length.cast("long").alias("payload_bytes"),
         F.regexp_replace(F.col("headers")["warc-payload-digest"], "^sha1:", "").alias("payload_digest"),
         F.col("headers")["warc-type"].alias("record_type"),
-        F.when(refers != "", refers.cast("long")).alias("refers_to"),
-        F.col("intact"),
+        "intact",
+        F.col("headers")["warc-record-id"].alias("record_id"),
+        F.col("headers")["warc-refers-to"].alias("refers"),
     )
+    rows = materialise(rows, "records")
+    # very many revisits may refer to one record: their number is counted map-side first and the join is salted
+    revisits = rows.where(F.col("refers").isNotNull())
+    targets = rows.select(F.col("record_id").alias("refers"), F.col("page_id").alias("refers_to"))
+    targets = targets.join(revisits.groupBy("refers").agg(F.count(F.lit(1)).alias("n")), "refers")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"]
+    named = salted_lookup(revisits, targets, "refers", "n", ["record_id"]).select(*columns)
+    return rows.where(F.col("refers").isNull()).withColumn("refers_to", F.lit(None).cast("long")).select(*columns).union(named)

@@ -73,6 +73,20 @@ def test_shards_have_gapless_slots(spark, sf):
     assert all(zlib.crc32(docs[i].encode()) == c for i, c in zip(rows.doc_id, rows.text_crc32))
 
 
+def test_keys_of_any_kind_and_columns_of_any_name(spark):
+    rows = spark.createDataFrame([("abc", 1, "x"), ("abc", 2, "y"), (None, 3, "z")], "k string, shard int, Overlap string")
+    out = sharding.assign_shards(rows, F.col("k"), 8)
+    assert out.columns == ["k", "_shard", "Overlap", "shard", "grown_shard"]
+    got = {r["_shard"]: r["shard"] for r in out.collect()}
+    assert got[1] == got[2] and got[3] == sharding.jump(np.array([0], dtype=np.uint64), 8)[0]
+    assert sharding.assign_shards(rows.where("false"), F.col("k"), 8).count() == 0
+    items = spark.createDataFrame([("i", "a b c")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "say a b c now", 9)], "doc_id long, text string, overlap int")
+    found = decontaminate.find_overlap(docs, items)
+    assert found.columns == ["doc_id", "text", "_overlap", "overlap"] and found.first()["overlap"]["n_hit"] == 3
+    assert decontaminate.remove_overlap(docs, items, 1.0).first().asDict() == {"doc_id": 1, "text": "say  now", "overlap": 9}
+
+
 def test_repeated_rows_get_slots_of_their_own(spark):
     rows = spark.createDataFrame([(7, 9, 1, 0, 0)] * 5 + [(8, 9, 1, 0, 0)], "doc_id long, size long, text_crc32 long, shard int, grown_shard int")
     groups = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_copies"))
