@@ -587,8 +587,10 @@ def test_lines_with_words_replaced_are_found_at_any_length(spark, tmp_path):
     assert sum(i % 2 for i in kept) <= len(rows) // 2 * 0.03
 
 
-def test_heavy_keys_lose_no_near_lines(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(linededup, "PER_SALT", 3)
+@pytest.mark.parametrize("buckets", [10, 4096])
+def test_heavy_keys_lose_no_near_lines(spark, tmp_path, monkeypatch, buckets):
+    monkeypatch.setattr(linededup, "SHOWN", 1)
+    monkeypatch.setattr(linededup, "BUCKET_ROWS", buckets)
     rnd = random.Random(9)
     common = [spelled(rnd, 14) for _ in range(5)]
     rows = []
