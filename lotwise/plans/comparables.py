@@ -37,7 +37,7 @@ def price_points(listings):
 
 @query(f"""{L}, {POINTS}, h AS (SELECT id, string_agg(CAST(price AS VARCHAR), ',' ORDER BY observed_at, seq) AS history, count(*) AS n FROM points GROUP BY id)
 SELECT listings.id, history, CAST(coalesce(n, 0) AS INT) AS points FROM listings LEFT JOIN h ON h.id = listings.id""")
-def price_history(spark, sf_dir):
+def listing_prices(spark, sf_dir):
     """Listings with their ordered prices; null where there are none."""
     listings = views.listings(spark, sf_dir)
     known = comparables.histories(price_points(listings))
