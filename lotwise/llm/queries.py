@@ -6,7 +6,10 @@ from .decontaminate import op3_benchmark_overlap
 from .hmm import op1_hmm_score
 from .jaccard import op2_jaccard_join
 from .langid import op10_language_id
+from .linecrf import op13_line_crf
 from .linededup import op5_line_dedup
+from .merkle import op12_merkle_manifest
+from .runs import op11_periodic_runs
 from .sharding import op9_jump_sharding
 from .toxicity import op6_toxicity
 from .warc import op8_arc_to_warc
@@ -22,6 +25,9 @@ QUERIES = {
     "op7_bpe_transducer": op7_bpe_transducer,
     "op8_arc_to_warc": op8_arc_to_warc,
     "op10_language_id": op10_language_id,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_line_crf": op13_line_crf,
 }
 
 LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -51,5 +57,26 @@ WARC_SQL = f"""WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIG
  q AS (SELECT *, max(page_id) OVER (PARTITION BY h, payload_bytes) AS last FROM p)
 SELECT page_id, payload_bytes, {BASE32} AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to, true AS intact FROM q"""
 
+FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
+LEAF = "sha256(" + " || ".join(FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || {})"
+BIT = "xor(y >> 1, (y & 1) * 3988292384)"
+CRC32 = f"xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT)), lambda x, c: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: {BIT}, xor(x, c)), 4294967295), 4294967295)"
+UP = "list_transform(range(0, (len(nodes) + 2) // 3), lambda j: sha256(array_to_string(nodes[CAST(3 * j + 1 AS INT):CAST(3 * j + 3 AS INT)], '')))"
+MERKLE_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, source, {LEAF.format(FIELD.format("text"))} AS leaf, {LEAF.format(FIELD.format("replace(text, chr(10), '')"))} AS tampered, {CRC32} AS crc FROM documents),
+ p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS no FROM d),
+ t(no, level, nodes) AS (SELECT no, 0, list(leaf ORDER BY idx) FROM p GROUP BY no UNION ALL SELECT no, level + 1, {UP} FROM t WHERE len(nodes) > 1),
+ subs AS (SELECT no, level AS height, nodes[1] AS subroot FROM t WHERE len(nodes) = 1),
+ u(level, nodes) AS (SELECT 0, list(subroot ORDER BY no) FROM subs UNION ALL SELECT level + 1, {UP} FROM u WHERE len(nodes) > 1),
+ r AS (SELECT nodes[1] AS root FROM u WHERE len(nodes) = 1),
+ runs AS (SELECT p.no, p.idx, t.level AS step, CAST(idx // CAST(pow(3, level) AS BIGINT) AS BIGINT) AS own, nodes FROM p JOIN t ON t.no = p.no WHERE len(nodes) > 1
+  UNION ALL SELECT p.no, p.idx, height + u.level, CAST(p.no // CAST(pow(3, u.level) AS BIGINT) AS BIGINT), nodes FROM p JOIN subs ON subs.no = p.no, u WHERE len(nodes) > 1),
+ sides AS (SELECT no, idx, step, array_to_string(nodes[CAST(own // 3 * 3 + 1 AS INT):CAST(own AS INT)], '') AS l, array_to_string(nodes[CAST(own + 2 AS INT):CAST(own // 3 * 3 + 3 AS INT)], '') AS r FROM runs),
+ proofs AS (SELECT no, idx, list({{'l': l, 'r': r}} ORDER BY step) AS sides FROM sides GROUP BY no, idx),
+ f(no, idx, k, node) AS (SELECT no, idx, 0, CASE WHEN crc % 2 = 0 THEN tampered ELSE leaf END FROM p
+  UNION ALL SELECT f.no, f.idx, k + 1, sha256(sides[k + 1].l || node || sides[k + 1].r) FROM f JOIN proofs ON proofs.no = f.no AND proofs.idx = f.idx WHERE k < len(sides)),
+ folded AS (SELECT no, idx, max_by(node, k) AS folded_root FROM f GROUP BY no, idx)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(list_reduce(list_transform(sides, lambda s: s.l || s.r), lambda x, y: x || y), '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM p JOIN subs ON subs.no = p.no JOIN folded ON folded.no = p.no AND folded.idx = p.idx LEFT JOIN proofs ON proofs.no = p.no AND proofs.idx = p.idx, r"""
+
 #: Models, tokenizers and orders of hashes are beyond SQL; their queries are tested against plain versions.
-ORACLE_SQL: dict[str, str] = {"op2_jaccard_join": JACCARD_SQL, "op3_benchmark_overlap": OVERLAP_SQL, "op8_arc_to_warc": WARC_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_jaccard_join": JACCARD_SQL, "op3_benchmark_overlap": OVERLAP_SQL, "op8_arc_to_warc": WARC_SQL, "op12_merkle_manifest": MERKLE_SQL}
