@@ -108,9 +108,11 @@ def fold_of(column: str, modulus: int):
 ROWS_PER_SALT = 5_000
 
 
-def salted_lookup(left: DataFrame, right: DataFrame, key: str, count: str, spread: list[str], per_salt: int = ROWS_PER_SALT) -> DataFrame:
+def salted_lookup(left: DataFrame, right: DataFrame, key: str, count: str, spread: list[str], per_salt: int = ROWS_PER_SALT, how: str = "inner") -> DataFrame:
     """left ⋈ right on `key`, where `right` has one row per key and in `count` the number of left rows with it.
 
+    With `how` left, rows that find nothing stay.
+
     Keys with more than `per_salt` rows are dealt over several tasks. They are at most
     rows / per_salt many; the bar is raised with the number of rows so that their list stays
     below 20,000 keys, which is what is broadcast. Null keys find nothing.
@@ -122,7 +124,7 @@ def salted_lookup(left: DataFrame, right: DataFrame, key: str, count: str, sprea
     dealt = left.join(F.broadcast(heavy), left[key] == heavy["_key"], "left")
     dealt = dealt.withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), F.col("_salts")).cast("int"))).drop("_key", "_salts")
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    return dealt.join(copies, [key, "_salt"]).drop("_salt")
+    return dealt.join(copies, [key, "_salt"], how).drop("_salt")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:

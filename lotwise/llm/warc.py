@@ -29,8 +29,8 @@ from .common import materialise, read_table, salted_lookup, shared_dir, small_ba
 
 #: Bytes after which the query's ARC writer begins a new archive.
 ARC_BYTES = 1 << 17
-#: Records of a WARC file at most.
-RECORDS_A_FILE = 5_000
+#: Records of a WARC file at most, and the bytes that a file has about, going by the mean record.
+RECORDS_A_FILE, FILE_BYTES = 5_000, 64 << 20
 
 #: Fields of a record's header line by ARC version, and the name of the version block.
 ARC_FIELDS = {
@@ -103,7 +103,8 @@ def split_http(url: str, content: bytes) -> tuple[bytes, bytes]:
 def convert(archives: DataFrame, name: str = "archive", content: str = "content") -> DataFrame:
     """The records of ARC archives, given as rows of name and bytes, with the columns of RECORDS.
 
-    Empty and null archives have none. HTTP responses are of type response, all others resources.
+    Empty and null archives have none. HTTP responses are of type response, all others resources. A record's id follows from
+    its url, date, head and payload, so it is the same wherever its archive stands or is cut; repeated records share one.
     """
     small_batches(archives.sparkSession)
 
@@ -114,9 +115,9 @@ def convert(archives: DataFrame, name: str = "archive", content: str = "content"
                 for number, (fields, body) in enumerate(parse_arc(bytes(data)) if data is not None else []):
                     url = fields["URL"]
                     head, payload = split_http(url, body)
-                    date, digest = iso_date(fields["Archive-date"]), sha1(payload)
-                    rid = uuid.uuid5(uuid.NAMESPACE_URL, f"{archive} {number} {url} {date} {digest}")
-                    rows.append((archive, number, f"<urn:uuid:{rid}>", url, fields["IP-address"], date, fields["Content-type"], "response" if head else "resource", head, payload, len(payload), digest, sha1(body), sha1(head)))
+                    date, digest, block, own = iso_date(fields["Archive-date"]), sha1(payload), sha1(body), sha1(head)
+                    rid = uuid.uuid5(uuid.NAMESPACE_URL, f"{url} {date} {block} {own}")
+                    rows.append((archive, number, f"<urn:uuid:{rid}>", url, fields["IP-address"], date, fields["Content-type"], "response" if head else "resource", head, payload, len(payload), digest, block, own))
                 if rows:
                     yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in RECORDS.split(", ")])
 
@@ -165,8 +166,10 @@ def warc_text(records: DataFrame) -> DataFrame:
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """One record after the other, in files of at most RECORDS_A_FILE, each one gzip member."""
-    warc_text(records).write.option("maxRecordsPerFile", RECORDS_A_FILE).option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    """One record after the other, in files of at most RECORDS_A_FILE and about FILE_BYTES, each one gzip member."""
+    mean = records.agg(F.avg(F.octet_length("head") + F.col("payload_bytes"))).first()[0] or 1.0
+    most = max(1, min(RECORDS_A_FILE, int(FILE_BYTES / max(mean, 1.0))))
+    warc_text(records).write.option("maxRecordsPerFile", most).option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def parse_warc(file: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -255,7 +258,8 @@ def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Of equal payloads the largest page_id is the response; rows that repeat it are responses too.
     """
-    records = convert(pages_to_arc(read_table(spark, sf_dir, "pages")))
+    # stored once: what is marked below is what was counted, however often and in whatever pieces pages would be read again
+    records = materialise(convert(pages_to_arc(read_table(spark, sf_dir, "pages"))), "converted")
     page = F.regexp_extract(F.col("head").cast("string"), r"X-Page-Id: (-?\d+)\r\n", 1)
     marked = mark_revisits(records, F.when(page != "", page.cast("long")))
     path = f"{shared_dir(spark)}/warc"
@@ -275,8 +279,8 @@ def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialise(rows, "records")
     # very many revisits may refer to one record: their number is counted map-side first and the join is salted
     revisits = rows.where(F.col("refers").isNotNull())
-    targets = rows.select(F.col("record_id").alias("refers"), F.col("page_id").alias("refers_to"))
+    targets = rows.select(F.col("record_id").alias("refers"), F.col("page_id").alias("refers_to")).distinct()
     targets = targets.join(revisits.groupBy("refers").agg(F.count(F.lit(1)).alias("n")), "refers")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"]
-    named = salted_lookup(revisits, targets, "refers", "n", ["record_id"]).select(*columns)
+    named = salted_lookup(revisits, targets, "refers", "n", ["record_id"], how="left").select(*columns)
     return rows.where(F.col("refers").isNull()).withColumn("refers_to", F.lit(None).cast("long")).select(*columns).union(named)
