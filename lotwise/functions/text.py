@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +18,12 @@ WHOLE = {"đ": "d", "ı": "i", "ł": "l", "ø": "o"}
 FOLDED = "".join(WHOLE.get(c, unicodedata.normalize("NFD", c)[0]) for c in ACCENTED)
 
 
+def let(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+    """`body` of a struct of the values, each of which is computed once however often the body names it."""
+    held = F.struct(*(c.alias(n) for n, c in values.items()))
+    return F.element_at(F.transform(F.array(held), body), 1)
+
+
 def fold(c: Column, sharp_s: bool = False) -> Column:
     """Lower case without accents, trimmed; null stays null. `sharp_s` also writes ß as ss."""
     out = F.trim(F.translate(F.lower(c), ACCENTED, FOLDED))
@@ -76,16 +83,6 @@ def amount(c: Column) -> Column:
     return F.when(out > 0, out)
 
 
-def kilometres(c: Column) -> Column:
-    """A labelled mileage in a folded text: `najeto 185 000 km`, `najezd 145 tis. km`, `najeto 156 tkm`."""
-    text = fold(c)
-    number = r"(?:najeto|najezd|najeté|tachometr|stav km)[^0-9]{0,12}([0-9]{1,3}(?:[ .][0-9]{3})+|[0-9]{2,7})"
-    raw = F.regexp_replace(F.regexp_extract(text, number, 1), "[ .]", "").try_cast("long")
-    thousands = F.regexp_extract(text, number + r"[ ]*(tis|tkm)", 2) != ""
-    km = F.when(thousands & (raw < 2000), raw * 1000).otherwise(raw)
-    return F.when(km.between(1_000, 1_500_000), km)
-
-
 def kilowatts(c: Column) -> Column:
     """Power in kW, or in horse powers times 0.73549875; from 20 to 800."""
     text = fold(c)

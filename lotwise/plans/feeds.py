@@ -243,16 +243,6 @@ def detail_enrich(spark, sf_dir):
     return ingest.enriched(rows, details, "id", ["mileage_km", "fuel", "body"]).drop("power_kw")
 
 
-@query("""SELECT event_type AS source, count(*) FILTER (event_id % 7 = 0) AS gone, count(*) FILTER (event_id % 7 <> 0 AND event_id % 5 = 0) AS uncertain, count(*) FILTER (event_id % 7 <> 0 AND event_id % 5 <> 0) AS live FROM events GROUP BY event_type""")
-def probe_stats(spark, sf_dir):
-    """Verdicts of probes by source."""
-    e = views.table(spark, sf_dir, "events")
-    status = F.when(F.col("event_id") % 7 == 0, 404).when(F.col("event_id") % 5 == 0, 503).otherwise(200)
-    verdict = gates.probe_verdict(status, F.lit(None).cast("string"), F.lit(""))
-    counts = e.select(F.col("event_type").alias("source"), verdict.alias("verdict")).groupBy("source").pivot("verdict", ["gone", "uncertain", "live"]).count()
-    return counts.na.fill(0, ["gone", "uncertain", "live"])
-
-
 @query("""SELECT event_type AS source, count(*) FILTER (event_type <> 'error' AND value >= 5 AND event_id % 10 <> 0) AS ingested, count(*) FILTER (event_type = 'error' OR event_id % 10 = 0) AS error, count(*) FILTER (event_type <> 'error' AND value < 5 AND event_id % 10 <> 0) AS skipped FROM events GROUP BY event_type""")
 def ingest_counters(spark, sf_dir):
     """Rows ingested, skipped and failed by source; an unknown source is an error, and no error stops the batch."""
@@ -294,8 +284,8 @@ def thumbs_needed(spark, sf_dir):
     return rows.where(lacks & can).orderBy(F.desc("page_id")).limit(1000)
 
 
-@query(f"{L} SELECT source, count(*) AS n, CAST(sum(CASE WHEN last_seen < TIMESTAMP '{NOW}' - INTERVAL 14 DAY THEN 1 ELSE 0 END) AS BIGINT) AS stale FROM listings GROUP BY source")
+@query(f"{L} SELECT source, count(*) AS n, CAST(sum(CASE WHEN (epoch(TIMESTAMP '{NOW}') - epoch(last_seen)) // 86400 > 14 THEN 1 ELSE 0 END) AS BIGINT) AS stale FROM listings GROUP BY source")
 def stale_by_source(spark, sf_dir):
-    """Offers of each source, and those not seen for two weeks."""
-    stale = F.col("last_seen") < F.lit(NOW).cast("timestamp") - F.expr("INTERVAL 14 DAYS")
+    """Offers of each source, and those not seen for more than 14 whole days."""
+    stale = F.floor((F.unix_timestamp(F.lit(NOW).cast("timestamp")) - F.unix_timestamp("last_seen")) / 86_400) > 14
     return views.listings(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(stale, 1).otherwise(0)).alias("stale"))

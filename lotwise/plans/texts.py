@@ -79,29 +79,11 @@ def transmission_compat(spark, sf_dir):
     return rows.select("want", "have", F.coalesce(v.transmissions_agree(F.col("want"), F.col("have")), F.lit(False)).cast("int").alias("ok"))
 
 
-GATE_IN = """(1,'havarovaná Octavia',100000,2015,120000),(2,'Po nehodě, nepojízdné',100000,2015,120000),(3,'Nehavarovaná, serviska, nové brzdy',100000,2015,120000),(4,'Unfallwagen Golf',100000,2015,120000),
- (5,'Operák 7900 Kč/měsíc',100000,2015,120000),(6,'Možnost leasingu, financování možné',100000,2015,120000),(7,'Motor na Škoda Fabia 1.2 HTP',12000,NULL,NULL),(8,'Prodám Škoda Fabia 1.0 TSI 70 kW 2019',215000,2019,50000),
- (9,'Octavia motor',9000,NULL,NULL),(10,'Blatník Fabia',40000,NULL,NULL),(11,'Fabia',100000,1985,120000),(12,'Fabia',100000,2015,4000000),(13,'Fabia',400,2015,120000),(14,'Fabia',100000,NULL,NULL),(15,'Zvýhodněný pronájem vozu',100000,2015,1000)"""
-
-
-@query(same("(1,'damage:text'),(2,'damage:text'),(3,NULL),(4,'damage:text'),(5,'lease:lease_product'),(6,NULL),(7,'parts:part_title'),(8,NULL),(9,'parts:part_cheap'),(10,'parts:part_title'),(11,'fields:year'),(12,'fields:mileage'),(13,'fields:price'),(14,NULL),(15,'lease:operating_lease')", "i, reason"))
-def ingest_gate(spark, sf_dir):
-    rows = literals(spark, GATE_IN, "i, title, price, year, km")
-    return rows.select("i", gates.reject(F.col("title"), F.col("year"), F.col("km"), F.col("price"), 2026).alias("reason"))
-
-
 @query("""SELECT doc_id, CAST(coalesce(regexp_matches(regexp_replace(lower(strip_accents(text)), '\\s+', ' ', 'g'), '\\b(havarovan|havarie\\b|havarii\\b|po nehod|poskozen|po totalce\\b|po totalni|totalka\\b|totalke\\b|na nahradni dily\\b|demontovan|bouran|vrak\\b|unfall(wagen|fahrzeug|schaden)?\\b|beschadig|bastler(fahrzeug)?\\b|(front|heck|getriebe|motor|total)schaden\\b|accident[- ]?damaged\\b|salvage\\b)'), false) AS INT) AS damaged FROM documents""")
 def accident_gate(spark, sf_dir):
     return views.table(spark, sf_dir, "documents").select("doc_id", gates.accident_text(F.col("text")).cast("int").alias("damaged"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_extendedprice < 5000 THEN 'price' END AS reason, count(*) AS n FROM lineitem GROUP BY ALL")
-def field_gate(spark, sf_dir):
-    rows = views.table(spark, sf_dir, "lineitem")
-    reason = gates.field_reason(F.lit(None).cast("int"), F.lit(None).cast("int"), F.col("l_extendedprice"), 2026)
-    return rows.groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
-
-
 MONEY_IN = "(1,'2270.98'),(2,'2 270,98'),(3,'289 000 Kč'),(4,'1.234.567'),(5,'12,500'),(6,'dohodou'),(7,'15 500 EUR'),(8,NULL)"
 
 
@@ -115,18 +97,6 @@ def parse_int_year(spark, sf_dir):
     return literals(spark, "(1,'09/2016'),(2,'auto z 2019'),(3,'bez roku'),(4,'2015 nebo 2016')", "i, raw").select("i", t.year_of_text(F.col("raw")).alias("year"))
 
 
-@query(same("(1,185000::BIGINT,NULL::INT),(2,145000,NULL),(3,156000,NULL),(4,NULL,NULL),(5,184000,110),(6,NULL,110)", "i, km, kw"))
-def extract_mileage(spark, sf_dir):
-    values = "(1,'Najeto 185 000 km. Po 80 000 km vyměněny rozvody.'),(2,'nájezd 145 tis. km'),(3,'najeto 156 tkm'),(4,'dojezd až 410 km, WLTP'),(5,'Najeto: 184.000. 110 kW'),(6,'150 koní')"
-    return literals(spark, values, "i, raw").select("i", t.kilometres(F.col("raw")).alias("km"), t.kilowatts(F.col("raw")).alias("kw"))
-
-
-@query(same("(1,'live'),(2,'gone'),(3,'gone'),(4,'uncertain'),(5,'uncertain'),(6,'gone'),(7,'gone')", "i, verdict"))
-def probe_verdict(spark, sf_dir):
-    rows = literals(spark, "(1,200,NULL,'Octavia'),(2,404,NULL,NULL),(3,410,NULL,NULL),(4,403,NULL,NULL),(5,503,NULL,NULL),(6,200,'deleted',NULL),(7,200,NULL,'Inzerát byl smazán')", "i, status, body, html")
-    return rows.select("i", gates.probe_verdict(F.col("status"), F.col("body"), F.col("html")).alias("verdict"))
-
-
 ECB = "<Envelope><Cube><Cube time=\"2026-08-14\"><Cube currency=\"USD\" rate=\"1.10\"/><Cube currency=\"CZK\" rate=\"24.50\"/><Cube currency=\"PLN\" rate=\"4.25\"/></Cube></Cube></Envelope>"
 
 
@@ -177,14 +147,6 @@ def json_ld_products(spark, sf_dir):
     return pages.linked_products(spark.createDataFrame([(1, LD % ITEMS), (2, LD % OBJECT), (3, "")], "page_id int, html string"))
 
 
-@query("""SELECT condition, low, CASE WHEN low < 5000000 THEN low + width - 1 END AS high FROM (VALUES ('new'), ('used')) c(condition),
-  (SELECT CAST(x * 500000 AS BIGINT) AS low, 500000 AS width FROM range(0, 11) r(x)) b""")
-def price_slices(spark, sf_dir):
-    """Non-overlapping price bands per condition; the last one is open."""
-    bands = spark.range(0, 11).select((F.col("id") * 500_000).alias("low"))
-    return spark.createDataFrame([("new",), ("used",)], "condition string").crossJoin(F.broadcast(bands)).select("condition", "low", F.when(F.col("low") < 5_000_000, F.col("low") + 499_999).alias("high"))
-
-
 @query("""SELECT k, CAST(n AS BIGINT) AS half_up, CAST(e AS BIGINT) AS half_even, CAST(h AS BIGINT) AS hundred FROM (VALUES (1, -2, -2, 0), (2, 3, 2, 0), (3, 254941, 254941, 254900), (4, 254950, 254950, 255000), (5, 50, 50, 100), (6, 149, 149, 100)) t(k, n, e, h)""")
 def roundings(spark, sf_dir):
     rows = literals(spark, "(1,-2.5D),(2,2.5D),(3,254941.36D),(4,254950D),(5,50D),(6,149D)", "k, x")
