@@ -23,10 +23,10 @@ def fold_state(observations: DataFrame, key: str = "listing", latest: tuple[str,
     return observations.groupBy(key).agg(*out)
 
 
-def price_log(observations: DataFrame, key: str = "listing") -> DataFrame:
-    """The first price of every key and each that differs from the one before it."""
+def price_log(observations: DataFrame, key: str = "listing", more: list[str] | None = None) -> DataFrame:
+    """The first price of every key and each that differs from the one before it, with `more` columns."""
     before = F.lag("price").over(W.partitionBy(key).orderBy(*ORDER))
-    return observations.withColumn("before", before).where(F.col("before").isNull() | (F.col("before") != F.col("price"))).select(key, "observed_at", "seq", "price")
+    return observations.withColumn("before", before).where(F.col("before").isNull() | (F.col("before") != F.col("price"))).select(key, "observed_at", "seq", "price", *(more or []))
 
 
 def downward_moves(log: DataFrame, key: str = "listing") -> DataFrame:

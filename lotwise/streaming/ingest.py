@@ -1,8 +1,10 @@
 """Incremental ingest: observations arrive as files; state and price log follow.
 
-A micro-batch folds its observations, merges them into the stored state and appends the
-price changes. A batch that runs again after a failure writes the same version again, so
-the result is the same as if it had run once.
+A micro-batch folds its observations, merges them into the stored state and writes the
+price changes. Batches may come in any order: where a listing's new rows are older than its
+newest one, its observations from there on are read again and their points are stated anew;
+what earlier batches said of that time is void (`read_log`). A batch that runs again after a
+failure writes the same version again, so the result is the same as if it had run once.
 """
 
 from __future__ import annotations
@@ -54,8 +56,40 @@ def merged(states: DataFrame) -> DataFrame:
     return states.groupBy("listing").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("sightings").alias("sightings"), *values)
 
 
+def price_points(spark: SparkSession, path: str, number: int, old: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The price points of a batch's listings from each one's first new row on, and for late ones where these begin.
+
+    Only listings with late rows have their stored observations read; for the others the state knows the price before.
+    """
+    batch = spark.read.parquet(f"{path}/seen/batch={number}")
+    order = F.struct("observed_at", "seq")
+    rows, cuts = batch, spark.createDataFrame([], "listing long, since struct<observed_at:timestamp,seq:bigint>")
+    if old is not None:
+        since = batch.groupBy("listing").agg(F.min(order).alias("since"))
+        known = since.join(old.select("listing", "price", "price_at"), "listing")
+        late = known.where(F.col("price_at") >= F.col("since")).select("listing", "since")
+        base = known.where(F.col("price_at") < F.col("since")).select("listing", F.col("price_at.observed_at").alias("observed_at"), F.col("price_at.seq").alias("seq"), "price")
+        if not late.isEmpty():
+            cuts = late
+            seen = spark.read.parquet(f"{path}/seen").where(F.col("batch") < number).drop("batch").join(late, "listing")
+            before = seen.where(order < F.col("since")).groupBy("listing").agg(F.max_by(F.struct("observed_at", "seq", "price"), order).alias("r")).select("listing", "r.*")
+            rows = rows.unionByName(seen.where(order >= F.col("since")).drop("since"))
+            base = base.unionByName(before)
+        # the row before counts for comparison and is no point itself
+        rows = rows.withColumn("own", F.lit(True)).unionByName(base.withColumn("own", F.lit(False)))
+        return price_log(rows, more=["own"]).where("own").drop("own"), cuts
+    return price_log(rows), cuts
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The price log: each point as the last batch that spoke of its listing and time has it."""
+    points, cuts = spark.read.parquet(f"{path}/log"), spark.read.parquet(f"{path}/cuts")
+    later = (points["listing"] == cuts["listing"]) & (cuts["batch"] > points["batch"]) & (cuts["since"] <= F.struct(points["observed_at"], points["seq"]))
+    return points.join(cuts, later, "left_anti").drop("batch")
+
+
 def apply_batch(batch: DataFrame, number: int, path: str, after: Callable[[DataFrame, int], None] | None = None) -> None:
-    """Merges a batch into the state and appends its price changes; `after` then gets the new state, if the batch had rows.
+    """Merges a batch into the state and writes its price points; `after` then gets the new state, if the batch had rows.
 
     Rows without a listing or a time, or with a price below zero, go to quarantine and stop nothing.
     """
@@ -67,12 +101,10 @@ def apply_batch(batch: DataFrame, number: int, path: str, after: Callable[[DataF
     new = folded(batch)
     state = new if old is None else merged(old.unionByName(new))
     state.write.mode("overwrite").parquet(f"{path}/state/v{number}")
-    log = price_log(batch)
-    if old is not None:
-        first = log.groupBy("listing").agg(F.min(F.struct("observed_at", "seq")).alias("first"))
-        log = log.join(first, "listing").join(old.select("listing", F.col("price").alias("known")), "listing", "left")
-        log = log.where((F.struct("observed_at", "seq") != F.col("first")) | F.col("known").isNull() | (F.col("known") != F.col("price")))
-    log.select("listing", "observed_at", "seq", "price").write.mode("overwrite").parquet(f"{path}/log/batch={number}")
+    batch.select("listing", "observed_at", "seq", "price").write.mode("overwrite").parquet(f"{path}/seen/batch={number}")
+    points, cuts = price_points(spark, path, number, old)
+    points.write.mode("overwrite").parquet(f"{path}/log/batch={number}")
+    cuts.write.mode("overwrite").parquet(f"{path}/cuts/batch={number}")
     if after and not batch.isEmpty():
         after(spark.read.parquet(f"{path}/state/v{number}").drop(*TIMES), number)
 
