@@ -42,6 +42,13 @@ GERMAN_BODIES = {
     "minivan": "MPV", "hochdachkombi": "MPV", "cabrio": "Cabrio", "cabriolet": "Cabrio", "coupe": "Coupe", "coupé": "Coupe", "transporter": "Dodávka",
     "lieferwagen": "Dodávka", "pickup": "Pick-up", "pick-up": "Pick-up",
 }
+PORTAL_FUELS = {
+    "diesel": "Nafta", "petrol": "Benzín", "gasoline": "Benzín", "benzin": "Benzín", "electric": "Elektro", "elektro": "Elektro", "hybrid": "Hybrid", "plugin_hybrid": "Hybrid", "lpg": "LPG", "cng": "CNG", "hydrogen": "Vodík",
+}
+PORTAL_GEARS = {"manual_gear": "Manuální", "manual": "Manuální", "automatic_gear": "Automatická", "automatic": "Automatická", "semi_automatic": "Automatická"}
+PORTAL_BODIES = {
+    "estatecar": "Kombi", "estate": "Kombi", "limousine": "Sedan", "smallcar": "Hatchback", "suv": "SUV", "offroad": "SUV", "van": "MPV", "cabrio": "Cabrio", "sportscar": "Coupe", "other": "",
+}
 ENGINE_TAIL = r"(?i)\s+\d+[.,]\d+\s*(tdi|tsi|tfsi|tdci|scti|dci|hdi|cdi|gti|gtd|i|t|d)?\b.*$"
 CURRENCIES = {"KC": "CZK", "KČ": "CZK", "Kč": "CZK", "CZ": "CZK", "CZK": "CZK", "EURO": "EUR", "EUR": "EUR", "€": "EUR", "ZL": "PLN", "ZŁ": "PLN", "PLN": "PLN", "$": "USD", "USD": "USD"}
 UNSTATED = "Neuvedeno"
@@ -149,3 +156,18 @@ def currency(raw: Column) -> Column:
     """A currency's code: known spellings, else its letters; crowns for blank ones."""
     letters = F.upper(F.regexp_replace(F.trim(raw), "[^A-Za-z]", ""))
     return F.when(blank(raw), "CZK").otherwise(F.coalesce(exact(F.trim(raw), CURRENCIES), exact(letters, CURRENCIES), F.nullif(letters, F.lit("")), F.lit("CZK")))
+
+
+def portal_fuel(raw: Column) -> Column:
+    """A portal's code of a fuel, else its German name."""
+    return F.coalesce(exact(F.translate(F.lower(F.trim(raw)), "-", "_"), PORTAL_FUELS), german_fuel(raw))
+
+
+def portal_transmission(raw: Column) -> Column:
+    return F.coalesce(exact(F.translate(F.lower(F.trim(raw)), "-", "_"), PORTAL_GEARS), german_transmission(F.translate(raw, "_", " ")))
+
+
+def portal_body(raw: Column) -> Column:
+    """A portal's code of a body, else its German name; the code for others has none."""
+    code = exact(F.translate(F.lower(F.trim(raw)), "-_", ""), PORTAL_BODIES)
+    return F.when(code.isNotNull(), F.nullif(code, F.lit(""))).otherwise(german_body(raw))

@@ -64,8 +64,8 @@ def mobile(captured: DataFrame, rate: float, text: str = "json") -> DataFrame:
     kind = F.upper(F.coalesce(get("contact.type"), F.lit("")))
     out = r.select(
         F.lit("mobile_de").alias("source"), filled(get("id")).alias("external_id"), get("url").alias("url"), filled(redact_contacts(get("title"))).alias("title"), filled(get("make")).alias("make"), filled(get("model")).alias("model"),
-        year_of_text(get("firstRegistration")).alias("year"), within(whole_number(get("mileage")), KILOMETRES).alias("mileage_km"), labels.german_fuel(get("fuel")).alias("fuel"),
-        labels.german_transmission(get("transmission")).alias("transmission"), labels.german_drive(get("drive")).alias("drive"), labels.german_body(get("category")).alias("body"),
+        year_of_text(get("firstRegistration")).alias("year"), within(whole_number(get("mileage")), KILOMETRES).alias("mileage_km"), labels.portal_fuel(get("fuel")).alias("fuel"),
+        labels.portal_transmission(get("transmission")).alias("transmission"), labels.german_drive(get("drive")).alias("drive"), labels.portal_body(get("category")).alias("body"),
         within(whole_number(get("power")), KILOWATTS).alias("power_kw"), F.when(kind.rlike("DEALER|HAENDLER|HÄNDLER"), "dealer").when(kind.rlike("PRIVAT"), "private").otherwise("unknown").alias("seller_type"),
         F.coalesce(filled(get("attr.cn")), filled(get("attr.city"))).alias("region"), within(fx["price_czk"], CROWNS).alias("price_czk"), fx["price_foreign"].alias("price_foreign"),
         F.array_distinct(F.filter(F.transform(F.coalesce(get("features"), F.array().cast("array<string>")), features.known_feature), lambda k: k.isNotNull())).alias("feature_keys"),
