@@ -47,6 +47,14 @@ def keyed_listings(listings: DataFrame) -> DataFrame:
     )
 
 
+def name_pairs(subjects: DataFrame, listings: DataFrame) -> DataFrame:
+    """The names of makes and models of listings that hold those of subjects, each pair once."""
+    pairs = listings.select("make_norm", "model_norm").distinct()
+    names = subjects.where((F.col("s_make_norm") != "") & (F.col("s_model_norm") != "")).select("s_make_norm", "s_model_norm").distinct()
+    hit = F.contains(F.col("make_norm"), F.col("s_make_norm")) & F.contains(F.col("model_norm"), F.col("s_model_norm"))
+    return names.join(pairs, hit).select("s_make_norm", "s_model_norm", "make_norm", "model_norm")
+
+
 def retrieve(subjects: DataFrame, listings: DataFrame, most: int = CANDIDATES, years: int = 6, windows: tuple[int, ...] = ()) -> DataFrame:
     """The newest listings whose make and model hold the subject's, within `years`; unknown years pass.
 
@@ -54,11 +62,7 @@ def retrieve(subjects: DataFrame, listings: DataFrame, most: int = CANDIDATES, y
     subjects and listings by equality. Ties of last_seen go by id. With `windows`, the newest of every status
     and window of years are taken apart; a listing then stands once for each `window` that it is in.
     """
-    pairs = listings.select("make_norm", "model_norm").distinct()
-    names = subjects.where((F.col("s_make_norm") != "") & (F.col("s_model_norm") != "")).select("s_make_norm", "s_model_norm").distinct()
-    hit = F.contains(F.col("make_norm"), F.col("s_make_norm")) & F.contains(F.col("model_norm"), F.col("s_model_norm"))
-    wanted = names.join(pairs, hit).select("s_make_norm", "s_model_norm", "make_norm", "model_norm")
-    found = listings.join(wanted, ["make_norm", "model_norm"]).join(subjects, ["s_make_norm", "s_model_norm"])
+    found = listings.join(name_pairs(subjects, listings), ["make_norm", "model_norm"]).join(subjects, ["s_make_norm", "s_model_norm"])
     apart = F.coalesce(F.abs(F.col("year") - F.col("s_year")), F.lit(0))
     found = found.where(apart <= years)
     group = ["subject"]

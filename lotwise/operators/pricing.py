@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import money as m
+from ..sources.shared import stored
 
 # Fixed values.
 WITHDRAWN_DAYS, LONG_DAYS, NO_DROP = 3, 14, 0.05
@@ -73,8 +73,12 @@ def blend_sales(proxy: Column, sales: Column, sold_median: Column) -> Column:
     return F.when((sales >= SALES_FOR_OVERRIDE) & rounded.isNotNull(), rounded).when((sales > 0) & rounded.isNotNull() & proxy.isNotNull(), mixed).otherwise(proxy)
 
 
-def fair_values(comps: DataFrame, now: str, as_of_year: int) -> DataFrame:
-    """One row per subject from its ranked comparables (see matching.ranked): band, live and sold medians, fair value."""
+def fair_values(comps: DataFrame, now: str, as_of_year: int, adjustment: DataFrame | None = None) -> DataFrame:
+    """One row per subject from its ranked comparables (see matching.ranked): band, live and sold medians, fair value.
+
+    Comparables may say whether their price fell (`dropped`) and what was asked last (`last_price`). An `adjustment`
+    (subject, adjustment) is added to the live median; the rows then also have the unrounded `ask_median`.
+    """
     km = m.effective_km(F.col("s_mileage_km"), F.col("s_year"), as_of_year)
     base = m.with_vat(F.col("price_czk"), F.col("price_includes_vat"))
     rows = comps.withColumn("km", km).withColumn("ask", base).withColumn("days", days_on_market(now))
@@ -85,15 +89,19 @@ def fair_values(comps: DataFrame, now: str, as_of_year: int) -> DataFrame:
     live = inside_fences(live, ["subject"], "live").groupBy("subject").agg(percentile(F.col("live"), 0.5).alias("live_median"))
     typical_days = active.groupBy("subject").agg(percentile(F.col("days"), 0.5).alias("median_days"))
     gone = rows.where(F.col("status") == "removed").join(typical_days, "subject", "left")
-    # listings may carry whether their price fell, see comparables.dropped()
     fell = F.coalesce("dropped", F.lit(False)) if "dropped" in comps.columns else F.lit(False)
-    judged = sold_proxy(F.col("days"), fell, F.col("median_days"), F.col("ask"))
+    last = F.coalesce(m.with_vat(F.col("last_price"), F.col("price_includes_vat")), F.col("ask")) if "last_price" in comps.columns else F.col("ask")
+    judged = sold_proxy(F.col("days"), fell, F.col("median_days"), last)
     sold = gone.withColumn("proxy", judged["proxy"]).where("proxy IS NOT NULL").withColumn("proxy", F.col("proxy") + adjust(F.col("proxy")))
     sold = sold.groupBy("subject").agg(percentile(F.col("proxy"), 0.5).alias("sold_median"), F.count(F.lit(1)).alias("sold_count"))
     out = band.join(live, "subject", "left").join(sold, "subject", "left").withColumn("sold_count", F.coalesce("sold_count", F.lit(0)))
-    fair = blend(F.col("live_median"), F.col("sold_median"), F.col("sold_count"), F.col("typical"), F.col("p25"))
+    live_median, more = F.col("live_median"), []
+    if adjustment is not None:
+        out = out.join(adjustment, "subject", "left")
+        live_median, more = live_median + F.coalesce("adjustment", F.lit(0)), [F.col("typical").alias("ask_median")]
+    fair = blend(live_median, F.col("sold_median"), F.col("sold_count"), F.col("typical"), F.col("p25"))
     return out.select(
-        "subject", "live_asks", "sold_count", fair.alias("fair_value"),
+        "subject", "live_asks", "sold_count", fair.alias("fair_value"), *more,
         m.to_thousand(F.col("p25")).alias("price_low"), m.to_thousand(F.col("typical")).alias("price_typical"), m.to_thousand(F.col("p75")).alias("price_high"),
     )
 
@@ -105,8 +113,8 @@ def appraise(ranked: DataFrame, now: str, as_of_year: int, margin_pct: float = 8
     """
     narrow = F.count(F.when((F.col("status") == "active") & (F.col("window") == NARROW), 1)).over(W.partitionBy("subject"))
     rows = ranked.withColumn("used", F.when(narrow >= FEW_COMPS, NARROW).otherwise(WIDE))
-    # at most 400 rows a subject and status, read by every statistic below: kept, and laid out by subject once
-    rows = rows.where(F.col("window") == F.col("used")).persist(StorageLevel.MEMORY_AND_DISK)
+    # at most 400 rows a subject and status, read by every statistic below: written once
+    rows = stored(rows.where(F.col("window") == F.col("used")), "comparables")
     windows = rows.groupBy("subject").agg(F.max("window").alias("year_window"))
     advice = m.dealer_advice(F.col("fair_value"), F.lit(margin_pct))
     return fair_values(rows, now, as_of_year).join(windows, "subject").select("*", *(c.alias(n) for n, c in advice.items()))

@@ -94,8 +94,11 @@ PAIRS = f"""{L}, subjects AS ({FULL_SUBJECTS}), p AS (
   FROM listings l JOIN subjects s ON l.make = s.make AND l.model = s.model)"""
 
 
-@query(f"""{PAIRS} SELECT id, CASE WHEN sf = 'Nafta' AND fk <> 'nafta' OR sf = 'Benzín' AND fk <> 'benzin' THEN 'fuel' WHEN st = 'Automatická' AND tk = 'manual' OR st = 'Manuální' AND tk = 'dsg' THEN 'transmission'
-  WHEN sd = '4x4' AND dk = 'fwd' OR sd = 'Přední' AND dk = 'awd' THEN 'drive' WHEN lower(sb) <> bk THEN 'body' WHEN abs(year - sy) > 8 THEN 'year_hard' END AS reason FROM p""")
+REASON = """CASE WHEN sf = 'Nafta' AND fk <> 'nafta' OR sf = 'Benzín' AND fk <> 'benzin' THEN 'fuel' WHEN st = 'Automatická' AND tk = 'manual' OR st = 'Manuální' AND tk = 'dsg' THEN 'transmission'
+  WHEN sd = '4x4' AND dk = 'fwd' OR sd = 'Přední' AND dk = 'awd' THEN 'drive' WHEN lower(sb) <> bk THEN 'body' WHEN abs(year - sy) > 8 THEN 'year_hard' END"""
+
+
+@query(f"{PAIRS} SELECT id, {REASON} AS reason FROM p")
 def hard_match_drive(spark, sf_dir):
     """The first hard rule that a listing breaks against its subject, drive included."""
     return full_pairs(spark, sf_dir).select("id", matching.reject_reason(drive=True).alias("reason"))
@@ -105,7 +108,7 @@ def near_sql(have: str, want: str, zero: int, points: int) -> str:
     return f"{points}.0 * (1 - least(abs({have} - {want}), {zero}) / {zero}.0)"
 
 
-@query(f"""{PAIRS}, s AS (SELECT id, 42.0 + CASE WHEN year IS NULL THEN -4 ELSE {near_sql('year', 'sy', 4, 18)} END
+SCORE = f"""42.0 + CASE WHEN year IS NULL THEN -4 ELSE {near_sql('year', 'sy', 4, 18)} END
   + CASE WHEN skm IS NULL THEN 0 WHEN mileage_km IS NULL THEN -4 ELSE {near_sql('mileage_km', 'skm', 120000, 14)} END + {near_sql('power_kw', 'skw', 35, 8)}
   + CASE WHEN scc IS NULL THEN 0 WHEN cc IS NULL THEN -2 ELSE {near_sql('cc', 'scc', 400, 6)} END
   + CASE WHEN sf IS NULL THEN 0 WHEN fk IS NULL THEN -4 ELSE 3 END
@@ -113,8 +116,10 @@ def near_sql(have: str, want: str, zero: int, points: int) -> str:
   + CASE WHEN sd IS NULL THEN 0 WHEN dk IS NULL THEN -4 ELSE 2 END + CASE WHEN sb IS NULL THEN 0 WHEN bk IS NULL THEN -4 ELSE 2 END
   + least(15, 5 * (CASE WHEN motorization = 'Red' THEN CAST(t LIKE '%red%' AS INT) ELSE CAST(t LIKE '%2.0%' AND t LIKE '%ring%' AS INT) END
     + CASE WHEN generation = 'small' THEN CAST(t LIKE '%small%' AS INT) ELSE 0 END + CASE WHEN trim = 'hot-gear' THEN CAST(t LIKE '%hot%' AND t LIKE '%gear%' AS INT) ELSE 0 END))
-  + CASE WHEN wanted = '' THEN 0 WHEN power_kw % 5 = 0 THEN -4 ELSE least(16, 4 * (CAST(list_contains(string_split(features, ' '), 'widget') AS INT) + CAST(list_contains(string_split(features, ' '), 'small') AS INT))) END AS score FROM p)
-SELECT id, CAST(greatest(0, least(100, floor(score + 0.5))) AS INT) AS match_score FROM s""")
+  + CASE WHEN wanted = '' THEN 0 WHEN power_kw % 5 = 0 THEN -4 ELSE least(16, 4 * (CAST(list_contains(string_split(features, ' '), 'widget') AS INT) + CAST(list_contains(string_split(features, ' '), 'small') AS INT))) END"""
+
+
+@query(f"{PAIRS}, s AS (SELECT id, {SCORE} AS score FROM p) SELECT id, CAST(greatest(0, least(100, floor(score + 0.5))) AS INT) AS match_score FROM s")
 def soft_score_full(spark, sf_dir):
     """The full score of every listing against its subject, whatever the hard rules say."""
     return full_pairs(spark, sf_dir).select("id", matching.score(full=True).alias("match_score"))
