@@ -35,10 +35,15 @@ def canonical(name: Column) -> Column:
     return F.try_element_at(table, slug(name, "_"))
 
 
+def keys(features: Column) -> Column:
+    """Canonical keys of features, their own slugs where no item has them; '' for names without a letter."""
+    return F.transform(F.coalesce(features, F.array().cast("array<string>")), lambda x: F.coalesce(canonical(x), slug(x, "_")))
+
+
 def has_all(features: Column, wanted: Column) -> Column:
     """Whether every wanted feature is among a listing's, whatever either calls it; nothing wanted passes."""
-    keys = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.coalesce(canonical(x), slug(x, "_"))), lambda k: k != "")
-    return F.size(F.array_except(keys(wanted), keys(features))) == 0
+    named = lambda c: F.filter(keys(c), lambda k: k != "")
+    return F.size(F.array_except(named(wanted), named(features))) == 0
 
 
 def stable_index(text: Column, choices: int) -> Column:

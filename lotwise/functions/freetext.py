@@ -77,7 +77,7 @@ def year(text: Column, this_year: int) -> Column:
 
     alone = let({"years": years}, only)
     # one cheap look keeps texts without four digits together from all the others
-    return F.when(text.rlike(r"(?U)\d{4}"), F.coalesce(*(F.when(plausible(y), y) for y in labelled), F.get(dated, F.lit(0)), alone))
+    return F.when(text.rlike(r"(?U)\d{4}"), F.coalesce(F.get(F.filter(F.array(*labelled), plausible), F.lit(0)), F.get(dated, F.lit(0)), alone))
 
 
 def mileage(text: Column) -> Column:
@@ -85,16 +85,18 @@ def mileage(text: Column) -> Column:
 
     def readings(pattern: str) -> Column:
         def stands_for_else(m: Column) -> Column:
-            left = one_blank(m["left"])
-            reach = ~holds(m["match"], KM_ODOMETER) & (holds(left, KM_RANGE_BEFORE) | holds(m["right"], KM_RANGE_AFTER))
-            return holds(left, KM_SERVICE_BEFORE) | reach | holds(left, KM_REPAIR_NEAR)
+            def by(t: Column) -> Column:
+                reach = ~holds(m["match"], KM_ODOMETER) & (holds(t["left"], KM_RANGE_BEFORE) | holds(m["right"], KM_RANGE_AFTER))
+                return holds(t["left"], KM_SERVICE_BEFORE) | reach | holds(t["left"], KM_REPAIR_NEAR)
+
+            return let({"left": one_blank(m["left"])}, by)
 
         def value(m: Column) -> Column:
             group = lambda i: F.regexp_extract(m["match"], ANY_CASE + pattern, i)
             number = F.regexp_replace(group(1), r"[^\d]", "").try_cast("long")
             thousands = (group(2) != "") | holds(m["match"], r"tkm\b")
-            km = F.when(thousands & (number < THOUSANDS_BELOW), number * 1000).otherwise(number)
-            return F.when(km.between(KM_LEAST, KM_MOST), km)
+            km = let({"n": number}, lambda t: F.when((t["n"] < THOUSANDS_BELOW) & thousands, t["n"] * 1000).otherwise(t["n"]))
+            return let({"km": km}, lambda t: F.when(t["km"].between(KM_LEAST, KM_MOST), t["km"]))
 
         kept = F.filter(matches(text, ANY_CASE + pattern, KM_LEFT, KM_RIGHT), lambda m: ~stands_for_else(m))
         return F.array_max(F.transform(kept, value))

@@ -21,7 +21,8 @@ DOMESTIC = ["sauto", "bazos", "tipcars", "autobazar_eu"]
 
 
 def keyed_subjects(subjects: DataFrame) -> DataFrame:
-    """Subjects under their own names and with the keys that matching needs."""
+    """Subjects under their own names and with the keys that matching needs; those of their features where they have any."""
+    more = {"s_equipment": equipment.keys(F.col("s_feature_keys"))} if "feature_keys" in subjects.columns else {}
     s = subjects.select([F.col(c).alias(c if c == "subject" else f"s_{c}") for c in subjects.columns])
     return s.withColumns(
         {
@@ -30,11 +31,14 @@ def keyed_subjects(subjects: DataFrame) -> DataFrame:
             "s_fuel_key": v.fuel_key(F.col("s_fuel")),
             "s_transmission_key": v.transmission_key(F.col("s_transmission")),
             "s_body_key": v.body_key(F.col("s_body")),
+            **more,
         }
     )
 
 
 def keyed_listings(listings: DataFrame) -> DataFrame:
+    """Listings with the keys that matching needs, each made once; those of their features where they have any."""
+    more = {"equipment": equipment.keys(F.col("feature_keys"))} if "feature_keys" in listings.columns else {}
     return listings.withColumns(
         {
             "make_norm": fold(F.col("make")),
@@ -43,6 +47,7 @@ def keyed_listings(listings: DataFrame) -> DataFrame:
             "fuel_key": v.fuel_key(F.col("fuel")),
             "transmission_key": v.transmission_key(F.col("transmission")),
             "body_key": F.coalesce(v.body_key(F.col("body")), v.body_key(F.col("title"))),
+            **more,
         }
     )
 
@@ -101,7 +106,7 @@ def score(full: bool = False) -> Column:
     """Similarity from 0 to 100 of a candidate that passed the hard rules.
 
     The `full` score also weighs displacement, drive, words of the title and equipment, whose columns it needs:
-    displacement_cc, drive_key, feature_keys, and with s_ before them displacement_cc, drive, motorization, generation, trim, feature_keys.
+    displacement_cc, drive_key, equipment, and with s_ before them displacement_cc, drive, motorization, generation, trim, equipment.
     """
     def graded(want: str, have: str, zero_at: int, points: int) -> Column:
         asked = F.col(want).isNotNull() & (F.col(want) > 0)
@@ -121,9 +126,9 @@ def score(full: bool = False) -> Column:
         total = total + F.when(F.coalesce("s_drive", F.lit("")) == "", 0).when(F.col("drive_key").isNull(), -UNKNOWN_PENALTY).otherwise(2)
         hits = title_hits(F.col("title_norm"), [F.col(f"s_{c}") for c in ("motorization", "generation", "trim")])
         total = total + F.least(F.lit(TITLE_MOST), hits * TITLE_HIT)
-        wanted = F.coalesce("s_feature_keys", F.array().cast("array<string>"))
-        overlap = F.size(F.filter(wanted, lambda k: equipment.has_all(F.col("feature_keys"), F.array(k))))
-        bare = F.coalesce(F.size("feature_keys"), F.lit(0)) <= 0
+        wanted = F.col("s_equipment")
+        overlap = F.size(F.filter(wanted, lambda k: (k == "") | F.array_contains("equipment", k)))
+        bare = F.size("equipment") <= 0
         total = total + F.when(F.size(wanted) == 0, 0).otherwise(F.least(F.lit(FEATURE_MOST), overlap * FEATURE_HIT) - F.when(bare, UNKNOWN_PENALTY).otherwise(0))
     return F.least(F.lit(100), F.greatest(F.lit(0), half_up(total))).cast("int")
 

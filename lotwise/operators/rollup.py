@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import LEAST_PRICE, MOST_PRICE, half_even
 from ..functions.text import slug
+from .keep import market_date, replace_days
 
 DIMENSIONS = ["fuel", "transmission", "body"]
 MISSING = "neuvedeno"
@@ -17,7 +18,9 @@ def key(c: Column) -> Column:
 
 
 def market_rows(listings: DataFrame, as_of: Column | None = None, fresh_days: int | None = None) -> DataFrame:
-    """Rows that count: active, with make, model and year, a plausible price and, if asked for, seen lately."""
+    """Rows that count: active, asked for in crowns, with make, model and year, a plausible price and, if asked for, seen lately."""
+    if "currency" in listings.columns:
+        listings = listings.where(F.upper(F.coalesce("currency", F.lit("CZK"))) == "CZK")
     rows = listings.where((F.col("status") == "active") & F.col("year").isNotNull() & F.col("price_czk").between(LEAST_PRICE, MOST_PRICE))
     rows = rows.where((F.trim("make") != "") & (F.trim("model") != ""))
     if fresh_days is not None:
@@ -50,6 +53,7 @@ def roll_up(rows: DataFrame, more: list[str] | None = None) -> DataFrame:
     )
 
 
-def write_daily(rolled: DataFrame, path: str) -> None:
-    """Replaces the days at hand and no others."""
-    rolled.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("observed_date").parquet(path)
+def write_daily(listings: DataFrame, at: Column, path: str, fresh_days: int = 7) -> None:
+    """Rolls the fresh listings up under the market's day and replaces that day and no other."""
+    rows = market_rows(listings, at, fresh_days).withColumn("observed_date", market_date(at))
+    replace_days(roll_up(rows, ["observed_date"]), path, "observed_date")

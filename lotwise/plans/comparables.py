@@ -79,8 +79,9 @@ def full_pairs(spark, sf_dir):
     """Every listing beside the subject of its make and model."""
     subjects = views.over_tables(spark, sf_dir, FULL_SUBJECTS.replace("FROM part", "FROM {part}"), "part")
     subjects = subjects.withColumn("feature_keys", F.filter(F.split("wanted", " "), lambda x: x != "")).withColumn("subject", F.concat_ws("|", "make", "model"))
-    listings = matching.keyed_listings(views.listings(spark, sf_dir).withColumn("displacement_cc", F.expr("CASE WHEN power_kw % 4 <> 0 THEN power_kw * 20 END")))
-    listings = listings.withColumn("feature_keys", F.when(F.col("power_kw") % 5 == 0, F.array().cast("array<string>")).otherwise(F.split("features", " "))).withColumn("drive_key", v.drive_key(F.col("drive")))
+    listings = views.listings(spark, sf_dir).withColumn("displacement_cc", F.expr("CASE WHEN power_kw % 4 <> 0 THEN power_kw * 20 END"))
+    listings = listings.withColumn("feature_keys", F.when(F.col("power_kw") % 5 == 0, F.array().cast("array<string>")).otherwise(F.split("features", " ")))
+    listings = matching.keyed_listings(listings).withColumn("drive_key", v.drive_key(F.col("drive")))
     subjects = matching.keyed_subjects(subjects).withColumn("s_drive_key", v.drive_key(F.col("s_drive")))
     # one row for each of the few pairs of make and model: small enough to send to every task, checked by its count
     subjects = F.broadcast(subjects) if subjects.count() <= 100_000 else subjects
