@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from .text import fold_spaces
 
-# Makes that are written in a way of their own, by folded name.
+# Makes that are written in a way of their own, by folded name. Names whose shown form is the name with a capital are
+# left out, since that is what every other name gets; so are accented spellings, since names are folded before they are looked up.
 MAKES = {
-    "vw": "Volkswagen", "mercedes": "Mercedes-Benz", "mercedes-benz": "Mercedes-Benz", "mercedes-amg": "Mercedes-Benz", "bmw": "BMW", "bmw i": "BMW", "skoda": "Škoda", "citroen": "Citroën",
-    "quattro": "Audi", "ford-cng-technik": "Ford", "daimlerchrysler": "Chrysler", "daimlerchrysler ag": "Chrysler", "daimlerchrysler (usa)": "Chrysler", "jaguar cars": "Jaguar", "jaguar land rover": "Land Rover",
+    "vw": "Volkswagen", "mercedes-benz": "Mercedes-Benz", "mercedes": "Mercedes-Benz", "mercedes-amg": "Mercedes-Benz", "bmw": "BMW", "bmw i": "BMW", "skoda": "Škoda", "citroen": "Citroën",
+    "quattro": "Audi", "ford-cng-technik": "Ford", "daimlerchrysler ag": "Chrysler", "daimlerchrysler": "Chrysler", "daimlerchrysler (usa)": "Chrysler", "jaguar cars": "Jaguar", "jaguar land rover": "Land Rover",
     "mc laren": "McLaren", "rolls royce": "Rolls-Royce", "ds": "DS",
 }
 BLOCKED = ["3a3", "concorde reisemobile gmbh", "b-style & flex-i-trans", "yueda-human horizons"]
@@ -32,6 +33,11 @@ def natural_key(*parts: Column) -> Column:
     return F.concat_ws("|", *(F.coalesce(fold_spaces(p.cast("string")), F.lit("")) for p in parts))
 
 
-def engine_label(litres: Column, fuel: Column, kilowatts: Column) -> Column:
-    """Like `2.0 Nafta 110 kW`, of what is known."""
-    return F.nullif(F.concat_ws(" ", F.when(litres > 0, F.format_number(litres.cast("double"), 1)), F.nullif(F.trim(fuel), F.lit("")), F.when(kilowatts > 0, F.concat(kilowatts.cast("string"), F.lit(" kW")))), F.lit(""))
+def engine_label(cubic: Column, kilowatts: Column, fuel: Column, name: Column) -> Column:
+    """Like `1968 ccm 110 kW`, of what is known; else the end of the commercial name, else the fuel. Electric cars have no displacement."""
+    known = F.concat_ws(" ", F.when((cubic > 0) & ~F.coalesce(fuel == "Elektro", F.lit(False)), F.concat(cubic.cast("string"), F.lit(" ccm"))), F.when(kilowatts > 0, F.concat(kilowatts.cast("string"), F.lit(" kW"))))
+    words = F.split(F.regexp_replace(F.trim(name), r"\s+", " "), " ")
+    end = F.array_join(F.slice(words, F.greatest(F.size(words) - 2, F.lit(1)), 3), " ")
+    tail = F.when((end == F.upper(end)) & (end != F.lower(end)), F.initcap(end)).otherwise(end)
+    stated = F.when(F.coalesce(fuel, F.lit("Neuvedeno")) != "Neuvedeno", fuel).otherwise("Základní")
+    return F.coalesce(F.nullif(known, F.lit("")), F.nullif(tail, F.lit("")), stated)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..functions import money as m
+from ..functions.text import fold_spaces
 
 # Fixed values.
 PRICES, VAT = (5_000, 50_000_000), 1.21
@@ -67,16 +68,24 @@ def first_fuel(plates: DataFrame, fuels: DataFrame, key: str, order: list) -> Da
 
 
 def variant_keys(rows: DataFrame) -> DataFrame:
-    """Makes, models and variants under keys that follow from their names alone, so that feeds meet without a counter."""
-    return rows.withColumn("make_key", F.sha2("make", 256)).withColumn("model_key", F.sha2(F.concat_ws("|", "make", "model"), 256)).withColumn(
-        "variant_key", F.sha2(F.concat_ws("|", "make", "model", F.coalesce(F.col("body"), F.lit("")), F.coalesce(F.col("fuel"), F.lit(""))), 256)
-    )
+    """Makes, models and variants under keys that follow from their names alone, so that feeds meet without a counter.
+
+    A variant is a model of a category in one year, body, fuel, transmission, motor label, power and displacement; names count
+    without case and accents, what isn't known has a mark of its own.
+    """
+    name = lambda c: F.coalesce(fold_spaces(F.col(c)), F.lit(""))
+    number = lambda c: F.coalesce(F.col(c), F.lit(-1)).cast("string")
+    keyed = rows.withColumn("make_key", F.sha2(name("make"), 256)).withColumn("model_key", F.sha2(F.concat_ws("|", name("make"), name("model"), name("category")), 256))
+    parts = ["model_key", number("year"), name("body"), name("fuel"), name("transmission"), name("motor_label"), number("power_kw"), number("displacement_cc")]
+    return keyed.withColumn("variant_key", F.sha2(F.concat_ws("|", *parts), 256))
 
 
 def merged_variants(rows: DataFrame) -> DataFrame:
-    """One row per variant: all sources that name it, and its latest known power."""
-    return rows.groupBy("make", "model", "body", "fuel").agg(
-        F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.max_by("power_kw", F.when(F.col("power_kw").isNotNull(), F.struct("seen", "power_kw"))).alias("power_kw")
+    """One row per variant of keyed rows: how all its sources name it, the latest name first, and when it was first and last seen."""
+    shown = ["make", "model", "category", "year", "body", "fuel", "transmission", "motor_label", "power_kw", "displacement_cc"]
+    latest = F.struct("seen", "source", *shown)
+    return rows.groupBy("make_key", "model_key", "variant_key").agg(
+        F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.min("seen").alias("first_seen"), F.max("seen").alias("last_seen"), *(F.max_by(c, latest).alias(c) for c in shown)
     )
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import extract, labels
+from ..functions import catalog, extract, labels
 from ..functions.text import slug
 from ..operators import gates, ingest
 from ..sources import views
@@ -215,10 +215,31 @@ def plate_fuel(spark, sf_dir):
     return ingest.first_fuel(views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("plate")), fuels, "plate", ["o_orderkey"]).select("plate", "fuel")
 
 
-@query(f"{L} SELECT make, model, body, fuel, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, arg_max(power_kw, (last_seen, power_kw)) FILTER (power_kw IS NOT NULL) AS power_kw, sha256(make) AS make_key, sha256(concat_ws('|', make, model)) AS model_key, sha256(concat_ws('|', make, model, coalesce(body, ''), coalesce(fuel, ''))) AS variant_key FROM listings GROUP BY make, model, body, fuel")
+VARIANTS = f"""{L}, r AS (SELECT *, CASE WHEN power_kw % 4 <> 0 THEN power_kw * 20 END AS cc, CASE WHEN power_kw % 4 <> 0 THEN power_kw * 20 || ' ccm ' ELSE '' END || power_kw || ' kW' AS label, CASE WHEN power_kw % 2 = 0 THEN upper(make) ELSE make END AS written FROM listings),
+ k AS (SELECT *, sha256(concat_ws('|', lower(make), lower(model), 'osobni')) AS mk FROM r),
+ v AS (SELECT *, sha256(mk || '|' || year || '|' || lower(coalesce(body, '')) || '|' || lower(strip_accents(coalesce(fuel, ''))) || '|' || lower(strip_accents(coalesce(transmission, ''))) || '|' || lower(label) || '|' || power_kw || '|' || coalesce(cc, -1)) AS vk FROM k)"""
+
+
+@query(f"""{VARIANTS} SELECT sha256(lower(make)) AS make_key, mk AS model_key, vk AS variant_key, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, min(last_seen) AS first_seen, max(last_seen) AS last_seen, any_value(written) AS make, any_value(model) AS model, any_value(category) AS category,
+ any_value(year) AS year, any_value(body) AS body, any_value(fuel) AS fuel, any_value(transmission) AS transmission, any_value(label) AS motor_label, any_value(power_kw) AS power_kw, any_value(cc) AS displacement_cc FROM v GROUP BY lower(make), mk, vk""")
 def merged_variants(spark, sf_dir):
-    """Variants of all sources in one row each, under keys made of their names."""
-    return ingest.variant_keys(ingest.merged_variants(views.listings(spark, sf_dir).withColumn("seen", F.col("last_seen"))))
+    """Variants of all sources in one row each, under keys made of all that tells them apart."""
+    rows = views.listings(spark, sf_dir).withColumn("displacement_cc", F.expr("CASE WHEN power_kw % 4 <> 0 THEN power_kw * 20 END")).withColumn("seen", F.col("last_seen"))
+    rows = rows.withColumn("motor_label", catalog.engine_label(F.col("displacement_cc"), F.col("power_kw"), F.col("fuel"), F.col("title")))
+    # sources write names in their own ways
+    return ingest.merged_variants(ingest.variant_keys(rows.withColumn("make", F.when(F.col("power_kw") % 2 == 0, F.upper("make")).otherwise(F.col("make")))))
+
+
+@query("""SELECT p_partkey, CASE WHEN cc > 0 AND fuel <> 'Elektro' AND kw > 0 THEN cc || ' ccm ' || kw || ' kW' WHEN cc > 0 AND fuel <> 'Elektro' THEN cc || ' ccm' WHEN kw > 0 THEN kw || ' kW' WHEN name IS NOT NULL THEN array_to_string(w[greatest(1, len(w) - 2):len(w)], ' ')
+  WHEN fuel = 'Neuvedeno' THEN 'Základní' ELSE fuel END AS label, CASE p_partkey % 3 WHEN 0 THEN 'Mercedes-Benz' WHEN 1 THEN NULL ELSE p_brand END AS make
+ FROM (SELECT *, string_split(name, ' ') AS w FROM (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 3000 END AS cc, CASE WHEN p_partkey % 5 < 3 THEN p_size - 10 END AS kw, ['Nafta', 'Elektro', 'Neuvedeno', 'Benzín'][p_partkey % 4 + 1] AS fuel, CASE WHEN p_partkey % 7 < 3 THEN p_name END AS name FROM part) p) q""")
+def motor_labels(spark, sf_dir):
+    """Labels of motors from displacement and power, else from the end of a name, else the fuel; and makes as they are shown."""
+    p, key = views.table(spark, sf_dir, "part"), F.col("p_partkey")
+    fuel = F.get(F.array(*(F.lit(x) for x in ("Nafta", "Elektro", "Neuvedeno", "Benzín"))), (key % 4).cast("int"))
+    label = catalog.engine_label(F.when(key % 3 == 0, key % 3000), F.when(key % 5 < 3, F.col("p_size") - 10), fuel, F.when(key % 7 < 3, F.col("p_name")))
+    make = F.when(key % 3 == 0, " MERCEDES ").when(key % 3 == 1, F.concat("p_brand", F.lit(" GmbH"))).otherwise(F.upper("p_brand"))
+    return p.select("p_partkey", label.alias("label"), catalog.display_make(make).alias("make"))
 
 
 @query("SELECT p_brand AS make, p_type AS model, p_size % 6 AS stratum, count(*) AS n FROM part GROUP BY ALL")

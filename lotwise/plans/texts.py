@@ -196,11 +196,3 @@ def placeholder_hash(spark, sf_dir):
     from ..functions.equipment import stable_index
 
     return views.table(spark, sf_dir, "part").select("p_partkey", stable_index(F.col("p_name"), 9).alias("icon"))
-
-
-@query(same("(1,'Škoda','skoda|octavia|-1','2.0 Nafta 110 kW'),(2,'Mercedes-Benz','mercedes|glc|-1','Benzín'),(3,NULL,'concorde reisemobile gmbh||-1',NULL),(4,'Alfa Romeo','alfa romeo|giulia|-1','1.4 Benzín'),(5,NULL,'muster technik|x|-1','50 kW')", "i, make, key, engine"))
-def catalog_names(spark, sf_dir):
-    from ..functions.catalog import display_make, engine_label, natural_key
-
-    rows = literals(spark, "(1,'ŠKODA','Octavia',2.0D,'Nafta',110),(2,'Mercedes','GLC',NULL,'Benzín',NULL),(3,'Concorde  Reisemobile GmbH',NULL,NULL,NULL,NULL),(4,' alfa  romeo','Giulia',1.4D,'Benzín',0),(5,'Muster Technik','X',0D,'',50)", "i, make, model, litres, fuel, kw")
-    return rows.select("i", display_make(F.col("make")).alias("make"), natural_key(F.col("make"), F.col("model"), F.lit(-1)).alias("key"), engine_label(F.col("litres"), F.col("fuel"), F.col("kw")).alias("engine"))
