@@ -40,10 +40,22 @@ def requote(listings: DataFrame, rates: DataFrame) -> DataFrame:
     return found.select("id", F.col("price_czk").alias("old_price"), price.alias("new_price"), F.col("_on").alias("rate_date"), (price != F.col("price_czk")).cast("int").alias("changed"))
 
 
+#: Months of rates that may be broadcast; more are joined by a shuffle.
+BROADCAST_SPANS = 100_000
+
+
 def rate_as_of(amounts: DataFrame, rates: DataFrame) -> DataFrame:
-    """Extension: the last rate on or before each amount's day, by a union and a window over a currency."""
-    both = amounts.select("currency", "day", "id", F.lit(None).cast("double").alias("rate"), F.lit(1).alias("kind")).unionByName(
-        rates.select("currency", F.col("quoted_on").alias("day"), F.lit(None).cast("string").alias("id"), F.col("czk_per_unit").cast("double").alias("rate"), F.lit(0).alias("kind"))
-    )
-    held = F.last("rate", ignorenulls=True).over(W.partitionBy("currency").orderBy("day", "kind").rowsBetween(W.unboundedPreceding, 0))
-    return both.withColumn("rate", held).where("kind = 1").select("id", "currency", "day", "rate")
+    """Extension: the last rate on or before each amount's day, null before the first.
+
+    A rate holds until the next of its currency. These spans, cut by months, meet the amounts by currency and month, so that no
+    currency's amounts come together in one task.
+    """
+    last = amounts.agg(F.max("day")).first()[0]
+    day = W.partitionBy("currency").orderBy("quoted_on")
+    spans = rates.select("currency", "quoted_on", F.lead("quoted_on").over(day).alias("next"), F.col("czk_per_unit").cast("double").alias("rate"))
+    until = F.greatest(F.coalesce(F.date_sub("next", 1), F.lit(last)), F.col("quoted_on"))
+    months = F.sequence(F.trunc("quoted_on", "month"), F.trunc(until, "month"), F.expr("INTERVAL 1 MONTH"))
+    spans = spans.select(F.col("currency").alias("_of"), F.explode(months).alias("_month"), "quoted_on", "next", "rate")
+    spans = F.broadcast(spans) if spans.count() <= BROADCAST_SPANS else spans
+    here = (F.col("currency") == F.col("_of")) & (F.trunc("day", "month") == F.col("_month")) & (F.col("day") >= F.col("quoted_on")) & F.coalesce(F.col("day") < F.col("next"), F.lit(True))
+    return amounts.select("id", "currency", "day").join(spans, here, "left").select("id", "currency", "day", "rate")
