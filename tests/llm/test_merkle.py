@@ -82,7 +82,7 @@ def test_one_row_and_none(spark, tmp_path):
 
 def test_fanouts_and_hot_nodes(spark, monkeypatch):
     # a bar of few rows deals the nodes near the root over several tasks
-    monkeypatch.setattr(merkle.salted_lookup, "__defaults__", (7,))
+    monkeypatch.setattr(merkle.salted_lookup, "__defaults__", (7, "inner"))
     rows = [{"doc_id": i, "source": "ab"[i % 7 == 0], "lang": None, "n_chars": i, "text": str(i)} for i in range(100)]
     frame = spark.createDataFrame([(r["doc_id"], r["source"], plain_leaf(r, r["text"])) for r in rows], "doc_id long, source string, leaf string")
     for fanout in (2, 5):
