@@ -17,8 +17,18 @@ class PageReader(DataSourceReader):
     def __init__(self, source: ListingSource):
         self.source = source
 
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(page) for page in self.source.pages()]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        yield from self.source.listings(partition.value)
+
+
+class SearchingReader(PageReader):
+    """Reads what the source finds by the filters that it can search by; Spark keeps the others."""
+
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        """Takes the filters that the source searches by and leaves the others to Spark."""
+        """Takes the filters on searched columns and gives the others back."""
         for f in filters:
             column = f.attribute[0] if isinstance(f, (EqualTo, GreaterThanOrEqual, LessThanOrEqual)) and len(f.attribute) == 1 else None
             if column in self.source.SEARCHED:
@@ -27,12 +37,6 @@ class PageReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(page) for page in self.source.pages()]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        yield from self.source.listings(partition.value)
-
 
 class PageStream(DataSourceStreamReader):
     """Pages by their place in the capture, which only grows at its end. At most `pages_per_batch` of them make a batch."""
@@ -66,7 +70,7 @@ class ListingSource(DataSource):
 
     Registered with spark.dataSource.register(), they are read by spark.read.format(name) or spark.readStream.format(name).
     A source that can search names the columns in SEARCHED; pages() and listings() then find (column, comparison, value) in
-    `search` and must obey all of it.
+    `search` and must obey all of it. Such a source needs spark.sql.python.filterPushdown.enabled.
     """
 
     FIELDS = ""
@@ -86,7 +90,7 @@ class ListingSource(DataSource):
         return self.FIELDS
 
     def reader(self, schema) -> DataSourceReader:
-        return PageReader(self)
+        return SearchingReader(self) if self.SEARCHED else PageReader(self)
 
     def streamReader(self, schema) -> DataSourceStreamReader:
         return PageStream(self)
