@@ -36,8 +36,8 @@ ITERATIONS, GAIN = 6, 0.002
 PRIOR = 0.5
 #: Tokens that an E-step sorts by the length of their texts, and whose messages it holds at once.
 SORTED_TOKENS, HELD_TOKENS = 2_000_000, 200_000
-#: Texts that a scoring step handles side by side.
-TEXTS_AT_ONCE = 4000
+#: Texts that a scoring step handles side by side, and their symbols, one longer text aside.
+TEXTS_AT_ONCE, SCORED_TOKENS = 4000, 2_000_000
 COUNT_ENTRIES = 500_000
 END, RARE = 0, 1
 
@@ -302,27 +302,31 @@ def log_likelihoods(texts: list[np.ndarray], model: Model) -> np.ndarray:
     return out
 
 
+def side_by_side(batches: Iterator[pd.DataFrame], most_texts: int = TEXTS_AT_ONCE, most_tokens: int = SCORED_TOKENS) -> Iterator[pd.DataFrame]:
+    """The rows of all batches in order, put together or cut so that none has more texts or symbols than that; a longer text stands alone."""
+    waiting, texts, tokens = [], 0, 0
+    for batch in batches:
+        lengths = batch["codes"].map(len).to_numpy(dtype=np.int64) // 2
+        first = 0
+        for i, n in enumerate(lengths):
+            if texts and (texts == most_texts or tokens + n > most_tokens):
+                yield pd.concat([*waiting, batch.iloc[first:i]], ignore_index=True)
+                waiting, texts, tokens, first = [], 0, 0, i
+            texts, tokens = texts + 1, tokens + int(n)
+        waiting.append(batch.iloc[first:])
+    if texts:
+        yield pd.concat(waiting, ignore_index=True)
+
+
 def score_texts(coded: DataFrame, model: Model) -> DataFrame:
     """Adds `forward`, the log10 probability of a text's symbols."""
     held = coded.sparkSession.sparkContext.broadcast(model)
     kept = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "log_all", "log_rest", "n_rest"]
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        waiting: list[pd.DataFrame] = []
-
-        def flush() -> pd.DataFrame:
-            rows = pd.concat(waiting, ignore_index=True)
-            waiting.clear()
+        for rows in side_by_side(batches):
             rows["forward"] = log_likelihoods([np.frombuffer(c, dtype="<u2") for c in rows["codes"]], held.value)
-            return rows[[*kept, "forward"]]
-
-        for batch in batches:
-            if len(batch):
-                waiting.append(batch)
-            if sum(map(len, waiting)) >= TEXTS_AT_ONCE:
-                yield flush()
-        if waiting:
-            yield flush()
+            yield rows[[*kept, "forward"]]
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in coded.schema.fields if f.name in kept) + ", forward double"
     return coded.select(*kept, "codes").mapInPandas(score, schema)

@@ -372,6 +372,18 @@ def test_forward_equals_the_sum_over_all_paths():
         assert abs(got - np.log10(total)) < 1e-9
 
 
+def test_texts_are_scored_in_bounded_groups():
+    lengths = [[3, 1, 9, 2], [], [2, 2, 2, 2, 30], [1]]
+    batches, n = [], 0
+    for some in lengths:
+        batches.append(pd.DataFrame({"rid": range(n, n + len(some)), "codes": [bytes(2 * k) for k in some]}))
+        n += len(some)
+    groups = [g["codes"].map(len).tolist() for g in hmm.side_by_side(iter(batches), 3, 8)]
+    assert groups == [[6, 2], [18], [4, 4, 4], [4, 4], [60], [2]]
+    assert pd.concat(hmm.side_by_side(iter(batches), 3, 8))["rid"].tolist() == list(range(n))
+    assert list(hmm.side_by_side(iter([]))) == []
+
+
 @pytest.mark.parametrize("held", [1, 7, 1000])
 def test_expected_counts_are_those_of_all_paths(held):
     rng = np.random.default_rng(1)
