@@ -15,15 +15,14 @@ Lines that share a block key and are within DISTANCE bits, or a triple and are w
 bits, are candidates. They are verified by edit similarity, links form connected groups,
 and each group keeps one occurrence, the first by document id, row and line.
 
-DataFrame operations only, and all of them linear in the postings. Under every key each line
-is first compared with the key's least line, which connects copies. Then, under every key
-that still holds several groups, lines are compared with their neighbours in the order of
-hashes rotated by as many bits as the key says, where these are of other groups: two near
-hashes stand side by side in many of such orders (Charikar's sorted permutations), and two
-near lines share many keys. Lines of one SimHash stand in one order under all keys: they
-meet by a second signature, least hashes of their words. So a family of lines that are alike by hash, but not near by
-their letters, costs no more than its size. Keys that very many lines share are found in a
-part of the lines and windowed in buckets.
+DataFrame operations only. Under every key each line is first compared with the key's least
+line, which connects copies. Then, under every key that still holds several groups, all near
+lines of different groups are candidates too: no partner is left out. These pairs are
+compared in rounds, the nearest by hash of every group first, and those that a round has
+brought into one group need no comparison. So a family of near lines costs little more than
+its size in comparisons, though its pairs of hashes are looked at; lines that share keys and
+near hashes, but aren't near by their letters, are all compared. Keys that very many lines
+share are found in a part of the lines and windowed in buckets.
 """
 
 from __future__ import annotations
@@ -46,10 +45,10 @@ SIMILARITY = 0.85
 TOP, TRIPLE, FAR = 5, 3, 24
 #: Edits of characters that an edit of a piece of up to three letters, with the space after it, stands for at most.
 PIECE_EDITS = 4
-#: Neighbours in a key's own order that a line is compared with.
-NEIGHBOURS = 3
-#: Least hashes of words that tell lines of one SimHash apart.
-SIGNATURES = 16
+#: Pairs that a group compares in each round before the last, which takes all.
+ROUNDS = (2, 16, 128)
+#: Lines of a key that meet those outside its largest group in one task.
+MEETING_ROWS = 512
 #: Of the lines one in so many shows which keys are frequent; rows of a bucket of such a key; keys listed at most.
 SHOWN, BUCKET_ROWS, LISTED = 64, 4096, 20_000
 #: Rows with lines to verify that may be broadcast, tens of MB; more are joined by a shuffle.
@@ -174,48 +173,25 @@ def postings(distinct: DataFrame, distance: int) -> DataFrame:
     return kept.select(*columns).union(leaders.withColumn("full", F.lit(False)).select(*columns))
 
 
-def rotated(sim: Column, by: Column) -> Column:
-    """A SimHash with its bits moved up by so many places, those that leave at the top coming in below."""
-    low = F.call_function("shiftrightunsigned", sim, F.lit(BITS) - by)
-    return F.call_function("shiftleft", sim, by).bitwiseAND(F.lit((1 << BITS) - 1)).bitwiseOR(low)
-
-
 def still_apart(seen: DataFrame, groups: DataFrame, distance: int) -> DataFrame:
-    """Pairs (x, y) of lines of different groups that stand side by side under a key, in the order that the key gives, and are near."""
+    """All pairs (x, y) of lines of different groups that share a key and are near, and the `bits` in which their hashes differ.
+
+    Lines outside a key's largest group meet all its lines of other groups, dealt over tasks.
+    """
     rows = seen.where(~F.col("full")).select("posting", "key", "sim").distinct()
     rows = rows.join(groups, rows["key"] == groups["node"], "left").select("posting", "key", "sim", F.coalesce("component", "key").alias("group"))
     rows = materialise(rows, "grouped")
-    mixed = rows.groupBy("posting").agg(F.count(F.lit(1)).alias("n"), F.min("group").alias("low"), F.max("group").alias("high")).where(F.col("low") != F.col("high"))
-    mixed = salted_lookup(rows, mixed.select("posting", "n"), "posting", "n", ["key"])
-    turn = F.pmod(F.shiftright("posting", 1), F.lit(BITS - 1)).cast("int") + 1
-    mixed = mixed.withColumn("turned", rotated(F.col("sim"), turn))
-    # a large key is cut by the first bits of the order, so that neighbours stay together
-    first_bits = F.greatest(F.ceil(F.log2(F.col("n") / BUCKET_ROWS)), F.lit(0)).cast("int")
-    order = W.partitionBy("posting", F.call_function("shiftrightunsigned", "turned", F.lit(BITS) - first_bits)).orderBy("turned", "key")
-    mixed = mixed.withColumn("beside", F.array(*(F.lag(F.struct("sim", "key", "group"), i).over(order) for i in range(1, NEIGHBOURS + 1))))
-    met = mixed.select("posting", "key", "sim", "group", F.explode("beside").alias("b"))
-    met = met.where((F.col("group") != F.col("b.group")) & near(F.col("sim"), F.col("b.sim"), F.col("posting"), distance))
-    return met.select(F.least("key", "b.key").alias("x"), F.greatest("key", "b.key").alias("y")).distinct()
-
-
-def alike_by_hash(docs: DataFrame, distinct: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs (x, y) of lines of different groups that have one SimHash, which tells nothing of their order, and are alike by a second signature.
-
-    Lines of a hash that other lines have too get SIGNATURES least hashes of their words. Near lines have most of these in common;
-    those that have two, one after the other, in common meet, and are compared with their neighbours in the order of the next ones.
-    """
-    rows = distinct.select("key", "sim").join(groups, F.col("key") == F.col("node"), "left").select("key", "sim", F.coalesce("component", "key").alias("group"))
-    families = rows.groupBy("sim").agg(F.count(F.lit(1)).alias("n"), F.min("group").alias("low"), F.max("group").alias("high")).where((F.col("n") > 1) & (F.col("low") != F.col("high")))
-    rows = materialise(salted_lookup(rows, families.select("sim", "n"), "sim", "n", ["key"]).select("key", "sim", "group"), "families")
-    texts = texts_of(docs, distinct, rows.select(F.col("key").alias("x"), F.col("key").alias("y")))
-    least = [F.array_min(F.transform("words", lambda w: F.xxhash64(F.lit(i), w))) for i in range(SIGNATURES)]  # noqa: B023
-    signed = materialise(texts.select("key", F.split("norm", " ").alias("words")).select("key", F.array(*least).alias("s")), "signatures")
-    turned = [F.struct(F.lit(i).alias("turn"), *(F.get("s", F.lit((i + j) % SIGNATURES)).alias(f"s{j}") for j in range(4))) for i in range(SIGNATURES)]
-    posted = rows.join(signed, "key").select("key", "sim", "group", F.inline(F.array(*turned)))
-    order = W.partitionBy("sim", "turn", "s0", "s1").orderBy("s2", "s3", "key")
-    beside = posted.select("key", "group", F.array(*(F.lag(F.struct("key", "group"), i).over(order) for i in range(1, NEIGHBOURS + 1))).alias("beside"))
-    met = beside.select("key", "group", F.explode("beside").alias("b")).where(F.col("group") != F.col("b.group"))
-    return met.select(F.least("key", "b.key").alias("x"), F.greatest("key", "b.key").alias("y")).distinct()
+    tops = rows.groupBy("posting", "group").agg(F.count(F.lit(1)).alias("n"))
+    tops = tops.groupBy("posting").agg(F.sum("n").alias("n"), F.max(F.struct("n", "group")).alias("most"), F.count(F.lit(1)).alias("groups")).where(F.col("groups") > 1)
+    tops = materialise(tops.select("posting", "n", F.col("most.group").alias("top")), "tops")
+    mixed = materialise(salted_lookup(rows, tops, "posting", "n", ["key"]), "mixed")
+    salts = F.ceil(F.col("n") / MEETING_ROWS).cast("int")
+    outside = mixed.where(F.col("group") != F.col("top")).select("posting", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), *(F.col(c).alias(f"o_{c}") for c in ("key", "sim", "group")))
+    every = mixed.withColumn("salt", F.pmod(F.xxhash64("key"), salts).cast("int"))
+    # two lines outside meet twice, one outside and one of the largest group once
+    once = (F.col("o_key") < F.col("key")) | (F.col("group") == F.col("top"))
+    met = outside.join(every, ["posting", "salt"]).where((F.col("o_group") != F.col("group")) & once & near(F.col("o_sim"), F.col("sim"), F.col("posting"), distance))
+    return met.select(F.least("key", "o_key").alias("x"), F.greatest("key", "o_key").alias("y"), F.bit_count(F.col("sim").bitwiseXOR(F.col("o_sim"))).alias("bits")).distinct()
 
 
 def coded(norm: Column) -> Column:
@@ -243,13 +219,55 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """
     ends = [texts.select(F.col("key").alias(k), F.col("norm").alias(s), F.col("code").alias(c)) for k, s, c in (("x", "s", "c"), ("y", "t", "d"))]
     both = pairs.join(ends[0], "x").join(ends[1], "y")
-    both = both.withColumn("most", F.floor(F.greatest(F.length("s"), F.length("t")) * (1 - similarity)).cast("int"))
+    both = both.withColumn("most", most_edits(F.length("s"), F.length("t"), similarity))
     apart = F.abs(F.length("s") - F.length("t")) > F.col("most")
     by_pieces = F.expr(f"levenshtein(c, d, most div {PIECE_EDITS})") >= 0
     full = F.expr("levenshtein(s, t, most)") >= 0
     return both.where(F.when(apart, False).when(by_pieces, True).otherwise(full)).select("x", "y")
 
 
+def most_edits(s: Column, t: Column, similarity: float) -> Column:
+    """The edits that lines of these lengths may differ in."""
+    return F.floor(F.greatest(s, t) * (1 - similarity)).cast("int")
+
+
+def grown(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after links (a, b) between groups; a line alone is a group by its own key."""
+    merged = components(links, "a", "b")
+    to = merged.select(F.col("node").alias("old"), F.col("component").alias("new"))
+    both = groups.join(to, groups["component"] == to["old"], "left").select("node", F.coalesce("new", "component").alias("component"))
+    return materialise(both.union(merged.join(groups.select("node"), "node", "left_anti").select("node", "component")), "groups")
+
+
+def joined(groups: DataFrame, rest: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(node, component) after all pairs (x, y, bits) of `rest` are compared, unless their lines are in one group by then.
+
+    In each round every group compares as many pairs as ROUNDS says, the nearest by hash first, the last round all that are left:
+    so groups grow before the many pairs between them are looked at.
+    """
+    sizes = texts.select("key", F.length("norm").alias("size"))
+    ends = [sizes.select(F.col("key").alias(k), F.col("size").alias(n)) for k, n in (("x", "m"), ("y", "n"))]
+    rest = rest.join(ends[0], "x").join(ends[1], "y").where(F.abs(F.col("m") - F.col("n")) <= most_edits(F.col("m"), F.col("n"), similarity))
+    rest = materialise(rest.select("x", "y", "bits"), "rest")
+    for most in (*ROUNDS, None):
+        named = [groups.select(F.col("node").alias(k), F.col("component").alias(c)) for k, c in (("x", "a"), ("y", "b"))]
+        rest = rest.join(named[0], "x", "left").join(named[1], "y", "left").select("x", "y", "bits", F.coalesce("a", "x").alias("a"), F.coalesce("b", "y").alias("b"))
+        rest = materialise(rest.where(F.col("a") != F.col("b")), "rest")
+        if rest.isEmpty():
+            break
+        some = rest
+        if most is not None:
+            sides = rest.select("*", F.explode(F.array("a", "b")).alias("group"))
+            place = F.row_number().over(W.partitionBy("group").orderBy("bits", "x", "y"))
+            some = materialise(sides.withColumn("place", place).where(F.col("place") <= most).select("x", "y", "a", "b").distinct(), "some")
+        found = materialise(similar(some.select("x", "y"), texts, similarity).join(some, ["x", "y"]).select("a", "b").distinct(), "found")
+        if not found.isEmpty():
+            groups = grown(groups, found)
+        if most is not None:
+            rest = rest.join(some.select("x", "y"), ["x", "y"], "left_anti").select("x", "y", "bits")
+    return groups
+
+
 def near_lines(docs: DataFrame, distinct: DataFrame, distance: int, similarity: float) -> DataFrame:
     """(node, component) of distinct lines (key, sim, top0, top1, ..., file, at, line) that have near ones."""
     seen = postings(distinct, distance)
@@ -257,12 +275,8 @@ def near_lines(docs: DataFrame, distinct: DataFrame, distance: int, similarity:
     pairs = materialise(ends.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
     tree = materialise(similar(pairs, texts_of(docs, distinct, pairs), similarity), "tree")
     groups = components(tree, "x", "y")
-    apart = still_apart(seen, groups, distance).union(alike_by_hash(docs, distinct, groups)).distinct()
-    rest = materialise(apart.join(pairs, ["x", "y"], "left_anti"), "rest")
-    if rest.isEmpty():
-        return groups
-    more = materialise(similar(rest, texts_of(docs, distinct, rest), similarity), "more")
-    return groups if more.isEmpty() else components(tree.union(more), "x", "y")
+    rest = materialise(still_apart(seen, groups, distance).join(pairs, ["x", "y"], "left_anti"), "apart")
+    return groups if rest.isEmpty() else joined(groups, rest, texts_of(docs, distinct, rest), similarity)
 
 
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:

@@ -48,3 +48,21 @@ def test_long_lines_with_scattered_edits_are_compared_in_full(spark):
     texts = texts.withColumn("code", linededup.coded(texts["norm"]))
     pairs = spark.createDataFrame([(1, 2), (1, 3)], "x long, y long")
     assert [tuple(r) for r in linededup.similar(pairs, texts, linededup.SIMILARITY).collect()] == [(1, 2)]
+
+
+def test_no_partner_under_a_common_key_is_left_out(spark, tmp_path):
+    """60 pairs share their five longest words; a pair's hashes differ in 4 bits or more, so that other lines stand between them in any order."""
+    rng = random.Random(3)
+    common = " ".join(letters(rng, 14) for _ in range(5))
+    lines = []
+    for _ in range(60):
+        line = common + " | " + " ".join(letters(rng, rng.randint(3, 6)) for _ in range(30))
+        lines += [edited(rng, line, 10), edited(rng, line, 10)]
+    spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    sims = [r["sim"] for r in linededup.lines_of(docs.selectExpr("doc_id", "text", "xxhash64(doc_id) file", "doc_id at"), 5).orderBy("doc_id").collect()]
+    apart = [(a ^ b).bit_count() for a, b in zip(sims[::2], sims[1::2], strict=True)]
+    near = {2 * i for i, bits in enumerate(apart) if 3 < bits <= linededup.FAR}
+    assert len(near) > 30
+    kept = {r["doc_id"] for r in linededup.dedup_lines(docs, stored=True).collect()}
+    assert near <= kept and not {i + 1 for i in near} & kept
