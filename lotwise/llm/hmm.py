@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -170,48 +171,53 @@ def expect(texts: list[np.ndarray], model: Model, held: int = HELD_TOKENS) -> tu
     begin = np.cumsum(length) - length
     live = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right")
     states, symbols = len(model.move), len(model.emit)
-
-    def step(t: int, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Codes, scales and scaled forward messages of the texts that have a token t."""
-        n = int(live[t])
-        codes = flat[begin[:n] + t]
-        now = model.emit[codes]
-        now *= model.start if before is None else before[:n] @ model.move
-        scale = now.sum(axis=1)
-        now /= scale[:, None]
-        return codes, scale, now
+    emit, into = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
+
+    def forward(first: int, after: int, before: np.ndarray | None) -> tuple[np.ndarray, ...]:
+        """Of steps [first, after), one after the other: where each begins, codes, their emissions, scaled forward messages and scales; a line per state."""
+        n = live[first:after]
+        at = np.concatenate([[0], np.cumsum(n)])
+        row = np.arange(at[-1]) - np.repeat(at[:-1], n)
+        codes = flat[begin[row] + np.repeat(np.arange(first, after), n)]
+        shown = np.take(emit, codes, axis=1)
+        alpha, scale = np.empty_like(shown), np.empty(len(codes))
+        for x, y in pairwise(at.tolist()):
+            now = alpha[:, x:y]
+            np.multiply(model.start[:, None] if before is None else into @ before[:, : y - x], shown[:, x:y], out=now)
+            now /= np.add.reduce(now, axis=0, out=scale[x:y])
+            before = now
+        return at, codes, shown, alpha, scale
 
     cuts = segments(live, held)
     marks: list[np.ndarray | None] = [None]
     for first, after in cuts[:-1]:
-        alpha = marks[-1]
-        for t in range(first, after):
-            alpha = step(t, alpha)[2]
-        marks.append(alpha)
+        at, _, _, alpha, _ = forward(first, after, marks[-1])
+        marks.append(alpha[:, at[-2] :].copy())
     emissions, moves, starts, likelihood = np.zeros((symbols, states)), np.zeros((states, states)), np.zeros(states), 0.0
-    beta = np.ones((len(texts), states))
+    later = np.ones((states, len(texts)))
     for (first, after), mark in zip(reversed(cuts), reversed(marks), strict=True):
-        kept, alpha = [], mark
-        for t in range(first, after):
-            kept.append(step(t, alpha))
-            alpha = kept[-1][2]
-        shares = []
-        for t in range(after - 1, first - 1, -1):
-            codes, scale, alpha = kept[t - first]
-            n = len(codes)
-            shares.append(alpha * beta[:n])
-            if t:
-                ahead = beta[:n] * model.emit[codes]
-                ahead /= scale[:, None]
-                before = kept[t - first - 1][2] if t > first else mark
-                moves += before[:n].T @ ahead
-                beta[:n] = ahead @ model.move.T
-            else:
-                starts += shares[-1].sum(axis=0)
-        codes = np.concatenate([k[0] for k in reversed(kept)])
-        weights = np.concatenate(shares)
-        likelihood += float(np.log10(np.concatenate([k[1] for k in kept])).sum())
-        emissions += np.stack([np.bincount(codes, weights=weights[:, k], minlength=symbols) for k in range(states)], axis=1)
+        at, codes, ahead, alpha, scale = forward(first, after, mark)
+        ahead /= scale
+        beta = np.ones_like(alpha)
+        beta[:, at[-2] :] = later[:, : live[after - 1]]
+        steps = at.tolist()
+        for i in range(after - first - 1, -1, -1):
+            x, y = steps[i], steps[i + 1]
+            now = ahead[:, x:y]
+            now *= beta[:, x:y]
+            if i:
+                beta[:, steps[i - 1] : steps[i - 1] + y - x] = model.move @ now
+        # every message but those of the first step, with the one before it of the same text
+        same = np.arange(at[1], at[-1]) - np.repeat(np.diff(at[:-1]), live[first + 1 : after])
+        moves += np.take(alpha, same, axis=1) @ ahead[:, at[1] :].T
+        beta *= alpha
+        if first:
+            moves += mark[:, : at[1]] @ ahead[:, : at[1]].T
+            later[:, : at[1]] = model.move @ ahead[:, : at[1]]
+        else:
+            starts += beta[:, : at[1]].sum(axis=1)
+        likelihood += float(np.log10(scale).sum())
+        emissions += np.stack([np.bincount(codes, weights=b, minlength=symbols) for b in beta], axis=1)
     return emissions, moves * model.move, starts, likelihood
 
 
