@@ -28,6 +28,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -266,8 +267,17 @@ def fits_sql(s: str, i: str, t: str, j: str):
 def scan_lists(posted: DataFrame) -> DataFrame:
     """From lists that come one after the other: pairs (a, b) of short lists with long null, and the rows of long lists."""
 
-    def pairs_of(rows: pd.DataFrame, long_key: int | None) -> Iterator[pd.DataFrame]:
-        key, n, cid, size = (rows[c].to_numpy(dtype=np.int64) for c in ("key", "n", "cid", "size"))
+    def out(a: np.ndarray, b: np.ndarray, size: np.ndarray, n: np.ndarray, long: bool) -> pa.RecordBatch:
+        columns = [a, b, size.astype(np.int32), n.astype(np.int32), np.full(len(a), long)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "size", "n", "long"])
+
+    def pairs_of(rows: list[np.ndarray], long_key: int | None) -> Iterator[pa.RecordBatch]:
+        # most elements stand in one class only
+        beside = rows[0][1:] == rows[0][:-1]
+        shared = np.append(beside, False) | np.append(False, beside) if len(rows[0]) else np.empty(0, bool)
+        if long_key is not None:
+            shared |= rows[0] == long_key
+        key, n, cid, size = (c[shared].astype(np.int64) for c in rows)
         order = np.lexsort((cid, key))
         key, n, cid, size = key[order], n[order], cid[order], size[order]
         once = np.ones(len(key), dtype=bool)
@@ -278,37 +288,42 @@ def scan_lists(posted: DataFrame) -> DataFrame:
         long = length > SHORT
         if long_key is not None:
             long |= key == long_key
-        yield pd.DataFrame({"a": cid[long], "b": key[long], "size": size[long].astype(np.int32), "n": n[long].astype(np.int32), "long": True})
+        yield out(cid[long], key[long], size[long], n[long], True)
+        left, right = [], []
         for gap in range(1, SHORT):
             i = np.flatnonzero((key[gap:] == key[:-gap]) & ~long[gap:]) if len(key) > gap else np.empty(0, np.int64)
             j = i + gap
             fine = fits(size[i], n[i], size[j], n[j])
-            pairs = pd.DataFrame({"a": cid[i[fine]], "b": cid[j[fine]]}).drop_duplicates()
-            yield pairs.assign(size=0, n=0, long=False).astype({"size": np.int32, "n": np.int32})
-
-    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        waiting: list[pd.DataFrame] = []
+            left.append(cid[i[fine]])
+            right.append(cid[j[fine]])
+        pairs = pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)}).drop_duplicates()
+        none = np.zeros(len(pairs))
+        yield out(pairs["a"].to_numpy(), pairs["b"].to_numpy(), none, none, False)
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[list[np.ndarray]] = []
         held, long_key = 0, None
         for batch in batches:
-            waiting.append(batch)
-            held += len(batch)
+            if batch.num_rows:
+                waiting.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                held += batch.num_rows
             if held >= LIST_ROWS:
-                rows = pd.concat(waiting, ignore_index=True)
+                rows = [np.concatenate(c) for c in zip(*waiting, strict=True)]
                 # the last list may go on; it waits, unless it is long already
-                last = rows["key"] == rows["key"].iloc[-1]
-                rest = rows[last]
-                if int(last.sum()) > LIST_ROWS // 2:
-                    yield from pairs_of(rows[~last], long_key)
-                    long_key = int(rest["key"].iloc[0])
+                last = int(np.searchsorted(rows[0], rows[0][-1]))
+                yield from pairs_of([c[:last] for c in rows], long_key)
+                rest = [c[last:] for c in rows]
+                if held - last > LIST_ROWS // 2:
+                    long_key = int(rest[0][0])
                     yield from pairs_of(rest, long_key)
                     waiting, held = [], 0
                 else:
-                    yield from pairs_of(rows[~last], long_key)
-                    waiting, held = [rest], len(rest)
+                    waiting, held = [rest], held - last
         if waiting:
-            yield from pairs_of(pd.concat(waiting, ignore_index=True), long_key)
+            yield from pairs_of([np.concatenate(c) for c in zip(*waiting, strict=True)], long_key)
 
-    return posted.mapInPandas(one, "a long, b long, size int, n int, long boolean")
+    # Arrow columns: batches are small for the sake of texts, and a frame for each would cost more than its rows
+    return posted.mapInArrow(one, "a long, b long, size int, n int, long boolean")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, wanted_of: DataFrame) -> DataFrame:
