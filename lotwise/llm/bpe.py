@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import shutil
 import tempfile
 import unicodedata
@@ -80,7 +81,9 @@ class Merges:
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.word = regex.compile(split.replace("\\s", "\\p{White_Space}"))
         self.apart = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
-        self.marks = sorted({s[:2] for s in self.special})
+        marks = "|".join(sorted(regex.escape(s[:2]) for s in self.special))
+        #: Finds where a special token may begin; nothing if there are none.
+        self.mark = re.compile(marks or "(?!)").search
 
     def merge(self, words: list[bytes]) -> list[bytes]:
         """The ids of every word, little-endian and 32 bits wide, by merging pairs in order of rank.
@@ -145,10 +148,10 @@ class Merges:
         if chunk.isascii():
             if chunk.isalpha():
                 return [chunk.lower()]
-            if not any(m in chunk for m in self.marks):
+            if not self.mark(chunk):
                 return self.word.findall(chunk.lower())
         found: list[str | int] = []
-        for part in self.apart.split(chunk) if any(m in chunk for m in self.marks) else [chunk]:
+        for part in self.apart.split(chunk) if self.mark(chunk) else [chunk]:
             if part in self.special:
                 found.append(self.special[part])
             elif part:
@@ -260,34 +263,36 @@ class Encoder:
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """Token ids of every whole text; none for null and empty texts."""
         parts = [chunks_of(t) if t else [] for t in texts]
-        new = set().union(*parts).difference(self.chunks)
+        met = set().union(*parts)
+        new = met.difference(self.chunks)
         if len(self.chunks) + len(new) > CACHE_ENTRIES:
-            self.chunks.clear()
-            new = set().union(*parts)
+            # what is met again now is likely frequent, and stays
+            self.chunks = {c: self.chunks[c] for c in met.intersection(self.chunks)}
         if new:
             self._learn(new)
         get = self.chunks.__getitem__
         return [np.frombuffer(b"".join(map(get, p)), dtype="<u4") for p in parts]
 
     def _learn(self, chunks: set[str]) -> None:
-        parts = [(c, self.merges.words(c)) for c in chunks]
-        words = list({w for _, found in parts for w in found if isinstance(w, str)})
-        data = [w.encode() for w in words]
+        # most chunks are one word, known by a lower-case form
+        plain = [(c, c.lower()) for c in chunks if c.isalpha() and c.isascii()]
+        parts = [(c, self.merges.words(c)) for c in chunks if not (c.isalpha() and c.isascii())]
+        words = list({w for _, w in plain}.union(w for _, found in parts for w in found if isinstance(w, str)))
+        data = list(map(str.encode, words))
+        place = self.lexicon.find(data) if self.lexicon else np.full(len(words), -1)
+        known = np.flatnonzero(place >= 0)
         ids: dict[str | int, bytes] = {}
-        if self.lexicon and words:
-            place = self.lexicon.find(data)
-            start, end = self.lexicon.starts[place].tolist(), self.lexicon.starts[place + 1].tolist()
-            place = place.tolist()
-        else:
-            place = start = end = [-1] * len(words)
-        unseen = [i for i, n in enumerate(place) if n < 0]
-        for i, found in zip(unseen, self.merges.merge([data[i] for i in unseen]), strict=True):
-            ids[words[i]] = found
-        for word, n, a, b in zip(words, place, start, end, strict=True):
-            if n >= 0:
-                ids[word] = self.lexicon.ids[a:b].tobytes()
-        for chunk, found in parts:
-            self.chunks[chunk] = b"".join(ids[w] if isinstance(w, str) else w.to_bytes(4, "little") for w in found)
+        if len(known):
+            flat = memoryview(self.lexicon.ids).cast("B")
+            start, end = (4 * self.lexicon.starts[place[known]]).tolist(), (4 * self.lexicon.starts[place[known] + 1]).tolist()
+            ids = {words[i]: bytes(flat[a:b]) for i, a, b in zip(known.tolist(), start, end, strict=True)}
+        unseen = np.flatnonzero(place < 0).tolist()
+        ids.update(zip((words[i] for i in unseen), self.merges.merge([data[i] for i in unseen]), strict=True))
+        for word in {w for _, found in parts for w in found if not isinstance(w, str)}:
+            ids[word] = word.to_bytes(4, "little")
+        get = ids.__getitem__
+        self.chunks.update((c, ids[w]) for c, w in plain)
+        self.chunks.update((c, ids[found[0]] if len(found) == 1 else b"".join(map(get, found))) for c, found in parts)
 
 
 _MERGES: dict[str, Merges] = {}
