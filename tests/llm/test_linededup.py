@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from lotwise.llm import linededup
 
 
@@ -66,3 +68,23 @@ def test_no_partner_under_a_common_key_is_left_out(spark, tmp_path):
     assert len(near) > 30
     kept = {r["doc_id"] for r in linededup.dedup_lines(docs, stored=True).collect()}
     assert near <= kept and not {i + 1 for i in near} & kept
+
+
+@pytest.mark.parametrize("rows", [3, 512])
+def test_all_near_lines_of_different_groups_meet(spark, monkeypatch, rows):
+    monkeypatch.setattr(linededup, "MEETING_ROWS", rows)
+    rng = random.Random(4)
+    sims = {key: sum(1 << b for b in rng.sample(range(60), 1 + key % 16)) for key in range(40)}
+    members = {2: range(40), 4: range(12, 20), 7: range(20)}
+    seen = spark.createDataFrame([(p, k, sims[k], None, False) for p, keys in members.items() for k in keys], "posting long, key long, sim long, x long, full boolean")
+    component = {k: k // 10 * 10 for k in range(20)}
+    groups = spark.createDataFrame(list(component.items()), "node long, component long")
+    met = {(r["x"], r["y"], r["bits"]) for r in linededup.still_apart(seen, groups, linededup.DISTANCE).collect()}
+    expected = set()
+    for p, keys in members.items():
+        for a in keys:
+            for b in keys:
+                bits = (sims[a] ^ sims[b]).bit_count()
+                if a < b and component.get(a, a) != component.get(b, b) and bits <= (linededup.DISTANCE if p % 2 else linededup.FAR):
+                    expected.add((a, b, bits))
+    assert len(expected) > 300 and met == expected
