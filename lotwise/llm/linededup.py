@@ -16,13 +16,14 @@ bits, are candidates. They are verified by edit similarity, links form connected
 and each group keeps one occurrence, the first by document id, row and line.
 
 DataFrame operations only. Under every key each line is first compared with the key's least
-line, which connects copies. Then, under every key that still holds several groups, all near
-lines of different groups are candidates too: no partner is left out. These pairs are
-compared in rounds, the nearest by hash of every group first, and those that a round has
-brought into one group need no comparison. So a family of near lines costs little more than
-its size in comparisons, though its pairs of hashes are looked at; lines that share keys and
-near hashes, but aren't near by their letters, are all compared. Keys that very many lines
-share are found in a part of the lines and windowed in buckets.
+line, which connects copies. Then, under keys that still hold several groups, lines that stand
+side by side in turned orders of the hashes are compared, which brings families of near lines
+together at a cost in proportion to their size. At last, under every key that even then holds
+several groups, all near lines of different groups are candidates: no partner is left out.
+They are compared where they meet, each pair under one key, and only links leave the join. The
+pairs that it looks at grow with the square of the lines outside a key's largest group: lines
+that share keys and near hashes, but aren't near by their letters, are all compared. Keys that
+very many lines share are found in a part of the lines and windowed in buckets.
 """
 
 from __future__ import annotations
@@ -45,10 +46,10 @@ SIMILARITY = 0.85
 TOP, TRIPLE, FAR = 5, 3, 24
 #: Edits of characters that an edit of a piece of up to three letters, with the space after it, stands for at most.
 PIECE_EDITS = 4
-#: Pairs that a group compares in each round before the last, which takes all.
-ROUNDS = (2, 16, 128)
-#: Lines of a key that meet those outside its largest group in one task.
-MEETING_ROWS = 512
+#: Bits by which hashes are turned in each round of comparing neighbours; what they leave apart meets in full.
+TURNS = ((0, 15, 30, 45), (7, 22, 37, 52))
+#: Lines of a key, and of those outside its largest group, that meet in one task.
+MEETING_ROWS = 256
 #: Of the lines one in so many shows which keys are frequent; rows of a bucket of such a key; keys listed at most.
 SHOWN, BUCKET_ROWS, LISTED = 64, 4096, 20_000
 #: Rows with lines to verify that may be broadcast, tens of MB; more are joined by a shuffle.
@@ -173,25 +174,61 @@ def postings(distinct: DataFrame, distance: int) -> DataFrame:
     return kept.select(*columns).union(leaders.withColumn("full", F.lit(False)).select(*columns))
 
 
-def still_apart(seen: DataFrame, groups: DataFrame, distance: int) -> DataFrame:
-    """All pairs (x, y) of lines of different groups that share a key and are near, and the `bits` in which their hashes differ.
-
-    Lines outside a key's largest group meet all its lines of other groups, dealt over tasks.
-    """
+def still_mixed(seen: DataFrame, groups: DataFrame) -> DataFrame:
+    """(posting, key, sim, group, n, outside, top): lines under keys that hold several groups, the key's lines, those outside its largest group, and that group."""
     rows = seen.where(~F.col("full")).select("posting", "key", "sim").distinct()
     rows = rows.join(groups, rows["key"] == groups["node"], "left").select("posting", "key", "sim", F.coalesce("component", "key").alias("group"))
     rows = materialise(rows, "grouped")
     tops = rows.groupBy("posting", "group").agg(F.count(F.lit(1)).alias("n"))
     tops = tops.groupBy("posting").agg(F.sum("n").alias("n"), F.max(F.struct("n", "group")).alias("most"), F.count(F.lit(1)).alias("groups")).where(F.col("groups") > 1)
-    tops = materialise(tops.select("posting", "n", F.col("most.group").alias("top")), "tops")
-    mixed = materialise(salted_lookup(rows, tops, "posting", "n", ["key"]), "mixed")
-    salts = F.ceil(F.col("n") / MEETING_ROWS).cast("int")
-    outside = mixed.where(F.col("group") != F.col("top")).select("posting", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), *(F.col(c).alias(f"o_{c}") for c in ("key", "sim", "group")))
-    every = mixed.withColumn("salt", F.pmod(F.xxhash64("key"), salts).cast("int"))
+    tops = materialise(tops.select("posting", "n", (F.col("n") - F.col("most.n")).alias("outside"), F.col("most.group").alias("top")), "tops")
+    return materialise(salted_lookup(rows, tops, "posting", "n", ["key"]), "mixed")
+
+
+def neighbours(mixed: DataFrame, turns: tuple[int, ...], distance: int) -> DataFrame:
+    """Pairs (x, y) of near lines of different groups that stand side by side under a key, hashes turned by each of `turns`."""
+    full = (1 << BITS) - 1
+    turned = [(F.shiftleft("sim", t).bitwiseAND(F.lit(full)) + F.shiftrightunsigned("sim", BITS - t)).alias(f"t{t}") for t in turns]
+    rows = mixed.withColumn("salt", F.pmod(F.hash("key"), F.ceil(F.col("n") / BUCKET_ROWS).cast("int"))).select("posting", "salt", "key", "sim", "group", *turned)
+    before = [F.lag(F.struct("key", "sim", "group")).over(W.partitionBy("posting", "salt").orderBy(f"t{t}", "key")).alias(f"o{t}") for t in turns]
+    sides = rows.select("posting", "key", "sim", "group", *before).select("posting", "key", "sim", "group", F.explode(F.array(*(f"o{t}" for t in turns))).alias("o"))
+    met = sides.where((F.col("o.group") != F.col("group")) & near(F.col("sim"), F.col("o.sim"), F.col("posting"), distance))
+    return met.select(F.least("key", "o.key").alias("x"), F.greatest("key", "o.key").alias("y")).distinct()
+
+
+def still_apart(seen: DataFrame, groups: DataFrame, distance: int, texts: DataFrame | None = None, similarity: float = SIMILARITY) -> DataFrame:
+    """All pairs (x, y) of lines of different groups that share a key and are near, and the `bits` in which their hashes differ.
+
+    With `texts` (key, norm), the lines' own, those that are near by their letters. Lines outside a key's largest group meet all its
+    lines of other groups, dealt over tasks; of the keys that two lines share one compares them.
+    """
+    mixed = still_mixed(seen, groups)
+    under = mixed.groupBy("key").agg(F.collect_set("posting").alias("all"))
+    lines = (under if texts is None else under.join(texts.select("key", "norm"), "key")).withColumnRenamed("key", "line")
+    across, along = (F.ceil(F.col(c) / MEETING_ROWS).cast("int") for c in ("outside", "n"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    own = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
+    shown = ["posting", "key", "sim", "group"]
+    with_line = lambda rows: rows.join(lines, rows["key"] == lines["line"]).drop("line")
+    outside = with_line(mixed.where(F.col("group") != F.col("top"))).withColumn("i", own(across)).withColumn("j", each(along))
+    outside = outside.select("posting", "i", "j", *(F.col(c).alias(f"o_{c}") for c in outside.columns if c in (*shown[1:], "all", "norm")))
+    every = with_line(mixed).withColumn("j", own(along)).withColumn("i", each(across)).drop("n", "outside")
+    bits = F.bit_count(F.col("sim").bitwiseXOR(F.col("o_sim")))
     # two lines outside meet twice, one outside and one of the largest group once
     once = (F.col("o_key") < F.col("key")) | (F.col("group") == F.col("top"))
-    met = outside.join(every, ["posting", "salt"]).where((F.col("o_group") != F.col("group")) & once & near(F.col("o_sim"), F.col("sim"), F.col("posting"), distance))
-    return met.select(F.least("key", "o_key").alias("x"), F.greatest("key", "o_key").alias("y"), F.bit_count(F.col("sim").bitwiseXOR(F.col("o_sim"))).alias("bits")).distinct()
+    of_blocks = lambda p: p.bitwiseAND(F.lit(1).cast("long")) == 1
+    shared = F.array_intersect("all", "o_all")
+    first = F.array_min(F.when(bits <= distance, shared).otherwise(F.filter(shared, lambda p: ~of_blocks(p))))
+    found = (F.col("o_group") != F.col("group")) & once & near(F.col("o_sim"), F.col("sim"), F.col("posting"), distance)
+    if texts is not None:
+        most = most_edits(F.length("norm"), F.length("o_norm"), similarity)
+        found = found & (F.abs(F.length("norm") - F.length("o_norm")) <= most)
+        # the dear test comes last, and for one key
+        found = F.when(~found, False).when(first != F.col("posting"), False).otherwise(F.call_function("levenshtein", "norm", "o_norm", most) >= 0)
+    else:
+        found = F.when(found, first == F.col("posting")).otherwise(False)
+    met = outside.join(every, ["posting", "i", "j"]).where(found)
+    return met.select(F.least("key", "o_key").alias("x"), F.greatest("key", "o_key").alias("y"), bits.alias("bits"))
 
 
 def coded(norm: Column) -> Column:
@@ -200,9 +237,9 @@ def coded(norm: Column) -> Column:
     return F.decode(F.unhex(F.array_join(codes, "")), "UTF-16BE")
 
 
-def texts_of(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(key, norm, code) of the lines of `pairs`, each once, read where `distinct` has them."""
-    wanted = pairs.select(F.col("x").alias("key")).union(pairs.select(F.col("y").alias("key"))).distinct()
+def texts_of(docs: DataFrame, distinct: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, norm, code) of the lines of these keys, each once, read where `distinct` has them."""
+    wanted = keys.toDF("key").distinct()
     places = distinct.select("key", "file", "at", "line").join(wanted, "key").groupBy("file", "at").agg(F.collect_list(F.struct("line", "key")).alias("wanted"))
     places = materialise(places, "wanted")
     places = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
@@ -239,44 +276,27 @@ def grown(groups: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(both.union(merged.join(groups.select("node"), "node", "left_anti").select("node", "component")), "groups")
 
 
-def joined(groups: DataFrame, rest: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(node, component) after all pairs (x, y, bits) of `rest` are compared, unless their lines are in one group by then.
-
-    In each round every group compares as many pairs as ROUNDS says, the nearest by hash first, the last round all that are left:
-    so groups grow before the many pairs between them are looked at.
-    """
-    sizes = texts.select("key", F.length("norm").alias("size"))
-    ends = [sizes.select(F.col("key").alias(k), F.col("size").alias(n)) for k, n in (("x", "m"), ("y", "n"))]
-    rest = rest.join(ends[0], "x").join(ends[1], "y").where(F.abs(F.col("m") - F.col("n")) <= most_edits(F.col("m"), F.col("n"), similarity))
-    rest = materialise(rest.select("x", "y", "bits"), "rest")
-    for most in (*ROUNDS, None):
-        named = [groups.select(F.col("node").alias(k), F.col("component").alias(c)) for k, c in (("x", "a"), ("y", "b"))]
-        rest = rest.join(named[0], "x", "left").join(named[1], "y", "left").select("x", "y", "bits", F.coalesce("a", "x").alias("a"), F.coalesce("b", "y").alias("b"))
-        rest = materialise(rest.where(F.col("a") != F.col("b")), "rest")
-        if rest.isEmpty():
-            break
-        some = rest
-        if most is not None:
-            sides = rest.select("*", F.explode(F.array("a", "b")).alias("group"))
-            place = F.row_number().over(W.partitionBy("group").orderBy("bits", "x", "y"))
-            some = materialise(sides.withColumn("place", place).where(F.col("place") <= most).select("x", "y", "a", "b").distinct(), "some")
-        found = materialise(similar(some.select("x", "y"), texts, similarity).join(some, ["x", "y"]).select("a", "b").distinct(), "found")
-        if not found.isEmpty():
-            groups = grown(groups, found)
-        if most is not None:
-            rest = rest.join(some.select("x", "y"), ["x", "y"], "left_anti").select("x", "y", "bits")
-    return groups
-
-
 def near_lines(docs: DataFrame, distinct: DataFrame, distance: int, similarity: float) -> DataFrame:
     """(node, component) of distinct lines (key, sim, top0, top1, ..., file, at, line) that have near ones."""
     seen = postings(distinct, distance)
     ends = seen.where(F.col("x").isNotNull()).select("x", F.col("key").alias("y"))
     pairs = materialise(ends.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
-    tree = materialise(similar(pairs, texts_of(docs, distinct, pairs), similarity), "tree")
+    tree = materialise(similar(pairs, texts_of(docs, distinct, pairs.select("x").union(pairs.select("y"))), similarity), "tree")
     groups = components(tree, "x", "y")
-    rest = materialise(still_apart(seen, groups, distance).join(pairs, ["x", "y"], "left_anti"), "apart")
-    return groups if rest.isEmpty() else joined(groups, rest, texts_of(docs, distinct, rest), similarity)
+    texts = None
+    for turns in TURNS:
+        mixed = still_mixed(seen, groups)
+        if mixed.isEmpty():
+            return groups
+        texts = texts_of(docs, distinct, mixed.select("key")) if texts is None else texts
+        named = [groups.select(F.col("node").alias(k), F.col("component").alias(c)) for k, c in (("x", "a"), ("y", "b"))]
+        links = similar(neighbours(mixed, turns, distance), texts, similarity).join(named[0], "x", "left").join(named[1], "y", "left")
+        links = materialise(links.select(F.coalesce("a", "x").alias("a"), F.coalesce("b", "y").alias("b")).distinct(), "found")
+        groups = groups if links.isEmpty() else grown(groups, links)
+    named = [groups.select(F.col("node").alias(k), F.col("component").alias(c)) for k, c in (("x", "a"), ("y", "b"))]
+    links = still_apart(seen, groups, distance, texts, similarity).join(named[0], "x", "left").join(named[1], "y", "left")
+    links = materialise(links.select(F.coalesce("a", "x").alias("a"), F.coalesce("b", "y").alias("b")).distinct(), "found")
+    return groups if links.isEmpty() else grown(groups, links)
 
 
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:

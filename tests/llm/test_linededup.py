@@ -88,3 +88,32 @@ def test_all_near_lines_of_different_groups_meet(spark, monkeypatch, rows):
                 if a < b and component.get(a, a) != component.get(b, b) and bits <= (linededup.DISTANCE if p % 2 else linededup.FAR):
                     expected.add((a, b, bits))
     assert len(expected) > 300 and met == expected
+
+
+def test_lines_that_share_keys_but_no_letters_leave_no_pairs_behind(spark, tmp_path, monkeypatch):
+    """200 lines of one hash and the same longest words, near by two: their 19,900 pairs are compared, but never written as rows."""
+    rng = random.Random(12)
+    lines = family(rng, 100, " ".join(letters(rng, 14) for _ in range(5)), 45)
+    spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    written, write = {}, linededup.materialise
+
+    def counted(df, label):
+        rows = write(df, label)
+        written[label] = max(written.get(label, 0), rows.count())
+        return rows
+
+    monkeypatch.setattr(linededup, "materialise", counted)
+    kept = {r["doc_id"] for r in linededup.dedup_lines(spark.read.parquet(str(tmp_path / "docs")), stored=True).collect()}
+    assert kept == set(range(0, 200, 2))
+    assert max(written.values()) <= 20 * len(lines)
+
+
+def test_lines_near_by_letters_meet_under_one_key(spark):
+    """With texts, of all pairs of different groups those that are near by their letters are found, each once."""
+    norms = {1: "abcdefghij" * 4, 2: "abcdefghij" * 3 + "abcdefghix", 3: "klmnopqrst" * 4, 4: "klmnopqrst" * 4 + "u", 5: "abcdefghij" * 4 + "y"}
+    rows = [(p, key, 0, None, False) for p in (2, 3, 4) for key in norms]
+    seen = spark.createDataFrame(rows, "posting long, key long, sim long, x long, full boolean")
+    groups = spark.createDataFrame([(1, 1), (5, 1)], "node long, component long")
+    texts = spark.createDataFrame(list(norms.items()), "key long, norm string")
+    found = [(r["x"], r["y"]) for r in linededup.still_apart(seen, groups, linededup.DISTANCE, texts).collect()]
+    assert sorted(found) == [(1, 2), (2, 5), (3, 4)]
