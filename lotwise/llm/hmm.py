@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import pairwise
+from itertools import pairwise, repeat
 
 import numpy as np
 import pandas as pd
@@ -123,10 +123,10 @@ def code_texts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             out = []
             for doc, held_out, text in zip(batch["doc_id"], batch["held_out"], batch["text"], strict=True):
                 words = tokens_of(text)
-                at = np.fromiter((place.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+                at = np.fromiter(map(place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
                 codes, log = symbol[at], logs[at]
                 rest = codes == RARE
-                rare = Counter(w for w, i in zip(words, at.tolist(), strict=True) if i < 0) if (at < 0).any() else {}
+                rare = Counter([words[i] for i in np.flatnonzero(at < 0).tolist()])
                 end_log = float(np.log10(v.texts + 1.0))
                 out.append((row, doc, bool(held_out), len(words) + 1, int(seen[at].sum()) + (v.texts > 0), float(log.sum()) + end_log, float(log[rest].sum()), int(rest.sum()), np.concatenate([codes, end]).tobytes(), list(rare), list(rare.values())))
                 row += 1

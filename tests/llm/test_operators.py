@@ -681,3 +681,14 @@ def test_connected_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (7, 7), (200, 201), (201, 200)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100, 200: 200, 201: 200}
+
+
+def test_hmm_codes_of_known_and_rare_words(spark):
+    """Every token has its symbol in order, and words beyond the broadcast table are counted in the order in which they come."""
+    v = hmm.Vocabulary([b"a", b"b", b"c"], np.array([5, 3, 2]), 2, 10, 4, 1, 1.0, 1)
+    docs = spark.createDataFrame([(1, False, bytearray(b"b zz A c yy zz")), (2, True, None)], "doc_id long, held_out boolean, text binary")
+    one, none = hmm.code_texts(docs, v).orderBy("doc_id").collect()
+    assert np.frombuffer(one["codes"], dtype="<u2").tolist() == [3, hmm.RARE, 2, hmm.RARE, hmm.RARE, hmm.RARE, hmm.END]
+    assert [bytes(w) for w in one["rare"]] == [b"zz", b"yy"] and one["rare_n"] == [2, 1]
+    assert (one["n_tokens"], one["n_known"], one["n_rest"]) == (7, 4, 4)
+    assert np.frombuffer(none["codes"], dtype="<u2").tolist() == [hmm.END] and list(none["rare"]) == []
