@@ -20,7 +20,8 @@ line, which connects copies. Then, under keys that still hold several groups, li
 side by side in turned orders of the hashes are compared, which brings families of near lines
 together at a cost in proportion to their size. At last, under every key that even then holds
 several groups, all near lines of different groups are candidates: no partner is left out.
-They are compared where they meet, each pair under one key, and only links leave the join. The
+They are compared where they meet, each pair under one key, and only links leave the join.
+No pair is compared again once it was found not to be near. The
 pairs that it looks at grow with the square of the lines outside a key's largest group: lines
 that share keys and near hashes, but aren't near by their letters, are all compared. Keys that
 very many lines share are found in a part of the lines and windowed in buckets.
@@ -59,6 +60,8 @@ BITS = 60
 #: Width of a counter in lines of up to LANE_MOST words, and in longer ones; its highest bit is spare.
 LANE, LONG_LANE = 12, 30
 LANE_MOST = (1 << LANE - 1) - 1
+#: Bits of a SimHash's fold, where one bit of the hash changes one bit.
+FOLD = 16
 LINE = ["file", "at", "doc_id", "line", "key", *(f"top{i}" for i in range(TOP))]
 
 
@@ -128,15 +131,27 @@ def word_keys(tops: list[Column]) -> list[Column]:
 
 
 def keys_of(distinct: DataFrame, distance: int, blocks: int) -> DataFrame:
-    """(posting, key): every line under all its keys; the lowest bit of a block key is set, that of a triple isn't."""
+    """(posting, key, fold): every line under all its keys; the lowest bit of a block key is set, that of a triple isn't."""
     of_blocks = [k.bitwiseOR(F.lit(1).cast("long")) for k in block_keys(F.col("sim"), distance, blocks)]
     triples = [k.bitwiseAND(F.lit(-2).cast("long")) for k in word_keys([F.col(f"top{i}") for i in range(TOP)])]
-    return distinct.select(F.explode_outer(F.array(*of_blocks, *triples)).alias("posting"), "key")
+    return distinct.select(F.explode_outer(F.array(*of_blocks, *triples)).alias("posting"), "key", folded(F.col("sim")).alias("fold"))
+
+
+def folded(sim: Column) -> Column:
+    """FOLD bits that differ in no more places than the hashes do."""
+    out = sim
+    for at in range(FOLD, BITS, FOLD):
+        out = out.bitwiseXOR(F.shiftrightunsigned(sim, at))
+    return out.bitwiseAND(F.lit((1 << FOLD) - 1)).cast("int")
+
+
+def of_block(posting: Column) -> Column:
+    return posting.bitwiseAND(F.lit(1).cast("long")) == 1
 
 
 def near(a: Column, b: Column, posting: Column, distance: int) -> Column:
     """Whether hashes are near enough for the kind of key they share."""
-    return F.bit_count(a.bitwiseXOR(b)) <= F.when(posting.bitwiseAND(F.lit(1).cast("long")) == 1, distance).otherwise(FAR)
+    return F.bit_count(a.bitwiseXOR(b)) <= F.when(of_block(posting), distance).otherwise(FAR)
 
 
 def in_buckets(posted: DataFrame, shown: DataFrame) -> DataFrame:
@@ -149,7 +164,7 @@ def in_buckets(posted: DataFrame, shown: DataFrame) -> DataFrame:
     bar = max(BUCKET_ROWS // SHOWN, (shown.agg(F.sum("count")).first()[0] or 0) // LISTED)
     frequent = shown.where(F.col("count") > bar).select(F.col("posting").alias("hot"), F.ceil(F.col("count") * SHOWN / BUCKET_ROWS).cast("int").alias("buckets"))
     posted = posted.join(F.broadcast(frequent), F.col("posting") == F.col("hot"), "left")
-    return posted.select("posting", "key", F.when(F.col("buckets").isNull(), 0).otherwise(1 + F.pmod(F.hash("key"), F.col("buckets"))).alias("bucket"))
+    return posted.select("posting", "key", "fold", F.when(F.col("buckets").isNull(), 0).otherwise(1 + F.pmod(F.hash("key"), F.col("buckets"))).alias("bucket"))
 
 
 def compared(rows: DataFrame, by: list[str], distance: int) -> DataFrame:
@@ -165,8 +180,12 @@ def postings(distinct: DataFrame, distance: int) -> DataFrame:
     blocks = blocks_for(distinct.count(), distance)
     some = distinct.where(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(SHOWN)) == 0)
     posted = in_buckets(keys_of(distinct, distance, blocks), keys_of(some, distance, blocks))
-    shared = posted.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("posting", "bucket"))).where((F.col("n") > 1) | (F.col("bucket") > 0))
-    shared = materialise(shared, "shared").join(distinct.select("key", "sim"), "key")
+    together = W.partitionBy("posting", "bucket")
+    ends = [f("fold").over(together).alias(f.__name__) for f in (F.min, F.max)]
+    shared = posted.select("posting", "key", "bucket", F.count(F.lit(1)).over(together).alias("n"), *ends).where((F.col("n") > 1) | (F.col("bucket") > 0))
+    # most lines that share a block key do so by chance; of two the folds tell
+    chance = (F.col("bucket") == 0) & (F.col("n") == 2) & of_block(F.col("posting")) & (F.bit_count(F.col("min").bitwiseXOR(F.col("max"))) > distance)
+    shared = materialise(shared.where(~chance).drop("min", "max"), "shared").join(distinct.select("key", "sim"), "key")
     seen = compared(shared, ["posting", "bucket"], distance).withColumn("full", (F.col("bucket") == 0) & (F.col("n") == 2))
     kept = materialise(seen.where(~F.col("full") | F.col("x").isNotNull()), "postings")
     leaders = compared(kept.where("bucket > 0 AND leads").select("posting", "key", "sim"), ["posting"], distance)
@@ -196,30 +215,71 @@ def neighbours(mixed: DataFrame, turns: tuple[int, ...], distance: int) -> DataF
     return met.select(F.least("key", "o.key").alias("x"), F.greatest("key", "o.key").alias("y")).distinct()
 
 
-def still_apart(seen: DataFrame, groups: DataFrame, distance: int, texts: DataFrame | None = None, similarity: float = SIMILARITY) -> DataFrame:
-    """All pairs (x, y) of lines of different groups that share a key and are near, and the `bits` in which their hashes differ.
+def meeting(mixed: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lines outside their key's largest group, columns with o_ before their names, and all lines, dealt so that they meet by (posting, i, j).
 
-    With `texts` (key, norm), the lines' own, those that are near by their letters. Lines outside a key's largest group meet all its
-    lines of other groups, dealt over tasks; of the keys that two lines share one compares them.
+    `lines` has more columns for each `line`.
     """
-    mixed = still_mixed(seen, groups)
-    under = mixed.groupBy("key").agg(F.collect_set("posting").alias("all"))
-    lines = (under if texts is None else under.join(texts.select("key", "norm"), "key")).withColumnRenamed("key", "line")
     across, along = (F.ceil(F.col(c) / MEETING_ROWS).cast("int") for c in ("outside", "n"))
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     own = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
-    shown = ["posting", "key", "sim", "group"]
     with_line = lambda rows: rows.join(lines, rows["key"] == lines["line"]).drop("line")
     outside = with_line(mixed.where(F.col("group") != F.col("top"))).withColumn("i", own(across)).withColumn("j", each(along))
-    outside = outside.select("posting", "i", "j", *(F.col(c).alias(f"o_{c}") for c in outside.columns if c in (*shown[1:], "all", "norm")))
-    every = with_line(mixed).withColumn("j", own(along)).withColumn("i", each(across)).drop("n", "outside")
-    bits = F.bit_count(F.col("sim").bitwiseXOR(F.col("o_sim")))
-    # two lines outside meet twice, one outside and one of the largest group once
+    outside = outside.select("posting", "i", "j", *(F.col(c).alias(f"o_{c}") for c in ("key", "sim", "group", *lines.drop("line").columns)))
+    return outside, with_line(mixed).withColumn("j", own(along)).withColumn("i", each(across)).drop("n", "outside")
+
+
+def candidates(distance: int) -> Column:
+    """Whether two lines that meet are a pair of different groups and near: two outside meet twice, one outside and one of the largest group once."""
     once = (F.col("o_key") < F.col("key")) | (F.col("group") == F.col("top"))
-    of_blocks = lambda p: p.bitwiseAND(F.lit(1).cast("long")) == 1
+    return (F.col("o_group") != F.col("group")) & once & near(F.col("o_sim"), F.col("sim"), F.col("posting"), distance)
+
+
+def partners(rejected: DataFrame) -> DataFrame:
+    """(line, known): of every rejected pair (x, y) one line has the other, that of fewer pairs, so that no line has very many."""
+    n = rejected.select(F.explode(F.array("x", "y")).alias("key")).groupBy("key").count()
+    of = [n.select(F.col("key").alias(k), F.col("count").alias(c)) for k, c in (("x", "nx"), ("y", "ny"))]
+    pairs = rejected.join(of[0], "x").join(of[1], "y")
+    ends = F.when(F.col("nx") <= F.col("ny"), F.struct(F.col("x").alias("line"), F.col("y").alias("other"))).otherwise(F.struct(F.col("y").alias("line"), F.col("x").alias("other")))
+    return pairs.select(ends.alias("end")).select("end.*").groupBy("line").agg(F.collect_set("other").alias("known"))
+
+
+def still_open(mixed: DataFrame, texts: DataFrame, rejected: DataFrame, distance: int, similarity: float) -> DataFrame:
+    """The rows of `mixed` that meet a line they may be near to, by hash and length, and were not compared with. No texts travel, nor do pairs leave."""
+    lines = texts.select(F.col("key").alias("line"), F.length("norm").alias("size")).join(partners(rejected), "line", "left")
+    outside, every = meeting(mixed, lines)
+    known = F.coalesce(F.array_contains("known", F.col("o_key")), F.lit(False)) | F.coalesce(F.array_contains("o_known", F.col("key")), F.lit(False))
+    found = candidates(distance) & (F.abs(F.col("size") - F.col("o_size")) <= most_edits(F.col("size"), F.col("o_size"), similarity)) & ~known
+    outside = outside.withColumnsRenamed({c: f"o_{c}" for c in ("posting", "i", "j")})
+    for c in ("posting", "i", "j"):
+        found = (F.col(c) == F.col(f"o_{c}")) & found
+    left = outside.join(every, found, "left_semi").select(F.col("o_posting").alias("posting"), F.col("o_key").alias("key"))
+    right = every.join(outside, found, "left_semi").select("posting", "key")
+    return materialise(mixed.join(left.union(right).distinct(), ["posting", "key"], "left_semi"), "open")
+
+
+def still_apart(seen: DataFrame, groups: DataFrame, distance: int, texts: DataFrame | None = None, similarity: float = SIMILARITY, rejected: DataFrame | None = None) -> DataFrame:
+    """All pairs (x, y) of lines of different groups that share a key and are near, and the `bits` in which their hashes differ.
+
+    With `texts` (key, norm), the lines' own, those that are near by their letters; pairs (x, y) that are `rejected` already, x < y, aren't
+    compared. Lines outside a key's largest group meet all its lines of other groups, dealt over tasks; of the keys that two lines share one
+    compares them.
+    """
+    mixed = still_mixed(seen, groups)
+    if rejected is not None:
+        mixed = still_open(mixed, texts, rejected, distance, similarity)
+        texts = of_keys(texts, mixed.select("key").distinct())
+    under = mixed.groupBy("key").agg(F.collect_set("posting").alias("all"))
+    if rejected is not None:
+        under = under.join(partners(rejected), under["key"] == F.col("line"), "left").drop("line")
+    outside, every = meeting(mixed, (under if texts is None else under.join(texts.select("key", "norm"), "key")).withColumnRenamed("key", "line"))
+    bits = F.bit_count(F.col("sim").bitwiseXOR(F.col("o_sim")))
     shared = F.array_intersect("all", "o_all")
-    first = F.array_min(F.when(bits <= distance, shared).otherwise(F.filter(shared, lambda p: ~of_blocks(p))))
-    found = (F.col("o_group") != F.col("group")) & once & near(F.col("o_sim"), F.col("sim"), F.col("posting"), distance)
+    first = F.array_min(F.when(bits <= distance, shared).otherwise(F.filter(shared, lambda p: ~of_block(p))))
+    found = candidates(distance)
+    if rejected is not None:
+        for known, key in (("known", "o_key"), ("o_known", "key")):
+            found = found & ~F.coalesce(F.array_contains(known, F.col(key)), F.lit(False))
     if texts is not None:
         most = most_edits(F.length("norm"), F.length("o_norm"), similarity)
         found = found & (F.abs(F.length("norm") - F.length("o_norm")) <= most)
@@ -249,7 +309,12 @@ def texts_of(docs: DataFrame, distinct: DataFrame, keys: DataFrame) -> DataFrame
 
 
 def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (x, y) whose texts need few enough edits.
+    """The pairs (x, y) whose texts need few enough edits."""
+    return verdicts(pairs, texts, similarity).where("near").select("x", "y")
+
+
+def verdicts(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (x, y) and whether they are `near`: their texts need few enough edits.
 
     An edit of a piece of a word is worth at most PIECE_EDITS edits of characters: pairs that are near by pieces, a twelfth of the work,
     need no more. All others are compared in full, whatever their length.
@@ -259,8 +324,32 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     both = both.withColumn("most", most_edits(F.length("s"), F.length("t"), similarity))
     apart = F.abs(F.length("s") - F.length("t")) > F.col("most")
     by_pieces = F.expr(f"levenshtein(c, d, most div {PIECE_EDITS})") >= 0
-    full = F.expr("levenshtein(s, t, most)") >= 0
-    return both.where(F.when(apart, False).when(by_pieces, True).otherwise(full)).select("x", "y")
+    full = within(F.col("s"), F.col("t"), F.col("most"))
+    return both.select("x", "y", F.when(apart, False).when(by_pieces, True).otherwise(full).alias("near"))
+
+
+def let(value: Column, f) -> Column:
+    """f(value), where the value is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def unlike(s: Column, t: Column) -> Column:
+    """(s, t) from the first character in which they differ on, reversed."""
+    longer = lambda n, w: F.when(F.substring(s, n + 1, w) == F.substring(t, n + 1, w), n + w).otherwise(n)
+    alike = F.aggregate(F.array(*(F.lit(1 << i) for i in range(20, -1, -1))), F.lit(0), longer)
+    tail = lambda x, n: F.reverse(F.substring(x, n + 1, F.length(x)))
+    return let(F.least(alike, F.length(s), F.length(t)), lambda n: F.struct(tail(s, n).alias("s"), tail(t, n).alias("t")))
+
+
+def within(s: Column, t: Column, most: Column) -> Column:
+    """Whether `most` edits make s into t. What they have in common at both ends needs none, and isn't compared."""
+    both = let(unlike(s, t), lambda a: unlike(a["s"], a["t"]))
+    return let(both, lambda a: F.call_function("levenshtein", a["s"], a["t"], most)) >= 0
+
+
+def of_keys(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """The texts of these distinct keys, without sending all others to a join if the keys are few."""
+    return texts.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, "key", "left_semi")
 
 
 def most_edits(s: Column, t: Column, similarity: float) -> Column:
@@ -281,20 +370,29 @@ def near_lines(docs: DataFrame, distinct: DataFrame, distance: int, similarity:
     seen = postings(distinct, distance)
     ends = seen.where(F.col("x").isNotNull()).select("x", F.col("key").alias("y"))
     pairs = materialise(ends.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
-    tree = materialise(similar(pairs, texts_of(docs, distinct, pairs.select("x").union(pairs.select("y"))), similarity), "tree")
-    groups = components(tree, "x", "y")
-    texts = None
+    texts = texts_of(docs, distinct, pairs.select("x").union(pairs.select("y")))
+    tried = materialise(verdicts(pairs, texts, similarity), "tree")
+    groups = components(tried.where("near"), "x", "y")
+    rejected = tried.where("NOT near").select("x", "y")
+    whole = None
     for turns in TURNS:
         mixed = still_mixed(seen, groups)
         if mixed.isEmpty():
             return groups
-        texts = texts_of(docs, distinct, mixed.select("key")) if texts is None else texts
-        named = [groups.select(F.col("node").alias(k), F.col("component").alias(c)) for k, c in (("x", "a"), ("y", "b"))]
-        links = similar(neighbours(mixed, turns, distance), texts, similarity).join(named[0], "x", "left").join(named[1], "y", "left")
-        links = materialise(links.select(F.coalesce("a", "x").alias("a"), F.coalesce("b", "y").alias("b")).distinct(), "found")
-        groups = groups if links.isEmpty() else grown(groups, links)
+        # what was read for the tree isn't read again
+        whole = texts.union(texts_of(docs, distinct, mixed.select("key").distinct().join(texts, "key", "left_anti"))) if whole is None else whole
+        met = materialise(neighbours(mixed, turns, distance).join(rejected, ["x", "y"], "left_anti"), "met")
+        ends = met.select(F.explode(F.array("x", "y")).alias("key")).distinct()
+        tried = materialise(verdicts(met, of_keys(whole, ends), similarity), "tried")
+        rejected = rejected.union(tried.where("NOT near").select("x", "y"))
+        groups = joined(groups, tried.where("near"))
+    return joined(groups, still_apart(seen, groups, distance, whole, similarity, rejected))
+
+
+def joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after links (x, y) between lines."""
     named = [groups.select(F.col("node").alias(k), F.col("component").alias(c)) for k, c in (("x", "a"), ("y", "b"))]
-    links = still_apart(seen, groups, distance, texts, similarity).join(named[0], "x", "left").join(named[1], "y", "left")
+    links = links.join(named[0], "x", "left").join(named[1], "y", "left")
     links = materialise(links.select(F.coalesce("a", "x").alias("a"), F.coalesce("b", "y").alias("b")).distinct(), "found")
     return groups if links.isEmpty() else grown(groups, links)
 

@@ -117,3 +117,48 @@ def test_lines_near_by_letters_meet_under_one_key(spark):
     texts = spark.createDataFrame(list(norms.items()), "key long, norm string")
     found = [(r["x"], r["y"]) for r in linededup.still_apart(seen, groups, linededup.DISTANCE, texts).collect()]
     assert sorted(found) == [(1, 2), (2, 5), (3, 4)]
+
+
+def test_pairs_that_were_rejected_are_not_compared_again(spark, tmp_path, monkeypatch):
+    """Of 80 lines under common keys that are near by two, no pair of lines is compared twice."""
+    rng = random.Random(21)
+    lines = family(rng, 40, " ".join(letters(rng, 14) for _ in range(5)), 45)
+    spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    compared, verdicts, still_open = [], linededup.verdicts, linededup.still_open
+    left = []
+
+    def seen(pairs, *rest):
+        compared.extend((r["x"], r["y"]) for r in pairs.collect())
+        return verdicts(pairs, *rest)
+
+    def opened(mixed, texts, rejected, *rest):
+        left.append({(r["x"], r["y"]) for r in rejected.collect()})
+        return still_open(mixed, texts, rejected, *rest)
+
+    monkeypatch.setattr(linededup, "verdicts", seen)
+    monkeypatch.setattr(linededup, "still_open", opened)
+    kept = {r["doc_id"] for r in linededup.dedup_lines(spark.read.parquet(str(tmp_path / "docs")), stored=True).collect()}
+    assert kept == set(range(0, 80, 2))
+    assert len(compared) == len(set(compared)) > 80
+    assert len(left) == 1 and len(left[0]) > 40 and left[0] < set(compared)
+
+
+def test_rejected_pairs_stay_out_of_the_last_comparison(spark):
+    """Lines whose only near partners were rejected are no longer open; others meet as before."""
+    norms = {1: "abcdefghij" * 4, 2: "abcdefghij" * 3 + "abcdefghix", 3: "klmnopqrst" * 4, 4: "klmnopqrst" * 4 + "u", 5: "abcdefghij" * 4 + "y"}
+    seen = spark.createDataFrame([(p, key, 0, None, False) for p in (2, 3, 4) for key in norms], "posting long, key long, sim long, x long, full boolean")
+    groups = spark.createDataFrame([(1, 1), (5, 1)], "node long, component long")
+    texts = spark.createDataFrame(list(norms.items()), "key long, norm string")
+    rejected = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (2, 5), (3, 5)], "x long, y long")
+    still = linededup.still_mixed(seen, groups)
+    assert {r["key"] for r in linededup.still_open(still, texts, rejected, linededup.DISTANCE, 0.85).collect()} == {3, 4, 5}
+    found = linededup.still_apart(seen, groups, linededup.DISTANCE, texts, 0.85, rejected).collect()
+    assert [(r["x"], r["y"]) for r in found] == [(3, 4)]
+
+
+def test_edits_are_counted_between_common_ends(spark):
+    """Common beginnings and ends are left out, also where they overlap, where one text is all of them, and beyond ASCII."""
+    texts = ["", "a", "aa", "aba", "abab", "ababab", "één", "één twee één", "één drie één", "x" * 70, "x" * 69 + "y", "y" + "x" * 70, "\U0001f600a\U0001f600", "\U0001f600"]
+    pairs = spark.createDataFrame([(s, t, most) for s in texts for t in texts for most in (0, 1, 3)], "s string, t string, most int")
+    rows = pairs.select(linededup.within(pairs["s"], pairs["t"], pairs["most"]).alias("got"), (linededup.F.levenshtein("s", "t") <= pairs["most"]).alias("wanted")).collect()
+    assert all(r["got"] == r["wanted"] for r in rows) and 0 < sum(r["got"] for r in rows) < len(rows)
