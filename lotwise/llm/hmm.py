@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import pairwise, repeat
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pandas as pd
@@ -117,19 +117,27 @@ def code_texts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         seen = np.append(v.counts > 0, False)
         symbol = np.full(len(v.words) + 1, RARE, dtype="<u2")
         symbol[: v.symbols] = np.arange(2, v.symbols + 2)
-        end = np.array([END], dtype="<u2")
+        end = np.array([END], dtype="<u2").tobytes()
+        end_log = float(np.log10(v.texts + 1.0))
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            out = []
-            for doc, held_out, text in zip(batch["doc_id"], batch["held_out"], batch["text"], strict=True):
-                words = tokens_of(text)
-                at = np.fromiter(map(place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-                codes, log = symbol[at], logs[at]
-                rest = codes == RARE
-                rare = Counter([words[i] for i in np.flatnonzero(at < 0).tolist()])
-                end_log = float(np.log10(v.texts + 1.0))
-                out.append((row, doc, bool(held_out), len(words) + 1, int(seen[at].sum()) + (v.texts > 0), float(log.sum()) + end_log, float(log[rest].sum()), int(rest.sum()), np.concatenate([codes, end]).tobytes(), list(rare), list(rare.values())))
-                row += 1
+            texts = [tokens_of(text) for text in batch["text"]]
+            length = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+            at = np.fromiter(map(place.get, chain.from_iterable(texts), repeat(-1)), dtype=np.int64, count=int(length.sum()))
+            codes, log = symbol[at], logs[at]
+            of = np.repeat(np.arange(len(texts)), length)
+            rest = codes == RARE
+            sums = (np.bincount(of, weights=w, minlength=len(texts)).tolist() for w in (seen[at], log, log * rest, rest))
+            out, begin = [], 0
+            # a text's words without a count, where it has any
+            missed = np.flatnonzero(at < 0)
+            bounds = np.searchsorted(missed, np.cumsum(length)).tolist()
+            first = 0
+            for doc, held_out, words, last, known, log_all, log_rest, n_rest in zip(batch["doc_id"], batch["held_out"], texts, bounds, *sums, strict=True):
+                rare = Counter([words[i - begin] for i in missed[first:last].tolist()]) if last > first else {}
+                coded = codes[begin : begin + len(words)].tobytes() + end
+                out.append((row, doc, bool(held_out), len(words) + 1, int(known) + (v.texts > 0), log_all + end_log, log_rest, int(n_rest), coded, list(rare), list(rare.values())))
+                row, begin, first = row + 1, begin + len(words), last
             frame = pd.DataFrame(out, columns=[c.split(" ")[0] for c in CODED.split(", ")])
             yield frame.astype({"doc_id": "Int64"})
 

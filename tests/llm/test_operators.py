@@ -683,6 +683,23 @@ def test_connected_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100, 200: 200, 201: 200}
 
 
+def test_hmm_sums_stay_with_their_texts(spark):
+    """Texts of one batch, empty and null ones between them: each has its own sums and its own words without a count."""
+    v = hmm.Vocabulary([b"a", b"b", b"c", b"d"], np.array([9, 5, 3, 0]), 2, 10, 4, 1, 1.0, 1)
+    texts = ["a x b", "", "x c x", None, "d y", "a a c", "z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "cast(text AS binary) text", "false held_out").coalesce(1)
+    counts = {"a": 9, "b": 5, "c": 3, "d": 0}
+    for r in hmm.code_texts(docs, v).collect():
+        words = (texts[r["doc_id"]] or "").split()
+        rare = collections.Counter(w for w in words if w not in counts)
+        rest = [w for w in words if w not in ("a", "b")]
+        logs = lambda some: sum(np.log10(counts.get(w, 0) + 1) for w in some)
+        assert {bytes(w).decode(): n for w, n in zip(r["rare"], r["rare_n"], strict=True)} == rare
+        assert (r["n_tokens"], r["n_known"], r["n_rest"]) == (len(words) + 1, sum(counts.get(w, 0) > 0 for w in words) + 1, len(rest))
+        assert np.allclose([r["log_all"], r["log_rest"]], [logs(words) + np.log10(2), logs(rest)])
+        assert len(r["codes"]) == 2 * len(words) + 2
+
+
 def test_hmm_codes_of_known_and_rare_words(spark):
     """Every token has its symbol in order, and words beyond the broadcast table are counted in the order in which they come."""
     v = hmm.Vocabulary([b"a", b"b", b"c"], np.array([5, 3, 2]), 2, 10, 4, 1, 1.0, 1)
