@@ -64,11 +64,14 @@ def sliced(rows: DataFrame, condition: str, price: str, wall: int = OFFSET_WALL,
     steps = prices.select(condition, "_n", F.posexplode(path(F.col("_price"), edges, cuts)).alias("_step", "_band"))
     # a band that can't be cut ends its path, so each band stands at one step only
     counted = steps.groupBy(condition, "_step", "_band").agg(F.sum("_n").alias("n"))
-    full = counted.where((F.col("n") > wall) & can_be_cut(F.col("_band")) & (F.col("_step") < cuts))
-    pieces = full.select(condition, (F.col("_step") + 1).alias("_step"), F.explode(F.array(*halves(F.col("_band")))).alias("_band"))
-    roots = rows.select(condition).distinct().select(condition, F.lit(0).alias("_step"), F.explode(first_bands(edges)).alias("_band"))
+    full = (F.col("n") > wall) & can_be_cut(F.col("_band")) & (F.col("_step") < cuts)
+    piece = lambda step, band, n, wanted: F.struct(step.cast("int").alias("_step"), band.alias("_band"), n.cast("long").alias("n"), F.lit(wanted).alias("_wanted"))
+    itself, next_step, none = piece(F.col("_step"), F.col("_band"), F.col("n"), False), F.col("_step") + 1, F.lit(0)
+    # a full band asks for both of its halves, in rows without a count that meet the halves' own: one more aggregation, no join and no broadcast
+    asked = F.when(full, F.array(itself, *(piece(next_step, half, none, True) for half in halves(F.col("_band"))))).otherwise(F.array(itself))
+    pieces = counted.select(condition, F.inline(asked))
+    roots = rows.select(condition).distinct().select(condition, F.explode(first_bands(edges)).alias("_band")).select(condition, F.lit(0).alias("_step"), "_band", F.lit(0).cast("long").alias("n"), F.lit(True).alias("_wanted"))
+    found = roots.unionByName(pieces).groupBy(condition, "_step", "_band").agg(F.sum("n").alias("n"), F.bool_or("_wanted").alias("_wanted"))
     # a half of a full band, or a first band, that isn't full itself; halves of bands within the wall have no full parent
-    found = roots.unionByName(pieces).alias("s").join(counted.alias("c"), [F.col(f"s.{condition}").eqNullSafe(F.col(f"c.{condition}")), F.col("s._step") == F.col("c._step"), F.col("s._band").eqNullSafe(F.col("c._band"))], "left")
-    found = found.select(F.col(f"s.{condition}").alias(condition), F.col("s._step").alias("_step"), F.col("s._band").alias("_band"), F.coalesce("c.n", F.lit(0)).cast("long").alias("n"))
-    done = found.where(~((F.col("n") > wall) & can_be_cut(F.col("_band")) & (F.col("_step") < cuts)))
+    done = found.where(F.col("_wanted") & ~full)
     return done.select(condition, F.col("_band.low").alias("low"), F.col("_band.high").alias("high"), "n", (F.col("n") > wall).alias("over"))

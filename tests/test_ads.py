@@ -155,3 +155,11 @@ def test_bands_cover_every_price_and_stop_at_single_ones(spark):
         inside = [p for c, p in rows if c == r["c"] and p is not None and p >= r["low"] and (r["high"] is None or p <= r["high"])]
         assert r["n"] == len(inside) and r["over"] == (r["n"] > 4) and (not r["over"] or r["low"] == r["high"] == 123_456)
     assert slices.sliced(spark.createDataFrame([], "c string, p long"), "c", "p").count() == 0
+
+
+def test_bands_send_nothing_to_the_driver(spark):
+    rows = spark.range(20_000).select(F.concat(F.lit("c"), F.col("id") % 3).alias("c"), (F.col("id") * 7919 % 9_000_000).alias("p"))
+    out = slices.sliced(rows, "c", "p", wall=4)
+    found = [(r["c"], r["low"], r["high"], r["n"]) for r in out.collect()]
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sum(n for *_, n in found) == 20_000 and len(found) == len(set(found)) and max(n for *_, n in found) <= 4
