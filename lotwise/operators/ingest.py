@@ -83,10 +83,12 @@ def variant_keys(rows: DataFrame) -> DataFrame:
 def merged_variants(rows: DataFrame) -> DataFrame:
     """One row per variant of keyed rows: how all its sources name it, the latest name first, and when it was first and last seen."""
     shown = ["make", "model", "category", "year", "body", "fuel", "transmission", "motor_label", "power_kw", "displacement_cc"]
-    latest = F.struct("seen", "source", *shown)
-    return rows.groupBy("make_key", "model_key", "variant_key").agg(
-        F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.min("seen").alias("first_seen"), F.max("seen").alias("last_seen"), *(F.max_by(c, latest).alias(c) for c in shown)
+    keys = ["make_key", "model_key", "variant_key"]
+    # names travel once, in the latest row, and keys as the bytes that their digits stand for
+    held = rows.groupBy(*(F.unhex(k).alias(k) for k in keys)).agg(
+        F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.min("seen").alias("first_seen"), F.max(F.struct("seen", "source", *shown)).alias("latest")
     )
+    return held.select(*(F.lower(F.hex(k)).alias(k) for k in keys), "sources", "first_seen", F.col("latest.seen").alias("last_seen"), *(F.col(f"latest.{c}").alias(c) for c in shown))
 
 
 def outcome(source: Column, known: list[str], error: Column, skipped: Column) -> Column:
