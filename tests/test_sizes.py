@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from lotwise.operators import ingest, matching
+from lotwise.operators import appraisal, ingest, matching
 
 SHOWN = ["make", "model", "category", "year", "body", "fuel", "transmission", "motor_label", "power_kw", "displacement_cc"]
 
@@ -52,3 +52,13 @@ def test_only_listings_of_the_newest_months_travel(spark, shuffled, windows):
             want |= {(s, g and g[1], r[0], n + 1) for n, r in enumerate(found[:5])}
     got = [(r["subject"], r["window"] if windows else None, r["id"], r["recency"]) for r in out.collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_histories_are_looked_up_for_the_few_removed(spark, shuffled):
+    at = "timestamp '2020-01-01'"
+    comps = spark.range(6).selectExpr("1 AS subject", "concat('l', id) AS id", "if(id < 4, 'removed', 'active') AS status", "id AS rank", "100 AS price_czk", f"{at} AS published_at", f"{at} AS first_seen", "timestamp '2020-03-01' AS last_seen")
+    points = spark.range(600).selectExpr("concat('l', id % 300) AS id", "timestamp_seconds(id) AS observed_at", "1 AS seq", "if(id < 300, 100, if(id % 2 = 0, 90, 110)) AS price")
+    out = appraisal.with_histories(comps, points, "2020-04-01 00:00:00")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [id#" in plan and "LeftSemi, BuildRight" in plan
+    assert sorted((r["id"], r["dropped"], r["last_price"]) for r in out.collect()) == [("l0", True, 90), ("l1", False, 110), ("l2", True, 90), ("l3", False, 110), ("l4", None, None), ("l5", None, None)]
